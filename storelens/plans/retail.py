@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storelens.operators import clean as C
+from storelens.operators import cohort as CO
+from storelens.operators import profile as PR
 from storelens.operators import rfm as R
 from storelens.plans.catalog import register
 from storelens.sources.fixtures import VIEWS
@@ -151,3 +153,72 @@ def q_rfm_nine(spark, sf_dir):
     """R1 + R2 per customer with the entry cut points."""
     named = R.name_segments(R.rfm_scores(R.rfm(clean_lines(spark, sf_dir)), **ENTRY_CUTS), "nine")
     return named.select("customer_id", "rfm_score", "segment")
+
+
+# ---- cohorts -------------------------------------------------------------
+
+COHORT_SQL = """
+, cm AS (SELECT customer_id, CAST(date_trunc('month', invoice_date) AS DATE) AS order_month,
+                sum(CAST(total_amount AS DECIMAL(18,2))) AS revenue
+         FROM clean GROUP BY 1, 2),
+f AS (SELECT *, min(order_month) OVER (PARTITION BY customer_id) AS cohort_month FROM cm),
+cells AS (SELECT cohort_month,
+                 CAST((year(order_month) - year(cohort_month)) * 12 + month(order_month) - month(cohort_month) AS INTEGER) AS cohort_index,
+                 count(*) AS active, sum(revenue) AS revenue
+          FROM f GROUP BY 1, 2),
+ct AS (SELECT c.cohort_month, c.cohort_index, c.active, s.active AS cohort_size,
+              round(c.active / s.active * 100, 6) AS retention_pct,
+              CAST(c.revenue AS DOUBLE) AS revenue,
+              round(CAST(c.revenue AS DOUBLE) / c.active, 6) AS rev_per_active,
+              round(sum(CAST(c.revenue AS DOUBLE) / c.active) OVER (PARTITION BY c.cohort_month ORDER BY c.cohort_index
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS clv
+       FROM cells c JOIN cells s ON c.cohort_month = s.cohort_month AND s.cohort_index = 0)
+"""
+
+
+@register("cohort_table", _with_clean(COHORT_SQL + "SELECT * FROM ct"), views=("retail_lines_dup",))
+def q_cohorts(spark, sf_dir):
+    """Long cohort table with retention and CLV."""
+    return CO.cohorts(clean_lines(spark, sf_dir))
+
+
+@register("retention_curve", _with_clean(
+    COHORT_SQL + "SELECT cohort_index, round(avg(retention_pct), 4) AS avg_retention_pct, "
+    "count(*) AS cohorts FROM ct GROUP BY 1"), views=("retail_lines_dup",))
+def q_retention(spark, sf_dir):
+    """Mean retention per cohort index, missing cells skipped."""
+    return CO.retention_curve(CO.cohorts(clean_lines(spark, sf_dir)))
+
+
+@register("clv_curve", _with_clean(
+    COHORT_SQL + "SELECT cohort_index, round(avg(clv), 4) AS avg_clv, count(*) AS cohorts FROM ct GROUP BY 1"),
+    views=("retail_lines_dup",))
+def q_clv(spark, sf_dir):
+    """Mean cumulative revenue per active customer by cohort age."""
+    return CO.clv_curve(CO.cohorts(clean_lines(spark, sf_dir)))
+
+
+# ---- top lists -------------------------------------------------------------
+
+@register("top_products", _with_clean(
+    "SELECT stock_code, count(*) AS lines FROM clean GROUP BY 1 ORDER BY lines DESC, stock_code LIMIT 10"),
+    views=("retail_lines_dup",))
+def q_top_products(spark, sf_dir):
+    """Ten most frequent stock codes (line counts), key tie-break."""
+    return PR.top_counts(clean_lines(spark, sf_dir), "stock_code", 10, name="lines")
+
+
+@register("top_countries", _with_clean(
+    "SELECT country, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM clean "
+    "GROUP BY 1 ORDER BY revenue DESC, country LIMIT 10"), views=("retail_lines_dup",))
+def q_top_countries(spark, sf_dir):
+    """Ten countries by revenue."""
+    return PR.top_sums(clean_lines(spark, sf_dir), "country", "total_amount", 10, name="revenue")
+
+
+@register("top_customers_value", _with_clean(
+    "SELECT customer_id, count(*) AS lines FROM clean GROUP BY 1 ORDER BY lines DESC, customer_id LIMIT 10"),
+    views=("retail_lines_dup",))
+def q_top_customers(spark, sf_dir):
+    """A14 on customers: the reference's 'top customers' chart counts lines."""
+    return PR.top_counts(clean_lines(spark, sf_dir), "customer_id", 10, name="lines")
