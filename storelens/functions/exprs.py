@@ -62,3 +62,13 @@ def count_substrings_present(text: Column, words: Sequence[str]) -> Column:
 def money(c: str | Column) -> Column:
     """Exact two-decimal money value (order-independent sums)."""
     return col(c).cast("decimal(18,2)")
+
+
+def exact_mean(c: str | Column, scale: int = 2) -> Column:
+    """Mean of fixed-point values: exact decimal sum / count, one division.
+
+    Independent of summation order, so every partitioning (and any other
+    engine doing the same) gives the same double.
+    """
+    x = col(c)
+    return F.sum(x.cast(f"decimal(38,{scale})")).cast("double") / F.count(x)
