@@ -72,3 +72,25 @@ def exact_mean(c: str | Column, scale: int = 2) -> Column:
     """
     x = col(c)
     return F.sum(x.cast(f"decimal(38,{scale})")).cast("double") / F.count(x)
+
+
+def py_round(c: str | Column, digits: int = 0) -> Column:
+    """Python's ``round(x, digits)`` for doubles, engine-independent.
+
+    ``bround`` on a double rounds its shortest decimal text, which differs
+    from Python (exact binary value) when that text ends in a 5.  Scaling
+    first and rounding half-even to an integer is exact for the scaled
+    double, and every engine computes the same bits.
+    """
+    if digits == 0:
+        return F.bround(col(c), 0)
+    k = float(10 ** digits)
+    return F.bround(col(c) * F.lit(k), 0) / F.lit(k)
+
+
+def py_round_sql(x: str, digits: int = 0) -> str:
+    """The SQL (DuckDB) spelling of :func:`py_round`."""
+    if digits == 0:
+        return f"round_even({x}, 0)"
+    k = float(10 ** digits)
+    return f"(round_even(({x}) * {k!r}, 0) / {k!r})"

@@ -57,17 +57,13 @@ def _running_counts(key_names: list[str]):
     return fn
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
-    """Exact linear quantiles of ``value_col`` per group (NULL / NaN skipped).
+def _order_stats(df: DataFrame, value_col: str, group_cols: list[str], targets_fn,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Rows (groups..., n, i, vlo, vhi, frac) for the wanted ranks.
 
-    Returns one row per group with ``group_cols`` followed by one DOUBLE
-    column per probability (``names`` or ``q0, q1, ...``) and ``n`` (the
-    number of non-null values).
+    ``targets_fn(n)`` returns a list of (lo_rank, hi_rank, frac) Column
+    triples (0-based ranks) for a group of ``n`` non-null values.
     """
-    group_cols = list(group_cols)
-    names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     spark = df.sparkSession
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,13 +87,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         F.coalesce(F.sum("_q_chunk").over(
             wg.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q_off"),
         F.sum("_q_chunk").over(wg).alias("n"))
-    targets = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
-        lo = F.floor(pos).cast("long")
-        targets.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"),
-                                F.ceil(pos).cast("long").alias("hi"),
-                                (pos - lo).alias("frac")))
+    targets = [F.struct(F.lit(i).alias("i"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"),
+                        frac.cast("double").alias("frac"))
+               for i, (lo, hi, frac) in enumerate(targets_fn(F.col("n")))]
     chunks = chunks.withColumn("_q_t", F.array(*targets))
 
     joined = ranked.join(chunks, on=[*group_cols, _PID], how="inner")
@@ -111,10 +103,47 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         *group_cols, "n", F.col("t.i").alias("i"), F.col("t.frac").alias("frac"),
         F.when(F.col("t.lo").between(F.col("_s"), F.col("_e")), F.col(value_col)).alias("vlo"),
         F.when(F.col("t.hi").between(F.col("_s"), F.col("_e")), F.col(value_col)).alias("vhi"))
-    per_q = hits.groupBy(*group_cols, "n", "i").agg(
+    return hits.groupBy(*group_cols, "n", "i").agg(
         F.max("vlo").alias("vlo"), F.max("vhi").alias("vhi"), F.max("frac").alias("frac"))
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
+                    num_partitions: int | None = None) -> DataFrame:
+    """Exact linear quantiles of ``value_col`` per group (NULL / NaN skipped).
+
+    Returns one row per group with ``group_cols`` followed by one DOUBLE
+    column per probability (``names`` or ``q0, q1, ...``) and ``n`` (the
+    number of non-null values).
+    """
+    group_cols = list(group_cols)
+    names = list(names) if names else [f"q{i}" for i in range(len(probs))]
+
+    def targets(n):
+        out = []
+        for p in probs:
+            pos = F.lit(float(p)) * (n - 1).cast("double")
+            lo = F.floor(pos)
+            out.append((lo, F.ceil(pos), pos - lo))
+        return out
+
+    per_q = _order_stats(df, value_col, group_cols, targets, num_partitions)
     per_q = per_q.withColumn("q", F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
     out = per_q.groupBy(*group_cols).agg(
         F.max("n").alias("n"),
         *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(nm) for i, nm in enumerate(names)])
     return out.select(*group_cols, *names, "n")
+
+
+def order_statistic(df: DataFrame, value_col: str, rank_fn, group_cols: Sequence[str] = (),
+                    name: str = "value", num_partitions: int | None = None) -> DataFrame:
+    """The value at 0-based rank ``rank_fn(n)`` of the sorted non-null values
+    (e.g. ``lambda n: n / 2`` floored gives the upper median)."""
+    group_cols = list(group_cols)
+
+    def targets(n):
+        r = F.floor(rank_fn(n))
+        return [(r, r, F.lit(0.0))]
+
+    st = _order_stats(df, value_col, group_cols, targets, num_partitions)
+    return st.select(*group_cols, "n", F.col("vlo").alias(name))

@@ -294,6 +294,33 @@ REPLIES_SQL = "SELECT conv_id * 1000 + turn AS reply_id, text FROM conversations
     " UNION ALL SELECT CAST(-100 AS BIGINT), CAST(NULL AS VARCHAR)"
 
 
+# Reply shapes for the lenient JSON extraction.
+EDGE_JSON = [
+    '{"renamed_clusters": {"0": "Loyal"}, "descriptions": {"0": "d"}, "strategies": {"0": "s"}}',
+    'Here you go: {"renamed_clusters": {}, "descriptions": {}, "strategies": {}} hope it helps',
+    'List: [1, 2, 3] end',
+    '{broken',
+    '[{"a": 1}]',
+    '{"a": 1} and {"b": 2}',
+    'text [1, 2',
+]
+
+
+def json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns of `conversations` plus JSON-shaped edge replies."""
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), F.col("text"))
+    edge = spark.createDataFrame([(-(i + 1), t) for i, t in enumerate(EDGE_JSON)] + [(-100, None)],
+                                 "reply_id long, text string")
+    return conv.unionByName(edge)
+
+
+JSON_REPLIES_SQL = "SELECT conv_id * 1000 + turn AS reply_id, text FROM conversations WHERE role = 'assistant' UNION ALL " + \
+    " UNION ALL ".join(
+        f"SELECT CAST({-(i + 1)} AS BIGINT), '{t}'" for i, t in enumerate(EDGE_JSON)) + \
+    " UNION ALL SELECT CAST(-100 AS BIGINT), CAST(NULL AS VARCHAR)"
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product records: part title/price with a document as description.
 
@@ -347,6 +374,7 @@ VIEW_SQL = {
     "messages": MESSAGES_SQL,
     "replies": REPLIES_SQL,
     "products": PRODUCTS_SQL,
+    "json_replies": JSON_REPLIES_SQL,
 }
 
 VIEWS = {
@@ -362,6 +390,7 @@ VIEWS = {
     "messages": messages,
     "replies": replies,
     "products": products,
+    "json_replies": json_replies,
     "points": points,
 }
 
