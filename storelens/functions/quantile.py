@@ -3,15 +3,16 @@
 ``percentile`` is exact but its final merge holds every distinct value of a
 group in one task; with one hot group (a third of all rows) that is one task
 holding a third of the distinct values.  Here the order statistic is found
-with a range-partitioned sort instead:
+by splitting every group into value buckets instead:
 
 1. pre-aggregate ``(group, value) -> count`` (map-side combine; copies of a
    value collapse before the shuffle);
-2. ``repartitionByRange`` on ``(group, value)`` - a hot group is cut into many
-   contiguous ranges, one per partition;
-3. a per-partition running count (vectorised, ``mapInPandas``) plus a tiny
-   ``(group, partition) -> rows`` table whose prefix sums give each chunk's
-   global rank offset;
+2. cut the value axis into buckets whose bounds come from a bounded sample of
+   the distinct values, fixed once as literals - so a recomputation after a
+   lost executor puts every value in the same bucket again;
+3. a running count per (group, bucket) chunk (a window over one bounded
+   chunk), plus a tiny ``(group, bucket) -> rows`` table whose prefix sums
+   give each chunk's global rank offset;
 4. keep only the rows whose rank interval holds a wanted rank (at most two per
    quantile and group) and interpolate.
 
@@ -23,38 +24,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_C, _PID, _CUM = "_q_cnt", "_q_pid", "_q_cum"
+_C, _B, _CUM = "_q_cnt", "_q_bucket", "_q_cum"
+SAMPLES_PER_BUCKET = 20
 
 
-def _running_counts(key_names: list[str]):
-    def fn(batches):
-        from pyspark import TaskContext
+def _bucket_expr(v: Column, bounds: list[float]) -> Column:
+    """Number of bounds <= v, as a balanced CASE tree (log2 depth)."""
+    def build(lo: int, hi: int) -> Column:
+        # bucket is in [lo, hi]; bounds[lo..hi-1] separate the candidates
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(v >= F.lit(bounds[mid - 1]), build(mid, hi)).otherwise(build(lo, mid - 1))
 
-        pid = TaskContext.get().partitionId()
-        last_hash, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if key_names:
-                h = pd.util.hash_pandas_object(pdf[key_names], index=False).to_numpy()
-            else:
-                h = pd.Series(0, index=pdf.index, dtype="uint64").to_numpy()
-            change = pd.Series(h).ne(pd.Series(h).shift()).to_numpy()
-            change[0] = last_hash is None or h[0] != last_hash
-            seg = change.cumsum()
-            cum = pdf[_C].groupby(seg).cumsum().to_numpy()
-            if not change[0]:
-                cum[seg == seg[0]] += carry
-            last_hash = h[-1]
-            carry = int(cum[-1])
-            yield pdf.assign(**{_PID: pid, _CUM: cum})
+    return build(0, len(bounds))
 
-    return fn
+
+def _value_bounds(counted: DataFrame, value_col: str, nbuckets: int, seed: int = 17) -> list[float]:
+    """Up to ``nbuckets - 1`` increasing split points from a bounded sample."""
+    if nbuckets <= 1:
+        return []
+    total = counted.count()
+    if total == 0:
+        return []
+    want = nbuckets * SAMPLES_PER_BUCKET
+    frac = min(1.0, want / total)
+    rows = counted.select(value_col).sample(False, frac, seed).limit(4 * want).collect()
+    vals = sorted(r[0] for r in rows)
+    if not vals:
+        return []
+    step = len(vals) / nbuckets
+    picks = sorted({vals[min(len(vals) - 1, int(i * step))] for i in range(1, nbuckets)})
+    return picks
 
 
 def _order_stats(df: DataFrame, value_col: str, group_cols: list[str], targets_fn,
@@ -65,34 +69,35 @@ def _order_stats(df: DataFrame, value_col: str, group_cols: list[str], targets_f
     triples (0-based ranks) for a group of ``n`` non-null values.
     """
     spark = df.sparkSession
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nb = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     v = F.col(value_col).cast("double")
     clean = df.select(*group_cols, v.alias(value_col)).where(
         F.col(value_col).isNotNull() & ~F.isnan(value_col))
     counted = clean.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias(_C))
-    ranged = counted.repartitionByRange(nparts, *group_cols, value_col) \
-                    .sortWithinPartitions(*group_cols, value_col)
-    schema = T.StructType(list(counted.schema.fields) + [
-        T.StructField(_PID, T.IntegerType(), False),
-        T.StructField(_CUM, T.LongType(), False)])
-    ranked = ranged.mapInPandas(_running_counts(group_cols), schema)
-
-    # (group, partition) chunk sizes -> global offsets.  At most
-    # (#groups + #partitions) rows.
-    chunks = ranked.groupBy(*group_cols, _PID).agg(F.max(_CUM).alias("_q_chunk"))
+    bounds = _value_bounds(counted, value_col, nb)
+    bucketed = counted.withColumn(_B, _bucket_expr(F.col(value_col), bounds))
+
+    # Running count inside one (group, bucket) chunk: bounded by the bucket.
+    wc = Window.partitionBy(*group_cols, _B).orderBy(value_col).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    ranked = bucketed.withColumn(_CUM, F.sum(_C).over(wc))
+
+    # (group, bucket) chunk sizes -> global offsets.  At most
+    # (#groups x #buckets touched) rows, each group ordered by bucket.
+    chunks = bucketed.groupBy(*group_cols, _B).agg(F.sum(_C).alias("_q_chunk"))
     wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     chunks = chunks.select(
-        *group_cols, _PID,
+        *group_cols, _B,
         F.coalesce(F.sum("_q_chunk").over(
-            wg.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q_off"),
+            wg.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q_off"),
         F.sum("_q_chunk").over(wg).alias("n"))
     targets = [F.struct(F.lit(i).alias("i"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"),
                         frac.cast("double").alias("frac"))
                for i, (lo, hi, frac) in enumerate(targets_fn(F.col("n")))]
     chunks = chunks.withColumn("_q_t", F.array(*targets))
 
-    joined = ranked.join(chunks, on=[*group_cols, _PID], how="inner")
+    joined = ranked.join(chunks, on=[*group_cols, _B], how="inner")
     start = F.col("_q_off") + F.col(_CUM) - F.col(_C)
     end = F.col("_q_off") + F.col(_CUM) - 1
     hits = joined.select(*group_cols, "n", value_col, start.alias("_s"), end.alias("_e"),

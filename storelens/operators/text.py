@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.functions.exprs import ordered_when, py_round
 
@@ -145,7 +146,7 @@ def route_messages(df: DataFrame, text: str = "text") -> DataFrame:
 REQUIRED_KEYS = ["renamed_clusters", "descriptions", "strategies"]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _json_valid(s):
     """Strict JSON validity, as Python ``json.loads`` decides it.
 

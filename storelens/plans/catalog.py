@@ -20,6 +20,50 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _split_args(body: str) -> list[str]:
+    out, depth, cur, quote = [], 0, "", False
+    for ch in body:
+        if ch == "'":
+            quote = not quote
+        if not quote:
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 0:
+                out.append(cur.strip())
+                cur = ""
+                continue
+        cur += ch
+    out.append(cur.strip())
+    return out
+
+
+def explicit_quantiles(sql: str) -> str:
+    """Rewrite ``quantile_cont(x, p)`` as explicit linear interpolation.
+
+    DuckDB interpolates with a fused multiply-add, which no Spark expression
+    reproduces bit for bit; the oracle spells out ``lo + (hi - lo) * frac``
+    over the sorted values instead (the same rule, pandas' linear method).
+    """
+    key = "quantile_cont("
+    while key in sql:
+        i = sql.index(key)
+        j, depth = i + len(key), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        x, p = _split_args(sql[i + len(key):j - 1])
+        xs = f"CAST({x} AS DOUBLE)"
+        srt = f"list_sort(list({xs}) FILTER (WHERE {x} IS NOT NULL AND NOT isnan({xs})))"
+        pos = f"(CAST({p} AS DOUBLE) * CAST(len({srt}) - 1 AS DOUBLE))"
+        lo = f"{srt}[CAST(floor({pos}) AS BIGINT) + 1]"
+        hi = f"{srt}[CAST(ceil({pos}) AS BIGINT) + 1]"
+        expr = f"({lo} + ({hi} - {lo}) * ({pos} - floor({pos})))"
+        sql = sql[:i] + expr + sql[j:]
+    return sql
+
+
 def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Decorator: register ``fn`` under ``name`` with an optional oracle."""
 
@@ -28,7 +72,7 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query name {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql, *views) if views else sql.strip()
+            ORACLES[name] = explicit_quantiles(with_views(sql, *views) if views else sql.strip())
         return fn
 
     return deco

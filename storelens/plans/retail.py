@@ -48,13 +48,13 @@ GROUP BY customer_id, a.asof
 """
 
 
-def scores_sql(src: str, r_cut=60, f_cut=5, m_cut=200) -> str:
+def scores_sql(src: str, r_cut=60, f_cut=5, m_cut=200, r="recency", f="frequency", m="monetary") -> str:
     return f"""
 SELECT *, CAST(r_score AS VARCHAR) || CAST(f_score AS VARCHAR) || CAST(m_score AS VARCHAR) AS rfm_score
 FROM (SELECT *,
-        5 - least(CAST(trunc(recency / {float(r_cut)}) AS INTEGER) + 1, 5) AS r_score,
-        least(CAST(trunc(frequency / {float(f_cut)}) AS INTEGER) + 1, 5) AS f_score,
-        least(CAST(trunc(monetary / {float(m_cut)}) AS INTEGER) + 1, 5) AS m_score
+        5 - least(CAST(trunc({r} / {float(r_cut)}) AS INTEGER) + 1, 5) AS r_score,
+        least(CAST(trunc({f} / {float(f_cut)}) AS INTEGER) + 1, 5) AS f_score,
+        least(CAST(trunc({m} / {float(m_cut)}) AS INTEGER) + 1, 5) AS m_score
       FROM {src})
 """
 
