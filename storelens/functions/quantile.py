@@ -16,19 +16,27 @@ by splitting every group into value buckets instead:
 4. keep only the rows whose rank interval holds a wanted rank (at most two per
    quantile and group) and interpolate.
 
-The interpolation is the linear rule of pandas / numpy / DuckDB
-``quantile_cont``: position ``p * (n - 1)``, ``lo + (hi - lo) * frac``.
+The interpolation is the linear rule of pandas / numpy: position
+``p * (n - 1)``, written as Spark's exact ``percentile`` writes it,
+``(ceil(pos) - pos) * lo + (pos - floor(pos)) * hi`` - so the small-input
+fast path (the built-in aggregate, used when the distinct (group, value)
+table is provably small) and the bucketed path give identical bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _C, _B, _CUM = "_q_cnt", "_q_bucket", "_q_cum"
 SAMPLES_PER_BUCKET = 20
+# Above this many distinct (group, value) rows the bucketed path is used; at
+# or below it the built-in exact ``percentile`` holds at most this many
+# entries in one task.
+FAST_PATH_ROWS = 2_000_000
 
 
 def _bucket_expr(v: Column, bounds: list[float]) -> Column:
@@ -43,26 +51,36 @@ def _bucket_expr(v: Column, bounds: list[float]) -> Column:
     return build(0, len(bounds))
 
 
-def _value_bounds(counted: DataFrame, value_col: str, nbuckets: int, seed: int = 17) -> list[float]:
-    """Up to ``nbuckets - 1`` increasing split points from a bounded sample."""
+def _value_bounds(values: DataFrame, value_col: str, nbuckets: int, seed: int = 17) -> list[float]:
+    """Up to ``nbuckets - 1`` increasing split points from a bounded sample.
+
+    One pass: each partition keeps its ``want`` rows with the smallest
+    seeded random key, and only those reach the driver.  The sample only
+    balances the buckets; correctness never depends on it.
+    """
     if nbuckets <= 1:
         return []
-    total = counted.count()
-    if total == 0:
-        return []
     want = nbuckets * SAMPLES_PER_BUCKET
-    frac = min(1.0, want / total)
-    rows = counted.select(value_col).sample(False, frac, seed).limit(4 * want).collect()
+    rows = values.select(value_col).orderBy(F.rand(seed)).limit(want).collect()
     vals = sorted(r[0] for r in rows)
     if not vals:
         return []
     step = len(vals) / nbuckets
-    picks = sorted({vals[min(len(vals) - 1, int(i * step))] for i in range(1, nbuckets)})
-    return picks
+    return sorted({vals[min(len(vals) - 1, int(i * step))] for i in range(1, nbuckets)})
+
+
+def _counted(df: DataFrame, value_col: str, group_cols: list[str]) -> DataFrame:
+    v = F.col(value_col).cast("double")
+    clean = df.select(*group_cols, v.alias(value_col)).where(
+        F.col(value_col).isNotNull() & ~F.isnan(value_col))
+    # The distinct-value table feeds the size check / bucket sample and the
+    # main plan; keeping it (memory, spilling to disk) reads the input once.
+    return clean.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias(_C)) \
+                .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _order_stats(df: DataFrame, value_col: str, group_cols: list[str], targets_fn,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Rows (groups..., n, i, vlo, vhi, frac) for the wanted ranks.
 
     ``targets_fn(n)`` returns a list of (lo_rank, hi_rank, frac) Column
@@ -71,10 +89,8 @@ def _order_stats(df: DataFrame, value_col: str, group_cols: list[str], targets_f
     spark = df.sparkSession
     nb = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    v = F.col(value_col).cast("double")
-    clean = df.select(*group_cols, v.alias(value_col)).where(
-        F.col(value_col).isNotNull() & ~F.isnan(value_col))
-    counted = clean.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias(_C))
+    if counted is None:
+        counted = _counted(df, value_col, group_cols)
     bounds = _value_bounds(counted, value_col, nb)
     bucketed = counted.withColumn(_B, _bucket_expr(F.col(value_col), bounds))
 
@@ -114,7 +130,7 @@ def _order_stats(df: DataFrame, value_col: str, group_cols: list[str], targets_f
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, fast_path_rows: int = FAST_PATH_ROWS) -> DataFrame:
     """Exact linear quantiles of ``value_col`` per group (NULL / NaN skipped).
 
     Returns one row per group with ``group_cols`` followed by one DOUBLE
@@ -123,17 +139,26 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     """
     group_cols = list(group_cols)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
+    counted = _counted(df, value_col, group_cols)
+    if counted.limit(fast_path_rows + 1).count() <= fast_path_rows:
+        return counted.groupBy(*group_cols).agg(
+            *[F.percentile(F.col(value_col), F.lit(float(p)), F.col(_C)).alias(nm)
+              for p, nm in zip(probs, names)],
+            F.sum(_C).alias("n")).select(*group_cols, *names, "n")
 
     def targets(n):
         out = []
         for p in probs:
             pos = F.lit(float(p)) * (n - 1).cast("double")
             lo = F.floor(pos)
-            out.append((lo, F.ceil(pos), pos - lo))
+            out.append((lo, F.ceil(pos), pos))
         return out
 
-    per_q = _order_stats(df, value_col, group_cols, targets, num_partitions)
-    per_q = per_q.withColumn("q", F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
+    per_q = _order_stats(df, value_col, group_cols, targets, num_partitions, counted)
+    pos = F.col("frac")   # carries the position itself
+    q = F.when((F.floor(pos) == F.ceil(pos)) | (F.col("vlo") == F.col("vhi")), F.col("vlo")).otherwise(
+        (F.ceil(pos).cast("double") - pos) * F.col("vlo") + (pos - F.floor(pos).cast("double")) * F.col("vhi"))
+    per_q = per_q.withColumn("q", q)
     out = per_q.groupBy(*group_cols).agg(
         F.max("n").alias("n"),
         *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(nm) for i, nm in enumerate(names)])

@@ -90,7 +90,11 @@ def iqr_filter(df: DataFrame, columns: Sequence[str], lo: float = 0.25, hi: floa
     """
     base = df
     out = df
-    for c in columns:
+    for i, c in enumerate(columns):
+        if sequential and i > 0:
+            # the filtered table feeds both the next quantiles and the next
+            # filter; keep it instead of recomputing the whole lineage
+            out = out.persist()
         b = iqr_bounds(out if sequential else base, c, lo, hi, k)
         out = (out.crossJoin(F.broadcast(b.select(F.col("lower").alias("_lo"), F.col("upper").alias("_hi"))))
                   .where(F.col(c).between(F.col("_lo"), F.col("_hi")))

@@ -157,11 +157,11 @@ def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFram
     """Box-plot numbers per group (A25): q1, median, q3, whiskers (most extreme
     values inside k*IQR of the box), outlier count, n.
 
-    The per-group quartile table is small (one row per group) and is joined
-    back to the values broadcast when its size is proven small.
+    The per-group quartile table (one row per group) is joined back to the
+    values; AQE turns that into a broadcast join from the measured size.
     """
     q = exact_quantiles(df, value, [0.25, 0.5, 0.75], [group], names=["q1", "median", "q3"])
-    qb = broadcast_if_bounded(q)
+    qb = q   # one row per group; AQE broadcasts it from its runtime size
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - k * iqr, F.col("q3") + k * iqr
     v = F.col(value).cast("double")

@@ -31,7 +31,9 @@ def rfm(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
         freq.alias("frequency"),
         F.sum(money(amount)).cast("double").alias("monetary"))
     if as_of is None:
-        ref = F.broadcast(df.agg(F.max(ts).alias("_asof")))
+        # max over the per-customer maxima: reuses the aggregate's shuffle
+        # instead of a second pass over the raw rows
+        ref = F.broadcast(per.agg(F.max("_last").alias("_asof")))
     else:
         ref = F.broadcast(df.sparkSession.range(1).select(
             F.lit(as_of).cast(df.schema[ts].dataType).alias("_asof")))

@@ -53,7 +53,9 @@ def event_impact(sales: DataFrame, store: DataFrame, key: str = "store", date: s
     """
     monthly = sales.groupBy(key, F.last_day(F.col(date)).alias("month_end")).agg(
         exact_mean(metric).alias("m"))
-    st = broadcast_if_bounded(store.where(F.col(flag) == 1).select(key, start))
+    # a derived dimension: AQE broadcasts it at runtime when its stage is
+    # small, without an extra pass to measure it
+    st = store.where(F.col(flag) == 1).select(key, start)
     j = monthly.join(st, key)
     before = F.col("month_end") < F.col(start)
     agg = j.groupBy(key, start).agg(
@@ -142,9 +144,11 @@ def baseline_lookup(requests: DataFrame, store_avgs: DataFrame, key: str = "stor
     tables are dimensions joined with a size check; the global mean is a
     one-row broadcast.
     """
-    per_store = broadcast_if_bounded(store_avgs.groupBy(key).agg(F.avg("avg_sales").alias("_store_avg")))
-    per_type = F.broadcast(store_avgs.groupBy("store_type").agg(F.avg("avg_sales").alias("_type_avg"))
-                           .withColumnRenamed("store_type", "_st"))
+    # per-store / per-type tables are derived: AQE decides broadcast from
+    # their runtime size; the global mean is one row and always broadcast
+    per_store = store_avgs.groupBy(key).agg(F.avg("avg_sales").alias("_store_avg"))
+    per_type = (store_avgs.groupBy("store_type").agg(F.avg("avg_sales").alias("_type_avg"))
+                .withColumnRenamed("store_type", "_st"))
     glob = F.broadcast(store_avgs.agg(F.avg("avg_sales").alias("_global_avg")))
     j = (requests.join(per_store, requests["store_id"] == per_store[key], "left").drop(key)
                  .join(per_type, F.col("store_type") == F.col("_st"), "left").drop("_st")
@@ -190,7 +194,7 @@ def estimate_sales_baseline(parsed: DataFrame, store_avgs: DataFrame | None = No
         j = parsed.withColumn("_store_avg", F.lit(None).cast("double")).withColumn(
             "_global_avg", F.lit(float(BASELINE_SALES)))
     else:
-        per_store = broadcast_if_bounded(store_avgs.groupBy(key).agg(F.avg("avg_sales").alias("_store_avg")))
+        per_store = store_avgs.groupBy(key).agg(F.avg("avg_sales").alias("_store_avg"))
         glob = F.broadcast(store_avgs.agg(F.avg("avg_sales").alias("_global_avg")))
         j = parsed.join(per_store, parsed["store_id"] == per_store[key], "left").drop(key).crossJoin(glob)
     dowf = _factor(F.col("day_of_week"), dict(enumerate(BASELINE_WEEKDAY_FACTORS)))

@@ -44,7 +44,8 @@ def explicit_quantiles(sql: str) -> str:
 
     DuckDB interpolates with a fused multiply-add, which no Spark expression
     reproduces bit for bit; the oracle spells out ``lo + (hi - lo) * frac``
-    over the sorted values instead (the same rule, pandas' linear method).
+    over the sorted values instead (the same rule, pandas' linear method,
+    in the arithmetic order of Spark's exact ``percentile``).
     """
     key = "quantile_cont("
     while key in sql:
@@ -59,7 +60,8 @@ def explicit_quantiles(sql: str) -> str:
         pos = f"(CAST({p} AS DOUBLE) * CAST(len({srt}) - 1 AS DOUBLE))"
         lo = f"{srt}[CAST(floor({pos}) AS BIGINT) + 1]"
         hi = f"{srt}[CAST(ceil({pos}) AS BIGINT) + 1]"
-        expr = f"({lo} + ({hi} - {lo}) * ({pos} - floor({pos})))"
+        expr = (f"(CASE WHEN floor({pos}) = ceil({pos}) OR {lo} = {hi} THEN {lo} ELSE "
+                f"(CAST(ceil({pos}) AS DOUBLE) - {pos}) * {lo} + ({pos} - CAST(floor({pos}) AS DOUBLE)) * {hi} END)")
         sql = sql[:i] + expr + sql[j:]
     return sql
 
