@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import money
+from storelens.functions.exprs import money, py_round
 
 
 def customer_months(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
@@ -49,23 +49,23 @@ def cohorts(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_dat
         Window.unboundedPreceding, Window.currentRow)
     return out.select(
         "cohort_month", "cohort_index", "active", "cohort_size",
-        F.round(F.col("active") / F.col("cohort_size") * 100, 6).alias("retention_pct"),
+        py_round(F.col("active") / F.col("cohort_size") * 100, 6).alias("retention_pct"),
         F.col("revenue").cast("double").alias("revenue"),
-        F.round(rpa, 6).alias("rev_per_active"),
-        F.round(F.sum(rpa).over(w), 6).alias("clv"))
+        py_round(rpa, 6).alias("rev_per_active"),
+        py_round(F.sum(rpa).over(w), 6).alias("clv"))
 
 
 def retention_curve(cohort_table: DataFrame) -> DataFrame:
     """Mean retention % per cohort index over the cohorts that have the cell."""
     return cohort_table.groupBy("cohort_index").agg(
-        F.round(F.avg("retention_pct"), 4).alias("avg_retention_pct"),
+        py_round(F.avg("retention_pct"), 4).alias("avg_retention_pct"),
         F.count(F.lit(1)).alias("cohorts"))
 
 
 def clv_curve(cohort_table: DataFrame) -> DataFrame:
     """Mean cumulative value per active customer per cohort index."""
     return cohort_table.groupBy("cohort_index").agg(
-        F.round(F.avg("clv"), 4).alias("avg_clv"), F.count(F.lit(1)).alias("cohorts"))
+        py_round(F.avg("clv"), 4).alias("avg_clv"), F.count(F.lit(1)).alias("cohorts"))
 
 
 def to_wide(long: DataFrame, row: str, column: str, value: str, values: list | None = None) -> DataFrame:

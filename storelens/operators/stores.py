@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import any_substring, exact_mean, ordered_when
+from storelens.functions.exprs import any_substring, exact_mean, ordered_when, py_round
 from storelens.functions.sizing import broadcast_if_bounded
 
 
@@ -22,8 +22,8 @@ def enrich_sales(sales: DataFrame, store: DataFrame, key: str = "store") -> Data
 def store_averages(sales: DataFrame, store: DataFrame, key: str = "store",
                    digits: int = 6) -> DataFrame:
     """Store table + avg_sales and avg_customers from one aggregate."""
-    avgs = sales.groupBy(key).agg(F.round(exact_mean("sales"), digits).alias("avg_sales"),
-                                  F.round(F.avg("customers"), digits).alias("avg_customers"))
+    avgs = sales.groupBy(key).agg(py_round(exact_mean("sales"), digits).alias("avg_sales"),
+                                  py_round(F.avg("customers"), digits).alias("avg_customers"))
     return store.join(avgs, key, "left")
 
 

@@ -8,6 +8,7 @@ uses are prefixed as CTEs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,35 @@ def explicit_quantiles(sql: str) -> str:
     return sql
 
 
+def explicit_rounding(sql: str) -> str:
+    """Rewrite ``round(x, d)`` as ``round_even(x * 10^d, 0) / 10^d``.
+
+    Spark rounds a double through its shortest decimal text, DuckDB through
+    a scaled binary value; they disagree when that text ends in 5.  Scaling
+    first and rounding half-even to an integer gives the same bits in both
+    (the Spark side uses :func:`storelens.functions.exprs.py_round`).
+    """
+    out, i = [], 0
+    pat = re.compile(r"(?<![A-Za-z_])round\(")
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        j, depth = m.end(), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        args = _split_args(sql[m.end():j - 1])
+        x = explicit_rounding(args[0])
+        d = int(args[1]) if len(args) > 1 else 0
+        rep = (f"round_even({x}, 0)" if d == 0 else
+               f"(round_even(({x}) * {float(10 ** d)!r}, 0) / {float(10 ** d)!r})")
+        out.append(sql[i:m.start()])
+        out.append(rep)
+        i = j
+
+
 def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Decorator: register ``fn`` under ``name`` with an optional oracle."""
 
@@ -74,7 +104,8 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query name {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = explicit_quantiles(with_views(sql, *views) if views else sql.strip())
+            ORACLES[name] = explicit_rounding(explicit_quantiles(
+                with_views(sql, *views) if views else sql.strip()))
         return fn
 
     return deco

@@ -8,7 +8,7 @@ from storelens.operators import evaluate as EV
 from storelens.operators import price as P
 from storelens.operators import profile as PR
 from storelens.operators import text as TX
-from storelens.functions.exprs import py_round_sql
+from storelens.functions.exprs import py_round, py_round_sql
 from storelens.plans.catalog import register
 from storelens.plans.retail import CLEAN_SQL, clean_lines
 from storelens.sources.fixtures import VIEWS
@@ -265,7 +265,7 @@ r AS (SELECT id, truth, error, guess, failed,
 def q_score_rows(spark, sf):
     """E1 + E2: per-row error, squared log error, colour and failure flag."""
     s = EV.score_predictions(VIEWS["scored"](spark, sf))
-    return s.select("id", "error", "guess", F.round("sle", 8).alias("sle"), "color", "failed")
+    return s.select("id", "error", "guess", py_round("sle", 8).alias("sle"), "color", "failed")
 
 
 @register("score_report", f"""
@@ -281,11 +281,11 @@ FROM ok
 def q_score_report(spark, sf):
     """E3 + E4: report over successful rows with the upper median error."""
     rep = EV.score_report(EV.score_predictions(VIEWS["scored"](spark, sf)))
-    return rep.select("tested", "failed", "success", F.round("mae", 6).alias("mae"),
-                      F.round("rmsle", 8).alias("rmsle"), F.round("mape_pct", 6).alias("mape_pct"),
-                      F.round("hit_rate_pct", 6).alias("hit_rate_pct"),
-                      F.round("trend_slope", 6).alias("trend_slope"),
-                      F.round("trend_intercept", 6).alias("trend_intercept"), "median_error")
+    return rep.select("tested", "failed", "success", py_round("mae", 6).alias("mae"),
+                      py_round("rmsle", 8).alias("rmsle"), py_round("mape_pct", 6).alias("mape_pct"),
+                      py_round("hit_rate_pct", 6).alias("hit_rate_pct"),
+                      py_round("trend_slope", 6).alias("trend_slope"),
+                      py_round("trend_intercept", 6).alias("trend_intercept"), "median_error")
 
 
 @register("score_error_histogram", f"""

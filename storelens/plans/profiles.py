@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storelens.functions.exprs import py_round
+
 from storelens.operators import clean as C
 from storelens.operators import profile as PR
 from storelens.operators import rfm as R
@@ -59,8 +61,8 @@ RFM_COLS = ["recency", "frequency", "monetary"]
 @register("describe_rfm", RFM_SQL_CTE + _describe_sql("rfm", RFM_COLS), views=("retail_lines_dup",))
 def q_describe(spark, sf_dir):
     """describe() of the RFM table with exact linear quartiles."""
-    d = PR.describe(R.rfm(clean_lines(spark, sf_dir)), RFM_COLS)
-    return d.select("column", "count", F.round("mean", 4).alias("mean"), F.round("std", 2).alias("std"),
+    d = PR.describe(R.rfm(clean_lines(spark, sf_dir)).persist(), RFM_COLS)
+    return d.select("column", "count", py_round("mean", 4).alias("mean"), py_round("std", 2).alias("std"),
                     "min", "p25", "p50", "p75", "max")
 
 
@@ -99,7 +101,7 @@ def _corr_sql() -> str:
 def q_corr(spark, sf_dir):
     """Pearson matrix of store sales features (zero variance -> NULL)."""
     out = PR.corr_matrix(VIEWS["store_sales"](spark, sf_dir), CORR_COLS)
-    return out.select("x", "y", F.round("corr", 6).alias("corr"))
+    return out.select("x", "y", py_round("corr", 6).alias("corr"))
 
 
 def _hist_sql(src: str, col: str, bins: int) -> str:
@@ -119,7 +121,7 @@ FROM s CROSS JOIN r LEFT JOIN c ON s.bin = c.bin
           views=("retail_lines_dup",))
 def q_hist(spark, sf_dir):
     """30-bin histogram of customer monetary value, empty bins kept."""
-    return PR.histogram(R.rfm(clean_lines(spark, sf_dir)), "monetary", 30)
+    return PR.histogram(R.rfm(clean_lines(spark, sf_dir)).persist(), "monetary", 30)
 
 
 @register("histogram_log_sales", "WITH x AS (SELECT ln(1 + sales) AS log_sales FROM store_sales)"
@@ -140,7 +142,7 @@ FROM d CROSS JOIN r GROUP BY 1, 2
 """, views=("retail_lines_dup",))
 def q_scatter(spark, sf_dir):
     """20x20 binned recency x monetary scatter."""
-    return PR.scatter_bins(R.rfm(clean_lines(spark, sf_dir)), "recency", "monetary", 20, 20)
+    return PR.scatter_bins(R.rfm(clean_lines(spark, sf_dir)).persist(), "recency", "monetary", 20, 20)
 
 
 @register("null_patterns", "SELECT " + ", ".join(
@@ -180,7 +182,7 @@ def q_box(spark, sf_dir):
 def q_mean_ci(spark, sf_dir):
     """Mean per group behind the bar charts."""
     out = PR.mean_ci(VIEWS["store_sales"](spark, sf_dir), "promo", "sales")
-    return out.select("promo", F.round("mean", 4).alias("mean"), "n")
+    return out.select("promo", py_round("mean", 4).alias("mean"), "n")
 
 
 @register("dataset_profile", """
@@ -191,7 +193,7 @@ def q_dataset_profile(spark, sf_dir):
     """Global scalars of the item table."""
     st = PR.dataset_profile(VIEWS["item_texts"](spark, sf_dir), "price")["stats"]
     return st.select("rows", F.col("columns").cast("int").alias("columns"), "count", "min", "max",
-                     F.round("mean", 6).alias("mean"), "median")
+                     py_round("mean", 6).alias("mean"), "median")
 
 
 @register("iqr_filter_sales", """
@@ -214,7 +216,7 @@ SELECT s2.* FROM s2 CROSS JOIN b3 WHERE monetary BETWEEN lo - 1.5 * (hi - lo) AN
 """, views=("retail_lines_dup",))
 def q_iqr_seq(spark, sf_dir):
     """Sequential 1/99 % filter over recency, frequency, monetary."""
-    return C.iqr_filter(R.rfm(clean_lines(spark, sf_dir)), RFM_COLS, 0.01, 0.99, 1.5, sequential=True)
+    return C.iqr_filter(R.rfm(clean_lines(spark, sf_dir)).persist(), RFM_COLS, 0.01, 0.99, 1.5, sequential=True)
 
 
 @register("store_clean", """

@@ -96,8 +96,8 @@ def segment_summary(spark, sf_dir):
     return named.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum(F.col("monetary").cast("decimal(18,2)")).cast("double").alias("revenue"),
-        F.bround(F.avg("recency"), 4).alias("avg_recency"),
-        F.bround(F.avg("frequency"), 4).alias("avg_frequency"),
+        F.avg("recency").alias("avg_recency"),
+        F.avg("frequency").alias("avg_frequency"),
         F.min("rfm_score").alias("min_rfm_score"),
         F.max("rfm_score").alias("max_rfm_score"))
 
@@ -106,7 +106,7 @@ register("segment_summary", _with_clean(f"""
 , rfm AS ({rfm_sql()}), sc AS ({scores_sql('rfm', **ENTRY_CUTS)})
 SELECT {NINE_SQL} AS segment, count(*) AS customers,
        CAST(sum(CAST(monetary AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
-       round_even(avg(recency), 4) AS avg_recency, round_even(avg(frequency), 4) AS avg_frequency,
+       avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
        min(rfm_score) AS min_rfm_score, max(rfm_score) AS max_rfm_score
 FROM sc GROUP BY 1
 """), views=("retail_lines_dup",))(segment_summary)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import py_round_sql
+from storelens.functions.exprs import py_round, py_round_sql
 from storelens.operators import clean as C
 from storelens.operators import features as FE
 from storelens.operators import rfm as R
@@ -17,8 +17,9 @@ RFM_COLS = ["recency", "frequency", "monetary"]
 
 def seg_base(spark, sf):
     """RFM of known customers with the notebook's 1/99 % monetary outlier cut."""
-    rfm = C.drop_unknown(R.rfm(clean_lines(spark, sf)), "customer_id", -1)
-    return C.iqr_filter(rfm, ["monetary"], 0.01, 0.99, 1.5)
+    # per-customer rows, reused by several passes (quantiles, filter, scale)
+    rfm = C.drop_unknown(R.rfm(clean_lines(spark, sf)), "customer_id", -1).persist()
+    return C.iqr_filter(rfm, ["monetary"], 0.01, 0.99, 1.5).persist()
 
 
 def labelled(spark, sf):
@@ -96,8 +97,8 @@ SELECT segment_id, count, avg_recency, avg_frequency, avg_monetary, total_moneta
 def q_stats(spark, sf):
     """A22 + A24: per-segment statistics and share (segment = recency score)."""
     st = SG.segment_stats(labelled(spark, sf), "segment_id")
-    return st.withColumns({"std_recency": F.round("std_recency", 6), "std_frequency": F.round("std_frequency", 6),
-                           "std_monetary": F.round("std_monetary", 2)})
+    return st.withColumns({"std_recency": py_round("std_recency", 6), "std_frequency": py_round("std_frequency", 6),
+                           "std_monetary": py_round("std_monetary", 2)})
 
 
 @register("radar_profile", BASE_SQL.rstrip() + """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import exact_mean
+from storelens.functions.exprs import exact_mean, py_round
 from storelens.operators import clean as C
 from storelens.operators import stores as S
 from storelens.operators import timeseries as TS
@@ -57,7 +57,7 @@ def q_store_averages(spark, sf):
 def q_risk(spark, sf):
     """A3: mean and sample std of daily sales per store."""
     r = S.risk_return(_sales(spark, sf))
-    return r.select("store", F.round("expected_sales", 4).alias("expected_sales"), F.round("risk", 2).alias("risk"))
+    return r.select("store", py_round("expected_sales", 4).alias("expected_sales"), py_round("risk", 2).alias("risk"))
 
 
 @register("competition_impact", f"""
@@ -78,9 +78,9 @@ def q_competition(spark, sf):
     st = S.competition_start(_store(spark, sf))
     out = S.event_impact(_sales(spark, sf), st)
     return out.select("store", "competition_start_date", "months",
-                      F.round("avg_sales_before", 4).alias("avg_sales_before"),
-                      F.round("avg_sales_after", 4).alias("avg_sales_after"),
-                      F.round("percent_change", 4).alias("percent_change"))
+                      py_round("avg_sales_before", 4).alias("avg_sales_before"),
+                      py_round("avg_sales_after", 4).alias("avg_sales_after"),
+                      py_round("percent_change", 4).alias("percent_change"))
 
 
 @register("top_competition_losers", f"""
@@ -97,7 +97,7 @@ def q_losers(spark, sf):
     st = S.competition_start(_store(spark, sf))
     out = S.event_impact(_sales(spark, sf), st)
     return out.orderBy("percent_change", "store").limit(10).select(
-        "store", F.round("percent_change", 4).alias("percent_change"))
+        "store", py_round("percent_change", 4).alias("percent_change"))
 
 
 @register("monthly_sales", """
@@ -114,9 +114,9 @@ def q_monthly(spark, sf):
     ss = _sales(spark, sf).withColumn("month_start", F.trunc("date", "MM"))
     m = ss.groupBy("month_start").agg(
         F.sum(F.col("sales").cast("decimal(18,2)")).cast("double").alias("total_sales"),
-        F.round(exact_mean("sales"), 4).alias("avg_sales"))
+        py_round(exact_mean("sales"), 4).alias("avg_sales"))
     m = TS.pct_change(m, "month_start", "total_sales")
-    return m.withColumn("total_sales_pct_change", F.round("total_sales_pct_change", 6))
+    return m.withColumn("total_sales_pct_change", py_round("total_sales_pct_change", 6))
 
 
 @register("daily_sales_ma7", """
@@ -131,7 +131,7 @@ def q_daily(spark, sf):
     """W1 + W2: gap-filled daily totals with a 7-row trailing mean."""
     d = TS.resample_daily(_sales(spark, sf), "date", "sales")
     d = TS.moving_avg(d, "date", "sales", 7)
-    return d.withColumn("sales_ma7", F.round("sales_ma7", 4))
+    return d.withColumn("sales_ma7", py_round("sales_ma7", 4))
 
 
 @register("store_daily_resample", """
@@ -160,7 +160,7 @@ def q_pivot(spark, sf):
     """Mean sales, day of month x month (NULL where a cell is empty)."""
     ss = _sales(spark, sf).select(F.dayofmonth("date").alias("day"), F.month("date").alias("month"), "sales")
     p = ss.groupBy("day").pivot("month", list(range(1, 13))).agg(exact_mean("sales"))
-    return p.select("day", *[F.round(F.col(str(m)), 4).alias(f"m{m}") for m in range(1, 13)])
+    return p.select("day", *[py_round(F.col(str(m)), 4).alias(f"m{m}") for m in range(1, 13)])
 
 
 PARSE_SQL = r"""
@@ -223,8 +223,8 @@ def q_estimates(spark, sf):
     sa = S.store_averages(_sales(spark, sf), _store(spark, sf))
     parsed = S.parse_store_request(VIEWS["store_requests"](spark, sf))
     e = S.estimate_sales(parsed, sa)
-    return e.select("request_id", "store_id", "store_type", F.round("base", 4).alias("base"),
-                    F.round("estimate", 4).alias("estimate"))
+    return e.select("request_id", "store_id", "store_type", py_round("base", 4).alias("base"),
+                    py_round("estimate", 4).alias("estimate"))
 
 
 @register("sales_estimates_baseline", f"WITH {STORE_CLEAN_SQL.strip()}, {AVGS_SQL.strip()}, "
@@ -242,7 +242,7 @@ def q_estimates_baseline(spark, sf):
     sa = S.store_averages(_sales(spark, sf), _store(spark, sf))
     parsed = S.parse_store_request(VIEWS["store_requests"](spark, sf), all_formats=True)
     e = S.estimate_sales_baseline(parsed, sa)
-    return e.select("request_id", "store_id", "date", F.round("estimate", 4).alias("estimate"))
+    return e.select("request_id", "store_id", "date", py_round("estimate", 4).alias("estimate"))
 
 
 @register("ar1_forecast", """
@@ -254,5 +254,5 @@ SELECT store, n_pairs, last_date, last_value, round(sxy / sxx, 6) AS phi, round(
 def q_ar1(spark, sf):
     """Per-store AR(1) coefficient and one-step forecast."""
     a = TS.ar1_forecast(_sales(spark, sf), "store", "date", "sales", 1)
-    return a.select("store", "n_pairs", "last_date", "last_value", F.round("phi", 6).alias("phi"),
-                    F.round("forecast", 2).alias("forecast"))
+    return a.select("store", "n_pairs", "last_date", "last_value", py_round("phi", 6).alias("phi"),
+                    py_round("forecast", 2).alias("forecast"))
