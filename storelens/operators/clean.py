@@ -1,8 +1,10 @@
 """Projections, filters and cleaning.
 
 Global statistics a fill or filter needs (median, max, quantile bounds) are
-computed as one-row aggregates and cross-joined back: a one-row side is a
-broadcast by construction, so no shuffle of the large input is needed.
+one-row aggregates.  They are fetched (one row, bounded) and applied as
+literals: the statistic's plan is not nested into the data's plan again -
+which would double the lineage at every step of a chained filter - and a
+literal range filter can be pushed into the scan.
 """
 
 from __future__ import annotations
@@ -27,22 +29,20 @@ def _one_row(df: DataFrame, stat) -> DataFrame:
     return df.agg(stat.alias("_fill"))
 
 
+def _fill_literal(df: DataFrame, column: str, value) -> DataFrame:
+    typ = df.schema[column].dataType
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(value).cast(typ)))
+
+
 def fill_median(df: DataFrame, column: str) -> DataFrame:
     """NULL -> exact median of the column."""
-    med = exact_quantiles(df, column, [0.5], names=["_fill"]).select("_fill")
-    typ = df.schema[column].dataType
-    return (df.crossJoin(F.broadcast(med))
-              .withColumn(column, F.coalesce(F.col(column), F.col("_fill").cast(typ)))
-              .drop("_fill"))
+    row = exact_quantiles(df, column, [0.5], names=["_fill"]).first()
+    return _fill_literal(df, column, None if row is None else row["_fill"])
 
 
 def fill_max_plus(df: DataFrame, column: str, plus: int = 1) -> DataFrame:
     """NULL -> column max + ``plus``."""
-    mx = _one_row(df, F.max(column) + plus)
-    typ = df.schema[column].dataType
-    return (df.crossJoin(F.broadcast(mx))
-              .withColumn(column, F.coalesce(F.col(column), F.col("_fill").cast(typ)))
-              .drop("_fill"))
+    return _fill_literal(df, column, _one_row(df, F.max(column) + plus).first()["_fill"])
 
 
 def presence_flag(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -72,12 +72,13 @@ def map_labels(df: DataFrame, column: str, mapping: Mapping, out: str, default:
     return df.withColumn(out, map_lookup(column, mapping, default))
 
 
-def iqr_bounds(df: DataFrame, column: str, lo: float = 0.25, hi: float = 0.75, k: float = 1.5) -> DataFrame:
-    """One row: q_lo, q_hi, lower and upper bound for ``column``."""
+def iqr_bounds(df: DataFrame, column: str, lo: float = 0.25, hi: float = 0.75,
+               k: float = 1.5) -> tuple[float | None, float | None]:
+    """(lower, upper) = (q_lo - k*IQR, q_hi + k*IQR) for ``column``."""
     q = exact_quantiles(df, column, [lo, hi], names=["q_lo", "q_hi"])
     iqr = F.col("q_hi") - F.col("q_lo")
-    return q.select("q_lo", "q_hi", (F.col("q_lo") - k * iqr).alias("lower"),
-                    (F.col("q_hi") + k * iqr).alias("upper"))
+    row = q.select((F.col("q_lo") - k * iqr).alias("lower"), (F.col("q_hi") + k * iqr).alias("upper")).first()
+    return (None, None) if row is None else (row["lower"], row["upper"])
 
 
 def iqr_filter(df: DataFrame, columns: Sequence[str], lo: float = 0.25, hi: float = 0.75,
@@ -95,10 +96,10 @@ def iqr_filter(df: DataFrame, columns: Sequence[str], lo: float = 0.25, hi: floa
             # the filtered table feeds both the next quantiles and the next
             # filter; keep it instead of recomputing the whole lineage
             out = out.persist()
-        b = iqr_bounds(out if sequential else base, c, lo, hi, k)
-        out = (out.crossJoin(F.broadcast(b.select(F.col("lower").alias("_lo"), F.col("upper").alias("_hi"))))
-                  .where(F.col(c).between(F.col("_lo"), F.col("_hi")))
-                  .drop("_lo", "_hi"))
+        lower, upper = iqr_bounds(out if sequential else base, c, lo, hi, k)
+        if lower is None:           # no values at all: nothing survives
+            return out.where(F.lit(False))
+        out = out.where(F.col(c).between(F.lit(lower), F.lit(upper)))
     return out
 
 

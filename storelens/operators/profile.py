@@ -119,10 +119,12 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """
     v = F.col(column).cast("double")
     data = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    rng = F.broadcast(data.agg(F.min("v").alias("mn"), F.max("v").alias("mx")))
+    r = data.agg(F.min("v").alias("mn"), F.max("v").alias("mx")).first()
+    rng = df.sparkSession.range(1).select(F.lit(r["mn"]).cast("double").alias("mn"),
+                                          F.lit(r["mx"]).cast("double").alias("mx"))
     frac = F.coalesce(F.try_divide(F.col("v") - F.col("mn"), F.col("mx") - F.col("mn")), F.lit(0.0))
     b = F.least(F.floor(frac * bins).cast("int"), F.lit(bins - 1)) + 1
-    counts = data.crossJoin(rng).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = data.crossJoin(F.broadcast(rng)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spine = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).crossJoin(rng)
     width = (F.col("mx") - F.col("mn")) / bins
     return spine.join(counts, "bin", "left").select(
@@ -135,8 +137,10 @@ def scatter_bins(df: DataFrame, x: str, y: str, nx: int = 20, ny: int = 20) -> D
     """2-D equal-width counts: the bounded form of a scatter plot."""
     data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
-    rng = F.broadcast(data.agg(F.min("x").alias("xmn"), F.max("x").alias("xmx"),
-                               F.min("y").alias("ymn"), F.max("y").alias("ymx")))
+    r = data.agg(F.min("x").alias("xmn"), F.max("x").alias("xmx"),
+                 F.min("y").alias("ymn"), F.max("y").alias("ymx")).first()
+    rng = F.broadcast(df.sparkSession.range(1).select(
+        *[F.lit(r[c]).cast("double").alias(c) for c in ("xmn", "xmx", "ymn", "ymx")]))
 
     def bucket(c, mn, mx, n):
         frac = F.coalesce(F.try_divide(F.col(c) - F.col(mn), F.col(mx) - F.col(mn)), F.lit(0.0))

@@ -3,6 +3,6 @@
 from storelens.plans.catalog import ORACLES, QUERIES, register
 
 # Importing the modules registers their queries.
-from storelens.plans import retail, profiles, stores, pricing, segments, clusters  # noqa: F401,E402
+from storelens.plans import retail, profiles, stores, pricing, segments, clusters, models  # noqa: F401,E402
 
 __all__ = ["QUERIES", "ORACLES", "register"]

@@ -32,6 +32,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.master("local[*]")
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    # local mode runs everything in the driver JVM; only used when this call
+    # starts the JVM (a cluster sets executor / driver memory at submit)
+    conf["spark.driver.memory"] = os.environ.get("STORELENS_DRIVER_MEMORY", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
