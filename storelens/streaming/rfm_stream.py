@@ -19,14 +19,18 @@ from storelens.functions.exprs import money
 
 def customer_state_stream(spark: SparkSession, source_dir: str, schema: T.StructType, state_path: str,
                           checkpoint: str, customer: str = "customer_id", ts: str = "invoice_date",
-                          amount: str = "amount", invoice: str = "invoice", watermark: str = "30 days"):
+                          amount: str = "amount", invoice: str = "invoice", watermark: str | None = None):
     """Start the streaming aggregation; returns the ``StreamingQuery``.
 
-    The watermark bounds late data; state per customer is three numbers.
+    State per customer is three numbers and is kept for every customer (it
+    *is* the RFM state).  With ``watermark`` rows later than that behind the
+    newest event time are dropped (the event time is read as a session-zone
+    timestamp for this).
     """
     src = spark.readStream.schema(schema).parquet(source_dir)
-    agg = (src.withWatermark(ts, watermark)
-              .groupBy(customer)
+    if watermark:
+        src = src.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", watermark)
+    agg = (src.groupBy(customer)
               .agg(F.max(ts).alias("last_purchase"), F.count(invoice).alias("frequency"),
                    F.sum(money(amount)).alias("monetary")))
 
