@@ -137,12 +137,13 @@ def ensemble_price(df: DataFrame, cols: Sequence[str] = ("specialist", "frontier
     n = F.size(valid)
     if model is None:
         kept = F.when(n >= 3, F.slice(valid, F.lit(2), n - 2)).otherwise(valid)
-        mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)
+        mean = F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), F.size(kept))
         return df.withColumn(out, F.when(n == 0, F.lit(ENSEMBLE_FALLBACK)).otherwise(mean))
     from pyspark.ml.functions import vector_to_array  # noqa: F401
 
-    avg_valid = F.aggregate(valid, F.lit(0.0), lambda a, x: a + x) / n
-    filled = [F.coalesce(F.col(c).cast("double"), avg_valid).alias(f"_f_{c}") for c in cols]
+    avg_valid = F.try_divide(F.aggregate(valid, F.lit(0.0), lambda a, x: a + x), n)
+    # rows without any estimate get 0 here; their result is the 9.99 fallback
+    filled = [F.coalesce(F.col(c).cast("double"), avg_valid, F.lit(0.0)).alias(f"_f_{c}") for c in cols]
     tmp = df.withColumn("_n_valid", n).select("*", *filled)
     fc = [f"_f_{c}" for c in cols]
     tmp = tmp.withColumns({"_min": F.least(*fc), "_max": F.greatest(*fc)})
@@ -165,7 +166,7 @@ def fit_stacker(df: DataFrame, cols: Sequence[str] = ("specialist", "frontier",
     from pyspark.ml.regression import LinearRegression
 
     valid = F.array_compact(F.array(*[F.col(c).cast("double") for c in cols]))
-    avg_valid = F.aggregate(valid, F.lit(0.0), lambda a, x: a + x) / F.size(valid)
+    avg_valid = F.try_divide(F.aggregate(valid, F.lit(0.0), lambda a, x: a + x), F.size(valid))
     fc = [f"_f_{c}" for c in cols]
     tr = df.where(F.size(valid) > 0).select(
         F.col(label).cast("double").alias("label"),

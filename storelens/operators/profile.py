@@ -229,3 +229,42 @@ def dataset_profile(df: DataFrame, price: str, country: str | None = None, text:
 
         out["sample"] = stable_sample(df.select(text), text, sample, seed)
     return out
+
+
+def rfm_summary(df: DataFrame, cols: Sequence[str] = ("recency", "frequency", "monetary")) -> DataFrame:
+    """Per metric: min, max, mean, median, p25, p75 and its correlation with
+    every metric (A20).  One aggregate plus one grouped-quantile pass."""
+    cols = list(cols)
+    long = unpivot(df, cols)
+    base = long.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"),
+                                      F.avg("value").alias("mean"))
+    q = exact_quantiles(long, "value", [0.5, 0.25, 0.75], ["column"], names=["median", "p25", "p75"]).drop("n")
+    cm = corr_matrix(df, cols)
+    corr = cm.groupBy(F.col("x").alias("column")).agg(
+        *[F.max(F.when(F.col("y") == c, F.col("corr"))).alias(f"corr_with_{c}") for c in cols])
+    return base.join(q, "column").join(corr, "column")
+
+
+def kde(df: DataFrame, column: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
+    """Gaussian kernel density on a grid (A27), Scott's bandwidth
+    h = sample std * n^(-1/5), grid over [min - cut*h, max + cut*h].
+
+    Rows are first reduced to (value, count); the grid (``grid`` points,
+    fixed) is broadcast, so the work is distinct values x grid points.
+    """
+    v = F.col(column).cast("double")
+    data = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    st = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
+                  F.min("v").alias("mn"), F.max("v").alias("mx")).first()
+    n, sd, mn, mx = st["n"], st["sd"], st["mn"], st["mx"]
+    spark = df.sparkSession
+    if not n or sd is None or sd == 0:
+        return spark.createDataFrame([], "point int, x double, density double")
+    h = sd * n ** (-0.2)
+    lo, hi = mn - cut * h, mx + cut * h
+    pts = spark.range(grid).select(F.col("id").cast("int").alias("point"),
+                                   (F.lit(lo) + F.col("id") * F.lit((hi - lo) / (grid - 1))).alias("x"))
+    vals = data.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    z = (F.col("x") - F.col("v")) / F.lit(h)
+    dens = F.sum(F.col("c") * F.exp(F.lit(-0.5) * z * z)) / F.lit(n * h * (2 * 3.141592653589793) ** 0.5)
+    return vals.crossJoin(F.broadcast(pts)).groupBy("point", "x").agg(dens.alias("density"))

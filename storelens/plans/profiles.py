@@ -232,3 +232,38 @@ FROM f CROSS JOIN m
 def q_store_clean(spark, sf_dir):
     """Presence flag, median fill, max+1 fill, constant fills."""
     return C.clean_store(VIEWS["store"](spark, sf_dir))
+
+
+def _summary_sql() -> str:
+    parts = []
+    for c in RFM_COLS:
+        corr = ", ".join(
+            f"round(CASE WHEN stddev_samp({c}) > 0 AND stddev_samp({o}) > 0 THEN corr(CAST({c} AS DOUBLE), "
+            f"CAST({o} AS DOUBLE)) END, 6) AS corr_with_{o}" for o in RFM_COLS)
+        parts.append(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, "
+                     f"round(avg({c}), 4) AS mean, quantile_cont({c}, 0.5) AS median, "
+                     f"quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.75) AS p75, {corr} FROM rfm")
+    return " UNION ALL ".join(parts)
+
+
+@register("rfm_summary", RFM_SQL_CTE + _summary_sql(), views=("retail_lines_dup",))
+def q_rfm_summary(spark, sf_dir):
+    """RFM summary (min, max, mean, median, quartiles) and correlations."""
+    s = PR.rfm_summary(R.rfm(clean_lines(spark, sf_dir)).persist(), RFM_COLS)
+    return s.select("column", "min", "max", py_round("mean", 4).alias("mean"), "median", "p25", "p75",
+                    *[py_round(f"corr_with_{c}", 6).alias(f"corr_with_{c}") for c in RFM_COLS])
+
+
+@register("kde_recency", RFM_SQL_CTE.rstrip() + """
+, d AS (SELECT CAST(recency AS DOUBLE) AS v FROM rfm WHERE recency IS NOT NULL),
+st AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS mn, max(v) AS mx FROM d),
+b AS (SELECT n, sd * pow(n, -0.2) AS h, mn - 3.0 * sd * pow(n, -0.2) AS lo, mx + 3.0 * sd * pow(n, -0.2) AS hi FROM st),
+g AS (SELECT CAST(range AS INTEGER) AS point, lo + range * ((hi - lo) / 199) AS x FROM b, range(200)),
+vals AS (SELECT v, count(*) AS c FROM d GROUP BY 1)
+SELECT point, round(x, 6) AS x, round(sum(c * exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / (n * h * sqrt(2 * pi())), 12) AS density
+FROM g, vals, b GROUP BY point, x, n, h
+""", views=("retail_lines_dup",))
+def q_kde(spark, sf_dir):
+    """Gaussian KDE of customer recency on a 200-point grid (Scott bandwidth)."""
+    k = PR.kde(R.rfm(clean_lines(spark, sf_dir)).persist(), "recency", 200, 3.0)
+    return k.select("point", py_round("x", 6).alias("x"), py_round("density", 12).alias("density"))
