@@ -53,6 +53,14 @@ def scrub_details(c: Column) -> Column:
     return out
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the
+    cluster's parallelism (one big file or row group arrives as one
+    partition) - for CPU-heavy per-row text work only."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def curate_items(df: DataFrame, title: str = "title", description: str = "description",
                  features: str = "features", details: str = "details") -> DataFrame:
     """Curated product text (R16), character-based path.
@@ -63,6 +71,7 @@ def curate_items(df: DataFrame, title: str = "title", description: str = "descri
     is longer than 300 characters; ``text`` keeps the first 560 characters,
     ``token_count`` = len(full text) div 4.
     """
+    df = spread(df)
     desc = F.array_join(F.coalesce(F.col(description), F.array().cast("array<string>")), "\n")
     feat = F.array_join(F.coalesce(F.col(features), F.array().cast("array<string>")), "\n")
     det = F.col(details)

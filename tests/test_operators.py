@@ -234,3 +234,42 @@ def test_segment_report_and_insights(spark):
     rep = SG.segment_report(ins and SG.segment_insights(st)).first()
     assert rep["report"].startswith("# Customer Segmentation Report")
     assert rep["summary"].splitlines() == ["- Champions: 10 customers (50.0%)", "- Lost Customers: 10 customers (50.0%)"]
+
+
+def _dbscan_brute(x, eps, min_samples):
+    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(-1))
+    adj = d <= eps
+    core = adj.sum(1) >= min_samples
+    comp = -np.ones(len(x), dtype=int)
+    for i in np.flatnonzero(core):
+        if comp[i] >= 0:
+            continue
+        stack, members = [i], []
+        comp[i] = i
+        while stack:
+            j = stack.pop()
+            members.append(j)
+            for k in np.flatnonzero(adj[j] & core):
+                if comp[k] < 0:
+                    comp[k] = i
+                    stack.append(k)
+        m = min(members)
+        comp[members] = m
+    lab = comp.copy()
+    for i in np.flatnonzero(~core):
+        nb = np.flatnonzero(adj[i] & core)
+        lab[i] = comp[nb].min() if len(nb) else -1
+    order = {v: r for r, v in enumerate(sorted(set(lab[lab >= 0])))}
+    return np.array([order[v] if v >= 0 else -1 for v in lab])
+
+
+def test_dbscan_matches_brute_force(spark):
+    from storelens.operators.dbscan import dbscan
+
+    rng = np.random.default_rng(11)
+    x = np.vstack([_blobs(90, 4), rng.uniform(-5, 15, (12, 2))])
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)],
+                               "id long, features array<double>")
+    exp = _dbscan_brute(x, 1.2, 4)
+    got = {r["id"]: r["dbscan_cluster"] for r in dbscan(df, 1.2, 4, block_rows=32).collect()}
+    assert [got[i] for i in range(len(x))] == exp.tolist()
