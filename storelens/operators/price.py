@@ -139,8 +139,6 @@ def ensemble_price(df: DataFrame, cols: Sequence[str] = ("specialist", "frontier
         kept = F.when(n >= 3, F.slice(valid, F.lit(2), n - 2)).otherwise(valid)
         mean = F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), F.size(kept))
         return df.withColumn(out, F.when(n == 0, F.lit(ENSEMBLE_FALLBACK)).otherwise(mean))
-    from pyspark.ml.functions import vector_to_array  # noqa: F401
-
     avg_valid = F.try_divide(F.aggregate(valid, F.lit(0.0), lambda a, x: a + x), n)
     # rows without any estimate get 0 here; their result is the 9.99 fallback
     filled = [F.coalesce(F.col(c).cast("double"), avg_valid, F.lit(0.0)).alias(f"_f_{c}") for c in cols]

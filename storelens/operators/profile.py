@@ -6,13 +6,13 @@ once and grouping by column, so one distributed pass serves every column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.quantile import exact_quantiles
-from storelens.functions.sizing import broadcast_if_bounded
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], name: str = "column", value: str = "value",
@@ -191,13 +191,11 @@ def mean_ci(df: DataFrame, group: str, value: str, n_boot: int = 0, seed: int =
     if n_boot <= 0:
         return base
     reps = df.sparkSession.range(n_boot).withColumnRenamed("id", "rep")
+    # replicate ids are a fixed, small range: each row is expanded n_boot times
     x = df.select(group, v.alias("_v")).where(F.col("_v").isNotNull()).crossJoin(F.broadcast(reps))
-    # Poisson(1) by inversion of one seeded uniform per (row, replicate).
+    # Poisson(1) weight by inversion of one seeded uniform per (row, replicate)
     u = F.rand(seed)
-    cdf, term, w = F.lit(0.0), None, None
-    import math
-    cases = []
-    acc = 0.0
+    cases, acc = [], 0.0
     for kk in range(12):
         acc += math.exp(-1.0) / math.factorial(kk)
         cases.append((u < acc, kk))

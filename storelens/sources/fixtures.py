@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.functions.sizing import broadcast_if_bounded
-
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -409,4 +407,4 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
-__all__ = ["table", "with_views", "VIEWS", "VIEW_SQL", "broadcast_if_bounded"]
+__all__ = ["table", "with_views", "VIEWS", "VIEW_SQL"]
