@@ -273,3 +273,28 @@ def test_dbscan_matches_brute_force(spark):
     exp = _dbscan_brute(x, 1.2, 4)
     got = {r["id"]: r["dbscan_cluster"] for r in dbscan(df, 1.2, 4, block_rows=32).collect()}
     assert [got[i] for i in range(len(x))] == exp.tolist()
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from storelens.sources.io import load_rfm, read_parts, segments_json, write_csv, write_outputs
+
+    a = spark.createDataFrame([(1, "x", 2.0)], "invoice long, description string, price double")
+    b = spark.createDataFrame([(2, 3.0)], "invoice long, price double")
+    u = read_parts(spark, {"2009": a, "2010": b}).orderBy("invoice").collect()
+    assert u[1]["description"] is None and [r["_part"] for r in u] == ["2009", "2010"]
+    rfm = spark.createDataFrame([(1, 5, 2, 10.0)], "`Customer ID` long, Recency int, Frequency long, Monetary double")
+    paths = write_outputs({"rfm": rfm}, str(tmp_path))
+    got = load_rfm(spark, paths[0] + "/")
+    assert got.columns[:4] == ["customer_id", "recency", "frequency", "monetary"]
+    with pytest.raises(ValueError):
+        load_rfm(spark, str(tmp_path / "x.json"))
+    write_csv(rfm, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+    st = spark.createDataFrame([(0, "Champions", 3, 100.0, "d", "s")],
+                               "segment_id int, segment_name string, count long, percentage double, "
+                               "description string, strategy string")
+    import json
+
+    doc = json.loads(segments_json(st).first()["json"])
+    assert doc["num_customers"] == 3 and doc["segments"]["0"]["segment_name"] == "Champions"
+    assert doc["descriptions"] == {"0": "d"} and "timestamp" in doc
