@@ -31,3 +31,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when ``df`` has fewer partitions than the
+    cluster's parallelism (a single large file or row group is read as one
+    partition).  On inputs with many splits - any large table - it is a no-op."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

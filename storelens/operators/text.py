@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelens.functions.exprs import ordered_when, py_round
+from storelens.functions.sizing import spread
 
 # Product-text curation limits and removals.
 MIN_CHARS = 300
@@ -53,14 +54,6 @@ def scrub_details(c: Column) -> Column:
     return out
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the
-    cluster's parallelism (one big file or row group arrives as one
-    partition) - for CPU-heavy per-row text work only."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def curate_items(df: DataFrame, title: str = "title", description: str = "description",
                  features: str = "features", details: str = "details") -> DataFrame:
     """Curated product text (R16), character-based path.

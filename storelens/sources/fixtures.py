@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.functions.sizing import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -24,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def retail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     # nation is a fixed 25-row dimension; broadcasting it is always safe.
@@ -92,8 +94,8 @@ SELECT * FROM retail_lines UNION ALL SELECT * FROM retail_lines WHERE invoice %
 # --------------------------------------------------------------------------
 
 def store_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_shipdate", "l_extendedprice", "l_orderkey", "l_discount")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_shipdate", "l_extendedprice", "l_orderkey", "l_discount"))
     return li.groupBy(F.col("l_suppkey").alias("store"),
                       F.to_date("l_shipdate").alias("date")).agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("sales"),
