@@ -16,7 +16,7 @@ from storelens.functions.exprs import money, ordered_when
 
 def rfm(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
         invoice: str = "invoice", amount: str = "total_amount", as_of: str | None = None,
-        distinct_invoices: bool = False) -> DataFrame:
+        distinct_invoices: bool = False, by: list[str] | None = None) -> DataFrame:
     """Per-customer recency (whole 24 h periods), frequency, monetary.
 
     * recency = floor((as_of - last purchase) / 1 day); ``as_of`` defaults
@@ -24,12 +24,24 @@ def rfm(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
     * frequency = number of invoice lines (the reference counts lines), or
       distinct invoices with ``distinct_invoices=True``.
     * monetary = exact sum of two-decimal amounts.
+
+    With ``by`` (e.g. country) the table is computed per group, each group
+    with its own latest timestamp as the as-of (the reference's one-country
+    RFM, for every country at once).
     """
+    keys = list(by or [])
     freq = F.countDistinct(invoice) if distinct_invoices else F.count(invoice)
-    per = df.groupBy(customer).agg(
+    per = df.groupBy(*keys, customer).agg(
         F.max(ts).alias("_last"),
         freq.alias("frequency"),
         F.sum(money(amount)).cast("double").alias("monetary"))
+    if as_of is None and keys:
+        # one as-of per group (small: one row per group; AQE sizes the join)
+        ref = per.groupBy(*keys).agg(F.max("_last").alias("_asof"))
+        return per.join(ref, keys).select(
+            *keys, F.col(customer),
+            F.timestamp_diff("DAY", F.col("_last"), F.col("_asof")).cast("int").alias("recency"),
+            F.col("frequency").cast("long").alias("frequency"), F.col("monetary"))
     if as_of is None:
         # max over the per-customer maxima: reuses the aggregate's shuffle
         # instead of a second pass over the raw rows
@@ -38,7 +50,7 @@ def rfm(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
         ref = F.broadcast(df.sparkSession.range(1).select(
             F.lit(as_of).cast(df.schema[ts].dataType).alias("_asof")))
     return per.crossJoin(ref).select(
-        F.col(customer),
+        *keys, F.col(customer),
         F.timestamp_diff("DAY", F.col("_last"), F.col("_asof")).cast("int").alias("recency"),
         F.col("frequency").cast("long").alias("frequency"),
         F.col("monetary"))

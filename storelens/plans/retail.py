@@ -125,6 +125,20 @@ def q_rfm(spark, sf_dir):
     return R.rfm(clean_lines(spark, sf_dir))
 
 
+@register("rfm_by_country", _with_clean("""
+, per AS (SELECT country, customer_id, max(invoice_date) AS last_ts, CAST(count(invoice) AS BIGINT) AS frequency,
+                 CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS monetary FROM clean GROUP BY 1, 2),
+refs AS (SELECT country, max(last_ts) AS as_of_ts FROM per GROUP BY 1)
+SELECT per.country, customer_id, CAST(floor((epoch(as_of_ts) - epoch(last_ts)) / 86400) AS INTEGER) AS recency,
+       frequency, monetary
+FROM per JOIN refs USING (country)
+"""), views=("retail_lines_dup",))
+def q_rfm_by_country(spark, sf_dir):
+    """A7 + P7: the one-country RFM of the reference for every country, each
+    country's latest purchase as its as-of."""
+    return R.rfm(clean_lines(spark, sf_dir), by=["country"])
+
+
 EVENTS_AS_OF = "2024-01-31 06:00:00"
 
 
