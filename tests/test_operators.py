@@ -298,3 +298,40 @@ def test_sources_and_sinks(spark, tmp_path):
     doc = json.loads(segments_json(st).first()["json"])
     assert doc["num_customers"] == 3 and doc["segments"]["0"]["segment_name"] == "Champions"
     assert doc["descriptions"] == {"0": "d"} and "timestamp" in doc
+
+
+def test_to_wide_pivot(spark):
+    from storelens.operators.cohort import to_wide
+
+    long = spark.createDataFrame([("2010-01", 0, 10), ("2010-01", 1, 4), ("2010-02", 0, 7)],
+                                 "cohort string, idx int, active long")
+    w = {r["cohort"]: r for r in to_wide(long, "cohort", "idx", "active", [0, 1]).collect()}
+    assert w["2010-01"]["0"] == 10 and w["2010-01"]["1"] == 4 and w["2010-02"]["1"] is None
+
+
+def test_pca_scores_centred(spark):
+    from storelens.operators.features import pca_scores
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (200, 3)) @ np.array([[3, 0, 0], [1, 1, 0], [0, 0, 0.2]]) + 5
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    out, ratio = pca_scores(df, ["a", "b", "c"], 2)
+    m = out.agg(F.avg("PC1"), F.avg("PC2")).first()
+    assert abs(m[0]) < 1e-9 and abs(m[1]) < 1e-9
+    cov = np.cov((x - x.mean(0)).T)
+    ev = np.sort(np.linalg.eigvalsh(cov))[::-1]
+    assert np.allclose(ratio, (ev / ev.sum())[:2], atol=1e-9)
+
+
+def test_resample_gap_fill_and_min_periods(spark):
+    from storelens.operators.timeseries import moving_avg, resample_daily
+
+    rows = [(1, dt.date(2024, 1, 1), 10.0), (1, dt.date(2024, 1, 4), 5.0), (2, dt.date(2024, 1, 2), 1.0)]
+    df = spark.createDataFrame(rows, "store long, date date, sales double")
+    r = resample_daily(df, "date", "sales", keys=["store"])
+    got = sorted((x["store"], str(x["date"]), x["sales"]) for x in r.collect())
+    assert got == [(1, "2024-01-01", 10.0), (1, "2024-01-02", 0.0), (1, "2024-01-03", 0.0),
+                   (1, "2024-01-04", 5.0), (2, "2024-01-02", 1.0)]
+    ma = {(x["store"], str(x["date"])): x["sales_ma3"]
+          for x in moving_avg(r, "date", "sales", 3, keys=["store"]).collect()}
+    assert ma[(1, "2024-01-02")] is None and ma[(1, "2024-01-03")] == 10.0 / 3 and ma[(2, "2024-01-02")] is None
