@@ -28,7 +28,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    elif not os.environ.get("SPARK_MASTER") and "PYSPARK_SUBMIT_ARGS" not in os.environ:
+    elif not any(k in os.environ for k in ("SPARK_MASTER", "PYSPARK_SUBMIT_ARGS", "PYSPARK_GATEWAY_PORT")):
+        # not launched by spark-submit: a local session
         b = b.master("local[*]")
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
