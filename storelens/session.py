@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,8 +50,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only create our own when the
-    setting is absent (local runs and tests).
+    A cluster names a shared folder there.  Only a local session (tests) gets
+    one of its own when the setting is absent; any other master raises, as a
+    folder of the driver's machine is not visible to the executors.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -59,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     if sc.getCheckpointDir() is not None:
         return sc.getCheckpointDir()
+    if not re.match(r"local($|\[)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="storelens-ckpt-")
     try:
         spark.conf.set("spark.checkpoint.dir", path)
@@ -66,3 +71,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         pass
     sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers (UDFs import it
+    there), once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="storelens-pkg-"), "storelens"), "zip",
+                                  root_dir=root, base_dir="storelens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
