@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storelens.llm.base import table
 
@@ -37,3 +38,37 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.tokens import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=2048)
+
+
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from storelens.llm.html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the digest is of the base spans."""
+    from storelens.llm.pii import find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"),
+                        "spans", "n_added")
+
+
+@query
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source weights 5, 2, 1."""
+    from storelens.llm.mixing import entropy_mix
+
+    return entropy_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of every document and of its edited text."""
+    from storelens.llm.fingerprint import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
