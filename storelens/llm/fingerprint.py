@@ -25,14 +25,21 @@ SPACES = r"[\x20\x09-\x0D]+"
 BITS = 48
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once (bound by a lambda)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shingle_hashes(text: Column, size: int = SIZE) -> Column:
     """The 48-bit hashes of a text's shingles, in order."""
+    def fold(hashed: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(hashed) - size),
+                           lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in range(size)]))
+        return F.when(F.size(hashed) >= size, many).when(F.size(hashed) > 0, F.array(F.xxhash64(hashed))).otherwise(
+            F.array().cast("array<bigint>"))
+
     words = F.filter(F.split(text, SPACES), lambda w: w != F.lit(""))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    many = F.transform(F.sequence(F.lit(0), F.size(hashed) - size),
-                       lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in range(size)]))
-    every = F.when(F.size(hashed) >= size, many).when(F.size(hashed) > 0, F.array(F.xxhash64(hashed))).otherwise(
-        F.array().cast("array<bigint>"))
+    every = let(F.transform(words, lambda w: F.xxhash64(w)), fold)
     return F.transform(every, lambda h: F.shiftrightunsigned(h, 64 - BITS))
 
 
@@ -48,9 +55,7 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 def merge_rows(sketches: DataFrame, keys: list[str], sketch: str = "sketch", k: int = K) -> DataFrame:
     """The sketch of all rows of each key.  Rows are folded into at most k
     hashes by random part first, so that a hot key never meets in one task."""
-    each = sketches.select(*keys, F.explode_outer(sketch).alias("h")).distinct()
-    def smallest(df, by):
-        return df.where(F.row_number().over(Window.partitionBy(*by).orderBy("h")) <= k)
+    each = sketches.select(*keys, F.explode(sketch).alias("h")).distinct()
     part = F.pmod(F.xxhash64("h"), F.lit(64))
     first = each.withColumn("part", part).withColumn(
         "r", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("h"))).where(F.col("r") <= k)
@@ -59,9 +64,8 @@ def merge_rows(sketches: DataFrame, keys: list[str], sketch: str = "sketch", k:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Share of the smallest k hashes of the union that both sketches hold."""
-    both = merge(a, b, k)
-    return F.when(F.size(both) == 0, 1.0).otherwise(
-        F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both))
+    return let(merge(a, b, k), lambda both: F.when(F.size(both) == 0, 1.0).otherwise(
+        F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both)))
 
 
 def distinct_count(a: Column, k: int = K) -> Column:
