@@ -72,3 +72,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.fingerprint import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside fold 2 of 4."""
+    from storelens.llm.langid import folded_languages
+
+    return folded_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned outside fold 0 of 5."""
+    from storelens.llm.quality import folded_quality
+
+    return folded_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
