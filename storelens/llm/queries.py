@@ -88,3 +88,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.quality import folded_quality
 
     return folded_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    from storelens.llm.near_copies import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
