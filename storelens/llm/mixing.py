@@ -118,3 +118,12 @@ def entropy_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     taken = rated.groupBy("source", "chunk").applyInPandas(lambda rows: _copies(rows, cap), schema)
     return taken.select("doc_id", "source", "size", "source_size", "target", "rate", "copies",
                         (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
+    """The rows of ``df``, all columns, each as often as the mix takes it (rows
+    that share an id: as often as the one that the mix takes most)."""
+    copies = entropy_mix(df, id_col, **parameters).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.max("copies").alias("_copies"))
+    taken = df.join(cut_lineage(copies), F.col(id_col).eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)

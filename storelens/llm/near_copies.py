@@ -32,7 +32,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.sizing import cut_lineage
@@ -197,3 +197,17 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     null = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     return signed.select("key", "digest").join(cut_lineage(classes), "digest").select(
         null("key").alias("doc_id"), null("class").alias("class_id"), (F.col("key") == F.col("class")).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of ``df``, all columns, that stand for their class: those of its
+    smallest id; of several rows with that id the one with the smallest text."""
+    classes = near_duplicate_classes(df, id_col, text_col, **parameters)
+    chosen = cut_lineage(classes.where("kept").select(F.coalesce("doc_id", F.lit(_NULL)).alias("_chosen")).groupBy(
+        "_chosen").agg(F.count("*").alias("_rows")))
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
+    if not chosen.where("_rows > 1").limit(1).count():
+        return df.join(chosen, own == F.col("_chosen"), "left_semi")
+    order = Window.partitionBy(own).orderBy(F.col(text_col), *[F.col(c) for c, t in df.dtypes if c != text_col and "map" not in t])
+    return df.join(chosen, own == F.col("_chosen"), "left_semi").withColumn("_row", F.row_number().over(order)).where(
+        "_row = 1").drop("_row")

@@ -221,11 +221,12 @@ def score_quality(df: DataFrame, model: Model | None, id_col: str = "doc_id", te
     return docs.mapInArrow(predict, f"doc_id {kind}, score double")
 
 
-def split_labels(df: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Trusted positives and unlabelled rows of ``df`` outside the held-out fold."""
+def split_labels(df: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0) -> tuple[DataFrame, DataFrame]:
+    """Trusted positives and unlabelled rows of ``df`` outside the held-out fold
+    (of all rows without one)."""
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(
         F.min("quality").alias("quality"))
-    open_ = df.where(crc_fold("doc_id", folds) != held).select("doc_id", "text")
+    open_ = (df if held is None else df.where(crc_fold("doc_id", folds) != held)).select("doc_id", "text")
     positive = open_.join(known.where("quality = 1"), F.col("doc_id") == F.col("k"), "left_semi")
     return positive, open_.join(known, F.col("doc_id") == F.col("k"), "left_anti")
 
@@ -235,3 +236,18 @@ def folded_quality(df: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     scored = score_quality(df, fit(*split_labels(df, labels, folds, held)))
     return scored.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_rejected(df: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df``, all columns, whose text scores at least ``threshold``
+    (all rows without a model)."""
+    if model is None:
+        return df
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(shared.value.score(features(*utf8(part.column(at)))) >= threshold))
+
+    return df.mapInArrow(keep, df.schema)

@@ -96,3 +96,11 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.near_copies import near_duplicate_classes
 
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it leaks."""
+    from storelens.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
