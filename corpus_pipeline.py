@@ -25,7 +25,7 @@ from storelens.llm.base import table
 from storelens.llm.decontaminate import drop_leaks
 from storelens.llm.mixing import mixed_rows
 from storelens.llm.near_copies import drop_near_duplicates
-from storelens.llm.quality import drop_rejected, fit, split_labels
+from storelens.llm.quality import drop_rejected, fit
 from storelens.llm.token_files import read_token_files, shared_folder, write_token_files
 from storelens.session import ensure_checkpoint_dir, ship_package
 
@@ -40,7 +40,7 @@ def _ready(spark: SparkSession) -> None:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     _ready(spark)
-    return drop_rejected(docs, fit(*split_labels(docs, table(spark, sf_dir, "labels"), held=None)), threshold=0.3)
+    return drop_rejected(docs, fit(docs, table(spark, sf_dir, "labels"), held=None), threshold=0.3)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ error) of unlabelled to positive rows above a level.  The scores are the
 fitted model's probabilities.
 
 The fit uses at most ``sample_rows`` positives and as many unlabelled rows,
-drawn by a hash of their text; scoring is one pass over all texts.  Labels,
+drawn by a hash of their id; scoring is one pass over all texts.  Labels,
 language, source and id are never inputs of a score.  Null or empty text: the
 score of the empty text.  Without trusted positives or unlabelled rows every
 score is the prior 0.5.  Repeated rows: a result each; a document with several
@@ -175,27 +175,34 @@ def cross_prior(xp: np.ndarray, xu: np.ndarray) -> float:
     return float(np.mean(found))
 
 
-def fit(positive: DataFrame, unlabelled: DataFrame, sample_rows: int = 12_000) -> Model | None:
-    """Fit on samples of two tables with a text column.  The draw is by a hash of
-    the text, the smallest values first, so it depends on the rows alone."""
-    def sample(df: DataFrame) -> np.ndarray:
-        chosen = df.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("draw", F.xxhash64("text", F.lit(7)))
-        bound = chosen.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
-        if bound is None:
-            return np.zeros((0, N_FEATURES), np.float32)
-        rows = chosen.where(F.col("draw") <= F.lit(bound)).dropDuplicates(["draw"]).select("text")
+def fit(df: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0, sample_rows: int = 12_000) -> Model | None:
+    """Fit on trusted positives and unlabelled rows of ``df`` (doc_id, text)
+    outside fold ``held`` (of all rows without one).  Ids are drawn first, the
+    smallest by a hash, so that only the sampled texts are read further; the
+    draw depends on the rows alone.  Labels of one id count once, the smallest."""
+    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = df.select("doc_id", "text")
+    rows = rows if held is None else rows.where(crc_fold("doc_id", folds) != held)
+    marked = rows.select("doc_id").dropna().distinct().join(known, "doc_id", "left")
+
+    def sample(ids: DataFrame) -> np.ndarray:
+        drawn = ids.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample_rows).select("doc_id")
 
         def measure(batches):
             for batch in batches:
                 for part in slices(batch):
-                    x = features(*utf8(part.column(0)))
-                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
-
-        got = rows.mapInArrow(measure, "x binary").collect()  # at most sample_rows rows of N_FEATURES floats
-        x = np.frombuffer(b"".join(sorted(bytes(r.x) for r in got)), np.float32)
+                    x = features(*utf8(part.column(1)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())],
+                                                     names=["doc_id", "x"])
+
+        # at most sample_rows ids are broadcast, and as many rows of N_FEATURES floats come back
+        chosen = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id", "left_semi")
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        got = chosen.mapInArrow(measure, f"doc_id {kind}, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+        x = np.frombuffer(b"".join(bytes(r.x) for r in sorted(got, key=lambda r: r.doc_id)), np.float32)
         return x.reshape(-1, N_FEATURES)
 
-    xp, xu = sample(positive), sample(unlabelled)
+    xp, xu = sample(marked.where("quality = 1")), sample(marked.where("quality IS NULL"))
     if not len(xp) or not len(xu):
         return None
     mean, scale = xu.mean(axis=0), np.maximum(xu.std(axis=0), 1e-3)
@@ -221,19 +228,9 @@ def score_quality(df: DataFrame, model: Model | None, id_col: str = "doc_id", te
     return docs.mapInArrow(predict, f"doc_id {kind}, score double")
 
 
-def split_labels(df: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0) -> tuple[DataFrame, DataFrame]:
-    """Trusted positives and unlabelled rows of ``df`` outside the held-out fold
-    (of all rows without one)."""
-    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(
-        F.min("quality").alias("quality"))
-    open_ = (df if held is None else df.where(crc_fold("doc_id", folds) != held)).select("doc_id", "text")
-    positive = open_.join(known.where("quality = 1"), F.col("doc_id") == F.col("k"), "left_semi")
-    return positive, open_.join(known, F.col("doc_id") == F.col("k"), "left_anti")
-
-
 def folded_quality(df: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``df``."""
-    scored = score_quality(df, fit(*split_labels(df, labels, folds, held)))
+    scored = score_quality(df, fit(df, labels, folds, held))
     return scored.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
