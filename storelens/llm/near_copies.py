@@ -14,8 +14,9 @@ signature values are joined by bucket.  Each bucket's most central text (that
 shares the most bucket places) is compared with the others of the bucket; the
 links that hold (exact similarity >= ``threshold``) give components; then all
 pairs of a bucket that still lie in different components are compared too, so
-that no candidate link between classes stays untested.  A hot bucket is
-usually one component after the first pass and gives no second pairs.  At 0.8
+that no candidate link between classes stays untested: as rows in small
+buckets, block against block in large ones, where only links are emitted.  A
+bucket that is one component after the first pass gives no second work.  At 0.8
 and 20 bands of 4 a pair of similar texts misses all buckets with probability
 0.00003.
 
@@ -40,6 +41,9 @@ from storelens.llm.base import id_text, mix, shingles, slices, utf8
 from storelens.operators.components import connected_components
 
 _NULL = -(1 << 63)
+#: Largest bucket whose pairs between components become rows; larger ones are compared in blocks.
+PAIRED = 24
+BLOCK = 128
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -160,6 +164,59 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
         keep, "a long, b long")
 
 
+def _binary(texts: list[str], size: int) -> list[np.ndarray]:
+    """Each text's set of (shingle, how often it occurred before): the Jaccard
+    index of these sets is the weighted one of the shingles."""
+    h, r = shingles(*utf8(pa.array(texts, pa.large_string())), size)
+    elements, rows, weights = weighted_elements(h, r)
+    times = weights.astype(np.int64)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    copies = mix(np.repeat(elements, times) ^ mix(nth.astype(np.uint64)))
+    return np.split(copies, np.cumsum(np.bincount(np.repeat(rows, times), minlength=len(texts)))[:-1])
+
+
+def _compare(rows, threshold: float, size: int):
+    """Links between the two blocks of one group (or within its one block)."""
+    import pandas as pd
+
+    left = rows[rows["block"] == rows["i"]].reset_index(drop=True)
+    right = rows[rows["block"] == rows["j"]].reset_index(drop=True)
+    out = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    if not len(left) or not len(right):
+        return out
+    sets = [_binary(list(side["text"]), size) for side in (left, right)]
+    both = np.intersect1d(np.concatenate(sets[0]), np.concatenate(sets[1]))
+    table = []
+    for side in sets:
+        m = np.zeros((len(side), len(both)), np.float32)
+        for i, s in enumerate(side):
+            at = np.minimum(np.searchsorted(both, s), max(len(both) - 1, 0))
+            if len(both):
+                m[i, at[both[at] == s]] = 1.0
+        table.append(m)
+    least = (table[0] @ table[1].T).astype(np.float64)
+    sizes = [np.array([len(s) for s in side], float) for side in sets]
+    good = least * 1_000_000 >= math.floor(threshold * 1_000_000 + 0.5) * (sizes[0][:, None] + sizes[1][None, :] - least)
+    keys, roots = (left["key"].to_numpy(), right["key"].to_numpy()), (left["root"].to_numpy(), right["root"].to_numpy())
+    good &= roots[0][:, None] != roots[1][None, :]
+    a, b = np.nonzero(good & (least > 0))
+    return pd.DataFrame({"a": keys[0][a].astype(np.int64), "b": keys[1][b].astype(np.int64)})
+
+
+def similar_in_blocks(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links between different components of large buckets (bucket, key, root,
+    n).  A bucket's texts are dealt into blocks of about ``BLOCK`` and every two
+    blocks meet in one group, which emits its links only: no task holds more
+    than two blocks and no pair becomes a row."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("bucket", "key", "root", "block", F.least("block", "other").alias("i"),
+                         F.greatest("block", "other").alias("j"))
+    return dealt.join(texts, "key").groupBy("bucket", "i", "j").applyInPandas(
+        lambda rows: _compare(rows, threshold, size), "a long, b long").distinct()
+
+
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                            bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), kept (whether it is
@@ -183,14 +240,17 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     labelled = cut_lineage(shared.select("key", "bucket").join(roots.withColumnRenamed("node", "key"), "key", "left")
                            .withColumn("root", F.coalesce("root", "key")))
     groups = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = cut_lineage(groups.groupBy("bucket").agg(F.count("*").alias("groups")).where("groups > 1").select("bucket"))
+    mixed = cut_lineage(groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
+                        .where("groups > 1").select("bucket", "n"))
     rest = cut_lineage(labelled.join(mixed, "bucket"))
-    other = rest.select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
-    crossed = rest.join(other, "bucket").where("root < other_root").select(
+    few, many = rest.where(F.col("n") <= PAIRED), rest.where(F.col("n") > PAIRED)
+    other = few.select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
+    crossed = few.join(other, "bucket").where("root < other_root").select(
         F.col("key").alias("a"), F.col("other").alias("b")).distinct()
     tested = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = cut_lineage(crossed.join(tested, ["a", "b"], "left_anti"))
-    more = cut_lineage(similar(second, texts, threshold, size))
+    more = cut_lineage(similar(second, texts, threshold, size).unionByName(
+        similar_in_blocks(many, texts, threshold, size)))
     roots = cut_lineage(connected_components(links.unionByName(more)))
     classes = folded.select("digest", "first").join(roots, F.col("first") == F.col("node"), "left").select(
         "digest", F.coalesce("root", "first").alias("class"))
