@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     # oriented: a > b
     state = cut_lineage(ends.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    while True:
+    while state.limit(1).count():
         state = _star(_both(state), larger=True).where("a != b").distinct()
         state = cut_lineage(_star(state, larger=False).where("a != b").distinct())
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).cast("string")).first()
