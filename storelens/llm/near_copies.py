@@ -251,7 +251,8 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     second = cut_lineage(crossed.join(tested, ["a", "b"], "left_anti"))
     more = cut_lineage(similar(second, texts, threshold, size).unionByName(
         similar_in_blocks(many, texts, threshold, size)))
-    roots = cut_lineage(connected_components(links.unionByName(more)))
+    if more.limit(1).count():
+        roots = cut_lineage(connected_components(links.unionByName(more)))
     classes = folded.select("digest", "first").join(roots, F.col("first") == F.col("node"), "left").select(
         "digest", F.coalesce("root", "first").alias("class"))
     null = lambda c: F.when(F.col(c) != _NULL, F.col(c))
