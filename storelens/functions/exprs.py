@@ -60,11 +60,12 @@ def count_substrings_present(text: Column, words: Sequence[str]) -> Column:
 
 
 def money(c: str | Column) -> Column:
-    """Exact two-decimal money value (order-independent sums)."""
-    return col(c).cast("decimal(18,2)")
+    """Exact value with six decimals (order-independent sums); only what is
+    shown is rounded further."""
+    return col(c).cast("decimal(38,6)")
 
 
-def exact_mean(c: str | Column, scale: int = 2) -> Column:
+def exact_mean(c: str | Column, scale: int = 6) -> Column:
     """Mean of fixed-point values: exact decimal sum / count, one division.
 
     Independent of summation order, so every partitioning (and any other

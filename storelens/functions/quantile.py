@@ -140,7 +140,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     group_cols = list(group_cols)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     counted = _counted(df, value_col, group_cols)
-    if counted.limit(fast_path_rows + 1).count() <= fast_path_rows:
+    if counted.count() <= fast_path_rows:
         return counted.groupBy(*group_cols).agg(
             *[F.percentile(F.col(value_col), F.lit(float(p)), F.col(_C)).alias(nm)
               for p, nm in zip(probs, names)],

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it provably holds at most this many rows.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# A side is broadcast only when the optimizer's size of it is at most this.
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()`` - a bounded job that stops
-    early on a large input.  Above the bound the DataFrame is returned
-    unchanged and the planner (with AQE's runtime statistics) picks a
-    shuffle join instead.
+def broadcast_if_bounded(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only if its plan's size statistic (bytes, no
+    job) is within ``max_bytes``.  Above it the DataFrame is returned unchanged
+    and the planner, with the runtime statistics, picks the join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -123,15 +123,15 @@ STORE_FILLS = {"promo_interval": "None", "promo2_since_week": 0, "promo2_since_y
 def clean_retail(df: DataFrame, ts: str = "invoice_date") -> DataFrame:
     """Reference cleaning of invoice lines.
 
-    Calendar features, description -> 'Unknown Item', customer -> -1, keep
-    quantity > 0 then price > 0, total_amount = quantity * price, then a
-    full-row DISTINCT.
+    Description -> 'Unknown Item', customer -> -1, keep quantity > 0 then
+    price > 0, a full-row DISTINCT, then the calendar features and
+    total_amount = quantity * price: functions of the source columns, so only
+    those are shuffled.
     """
-    out = calendar_features(df, ts)
-    out = fill_defaults(out, RETAIL_FILLS)
-    out = out.where(F.col("quantity") > 0).where(F.col("price") > 0)
-    out = out.withColumn("total_amount", F.col("quantity") * F.col("price"))
-    return dedupe(out)
+    out = fill_defaults(df, RETAIL_FILLS)
+    out = dedupe(out.where(F.col("quantity") > 0).where(F.col("price") > 0))
+    out = calendar_features(out, ts)
+    return out.withColumn("total_amount", F.col("quantity") * F.col("price"))
 
 
 def clean_store(df: DataFrame) -> DataFrame:

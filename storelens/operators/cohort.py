@@ -41,9 +41,9 @@ def cohorts(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_dat
     cm = customer_months(df, customer, ts, amount)
     cells = cm.groupBy("cohort_month", "cohort_index").agg(
         F.count(F.lit(1)).alias("active"), F.sum("revenue").alias("revenue"))
-    size = cells.where(F.col("cohort_index") == 0).select(
-        "cohort_month", F.col("active").alias("cohort_size"))
-    out = cells.join(size, "cohort_month")
+    # the size is the cohort's own cell at index 0: a window over the few cells
+    size = F.max(F.when(F.col("cohort_index") == 0, F.col("active"))).over(Window.partitionBy("cohort_month"))
+    out = cells.withColumn("cohort_size", size)
     rpa = F.col("revenue").cast("double") / F.col("active")
     w = Window.partitionBy("cohort_month").orderBy("cohort_index").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

@@ -6,8 +6,8 @@
    within eps and labels its local components by their smallest id; it emits
    one edge per core point to that local minimum (never all pairs), and for
    each non-core point the local component labels of its core neighbours;
-3. global components: iterative min-label propagation over the star edges,
-   with a reliable checkpoint after each round;
+3. global components of the star edges (:mod:`components`: logarithmic rounds
+   until nothing changes, a reliable checkpoint after each);
 4. border points take the smallest component label among their core
    neighbours (deterministic, unlike order-dependent implementations),
    everything else is noise (-1); components are numbered 0.. by their
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from storelens.functions.quantile import exact_quantiles
 from storelens.functions.sizing import cut_lineage
-from storelens.operators.neighbors import (DEFAULT_BLOCK_ROWS, _matrix, approx_distances, block_pairs,
-                                           eps_counts, kdist)
+from storelens.operators.components import connected_components
+from storelens.operators.neighbors import DEFAULT_BLOCK_ROWS, _matrix, block_pairs, eps_counts, kdist, within
 
 LINK_SCHEMA = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()),
                             T.StructField("b", T.LongType())])
@@ -41,7 +41,7 @@ def suggest_eps(points: DataFrame, id_col: str = "id", vec: str = "features", k:
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", vec: str = "features",
-           block_rows: int = DEFAULT_BLOCK_ROWS, max_rounds: int = 100, out: str = "dbscan_cluster") -> DataFrame:
+           block_rows: int = DEFAULT_BLOCK_ROWS, out: str = "dbscan_cluster") -> DataFrame:
     """(id, cluster) with -1 for noise."""
     counts = eps_counts(points, eps, id_col, vec, block_rows)
     p = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v")) \
@@ -52,7 +52,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id",
         a, b = _matrix(lp["_v"]), _matrix(rp["_v"])
         lid, rid = lp["_id"].to_numpy(np.int64), rp["_id"].to_numpy(np.int64)
         cl, cr = lp["_core"].to_numpy(bool), rp["_core"].to_numpy(bool)
-        adj = approx_distances(a, b) <= eps
+        adj = within(a, b, eps)
         cc = adj & cl[:, None] & cr[None, :]
         big = np.iinfo(np.int64).max
         lab_l = np.where(cl, lid, big)
@@ -76,18 +76,9 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id",
                         ["_v", "_core"], block_rows, n, n)
     links = cut_lineage(links)
     edges = links.where(F.col("kind") == 0).select("a", "b")
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = cut_lineage(edges)
-    labels = p.where("_core").select(F.col("_id").alias("v"), F.col("_id").alias("lab"))
-    for _ in range(max_rounds):
-        prop = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("lab").alias("m"))
-        new = labels.join(prop.withColumnRenamed("a", "v"), "v", "left") \
-                    .select("v", F.least("lab", F.coalesce("m", "lab")).alias("lab"))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("lab", "old"), "v").where(F.col("lab") != F.col("old")).count()
-        labels = new
-        if changed == 0:
-            break
+    roots = cut_lineage(connected_components(edges)).select(F.col("node").alias("_id"), "root")
+    labels = p.where("_core").select("_id").join(roots, "_id", "left").select(
+        F.col("_id").alias("v"), F.coalesce("root", "_id").alias("lab"))
     border = links.where(F.col("kind") == 1).select(F.col("a").alias("v"), F.col("b").alias("c")) \
                   .join(labels.withColumnRenamed("v", "c"), "c").groupBy("v").agg(F.min("lab").alias("lab"))
     all_lab = labels.unionByName(border.join(labels.select("v"), "v", "left_anti"))

@@ -31,7 +31,7 @@ def top_counts(df: DataFrame, column: str, n: int | None = 10, name: str = "coun
 
 def top_sums(df: DataFrame, group: str, value: str, n: int | None = 10, name: str = "total") -> DataFrame:
     """Total per group, largest first, key tie-break (A30, O2); exact money sum."""
-    out = df.groupBy(group).agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias(name))
+    out = df.groupBy(group).agg(F.sum(F.col(value).cast("decimal(38,6)")).cast("double").alias(name))
     out = out.orderBy(F.desc(name), F.asc(group))
     return out.limit(n) if n else out
 

@@ -2,8 +2,9 @@
 
 RFM is one ``groupBy(customer)`` with algebraic aggregates (max, count, sum):
 partial aggregation on the map side reduces even the hot "unknown customer"
-key to one row per map task before the shuffle.  The as-of timestamp is a
-one-row aggregate cross-joined (broadcast) into the final projection.
+key to one row per map task before the shuffle.  The per-customer table is
+kept in the shared checkpoint folder; the as-of timestamp is read from it and
+applied as a literal, so the lines are scanned once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import money, ordered_when
+from storelens.functions.sizing import cut_lineage
 
 
 def rfm(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
@@ -23,7 +25,7 @@ def rfm(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
       to the latest timestamp of the input table.
     * frequency = number of invoice lines (the reference counts lines), or
       distinct invoices with ``distinct_invoices=True``.
-    * monetary = exact sum of two-decimal amounts.
+    * monetary = exact sum of the amounts (six decimals).
 
     With ``by`` (e.g. country) the table is computed per group, each group
     with its own latest timestamp as the as-of (the reference's one-country
@@ -31,10 +33,11 @@ def rfm(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
     """
     keys = list(by or [])
     freq = F.countDistinct(invoice) if distinct_invoices else F.count(invoice)
-    per = df.groupBy(*keys, customer).agg(
+    # kept in a table, so that the as-of needs no second pass over the lines
+    per = cut_lineage(df.groupBy(*keys, customer).agg(
         F.max(ts).alias("_last"),
         freq.alias("frequency"),
-        F.sum(money(amount)).cast("double").alias("monetary"))
+        F.sum(money(amount)).cast("double").alias("monetary")))
     if as_of is None and keys:
         # one as-of per group (small: one row per group; AQE sizes the join)
         ref = per.groupBy(*keys).agg(F.max("_last").alias("_asof"))
@@ -42,16 +45,11 @@ def rfm(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
             *keys, F.col(customer),
             F.timestamp_diff("DAY", F.col("_last"), F.col("_asof")).cast("int").alias("recency"),
             F.col("frequency").cast("long").alias("frequency"), F.col("monetary"))
-    if as_of is None:
-        # max over the per-customer maxima: reuses the aggregate's shuffle
-        # instead of a second pass over the raw rows
-        ref = F.broadcast(per.agg(F.max("_last").alias("_asof")))
-    else:
-        ref = F.broadcast(df.sparkSession.range(1).select(
-            F.lit(as_of).cast(df.schema[ts].dataType).alias("_asof")))
-    return per.crossJoin(ref).select(
+    # one value, applied as a literal
+    latest = as_of if as_of is not None else per.agg(F.max("_last").cast("string")).first()[0]
+    return per.select(
         *keys, F.col(customer),
-        F.timestamp_diff("DAY", F.col("_last"), F.col("_asof")).cast("int").alias("recency"),
+        F.timestamp_diff("DAY", F.col("_last"), F.lit(latest).cast(df.schema[ts].dataType)).cast("int").alias("recency"),
         F.col("frequency").cast("long").alias("frequency"),
         F.col("monetary"))
 

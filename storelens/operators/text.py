@@ -98,11 +98,11 @@ def price_prompts(df: DataFrame, text: str = "text", price: str = "price") -> Da
 
 
 def instruction_dataset(df: DataFrame, text: str = "description", price: str = "price",
-                        n: int | None = 10_000, key: str | None = None, seed: int = 42) -> DataFrame:
+                        n: int | None = None, key: str | None = None, seed: int = 42) -> DataFrame:
     """Instruction / response pairs and chat text for fine-tuning.
 
-    With ``n`` a stable seeded sample of at most n rows (by ``key``) is taken
-    first, as the reference samples 10,000 rows.
+    All rows by default; with ``n`` a stable seeded sample of at most n rows
+    (by ``key``) is taken first, as the reference samples 10,000 rows.
     """
     if n is not None:
         from storelens.operators.clean import stable_sample

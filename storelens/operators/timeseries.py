@@ -24,7 +24,7 @@ def resample_daily(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (),
     keys = list(keys)
     out = out or value
     day = F.to_date(F.col(ts)).alias("date")
-    sums = df.groupBy(*keys, day).agg(F.sum(F.col(value).cast("decimal(18,2)")).alias(out))
+    sums = df.groupBy(*keys, day).agg(F.sum(F.col(value).cast("decimal(38,6)")).alias(out))
     bounds = sums.groupBy(*keys).agg(F.min("date").alias("_mn"), F.max("date").alias("_mx"))
     spine = bounds.select(*keys, F.explode(F.sequence("_mn", "_mx", F.expr("INTERVAL 1 DAY"))).alias("date"))
     return spine.join(sums, [*keys, "date"], "left").select(

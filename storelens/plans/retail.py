@@ -42,7 +42,7 @@ def rfm_sql(src: str = "clean", as_of: str | None = None) -> str:
 SELECT customer_id,
        CAST(floor((epoch(a.asof) - epoch(max(invoice_date))) / 86400) AS INTEGER) AS recency,
        CAST(count(invoice) AS BIGINT) AS frequency,
-       CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS monetary
+       CAST(sum(CAST(total_amount AS DECIMAL(38,6))) AS DOUBLE) AS monetary
 FROM {src} CROSS JOIN {ref} a
 GROUP BY customer_id, a.asof
 """
@@ -95,7 +95,7 @@ def segment_summary(spark, sf_dir):
     named = R.name_segments(R.rfm_scores(R.rfm(lines), **ENTRY_CUTS), "nine")
     return named.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.sum(F.col("monetary").cast("decimal(18,2)")).cast("double").alias("revenue"),
+        F.sum(F.col("monetary").cast("decimal(38,6)")).cast("double").alias("revenue"),
         F.avg("recency").alias("avg_recency"),
         F.avg("frequency").alias("avg_frequency"),
         F.min("rfm_score").alias("min_rfm_score"),
@@ -105,7 +105,7 @@ def segment_summary(spark, sf_dir):
 register("segment_summary", _with_clean(f"""
 , rfm AS ({rfm_sql()}), sc AS ({scores_sql('rfm', **ENTRY_CUTS)})
 SELECT {NINE_SQL} AS segment, count(*) AS customers,
-       CAST(sum(CAST(monetary AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
+       CAST(sum(CAST(monetary AS DECIMAL(38,6))) AS DOUBLE) AS revenue,
        avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
        min(rfm_score) AS min_rfm_score, max(rfm_score) AS max_rfm_score
 FROM sc GROUP BY 1
@@ -127,7 +127,7 @@ def q_rfm(spark, sf_dir):
 
 @register("rfm_by_country", _with_clean("""
 , per AS (SELECT country, customer_id, max(invoice_date) AS last_ts, CAST(count(invoice) AS BIGINT) AS frequency,
-                 CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS monetary FROM clean GROUP BY 1, 2),
+                 CAST(sum(CAST(total_amount AS DECIMAL(38,6))) AS DOUBLE) AS monetary FROM clean GROUP BY 1, 2),
 refs AS (SELECT country, max(last_ts) AS as_of_ts FROM per GROUP BY 1)
 SELECT per.country, customer_id, CAST(floor((epoch(as_of_ts) - epoch(last_ts)) / 86400) AS INTEGER) AS recency,
        frequency, monetary
@@ -173,7 +173,7 @@ def q_rfm_nine(spark, sf_dir):
 
 COHORT_SQL = """
 , cm AS (SELECT customer_id, CAST(date_trunc('month', invoice_date) AS DATE) AS order_month,
-                sum(CAST(total_amount AS DECIMAL(18,2))) AS revenue
+                sum(CAST(total_amount AS DECIMAL(38,6))) AS revenue
          FROM clean GROUP BY 1, 2),
 f AS (SELECT *, min(order_month) OVER (PARTITION BY customer_id) AS cohort_month FROM cm),
 cells AS (SELECT cohort_month,
@@ -223,7 +223,7 @@ def q_top_products(spark, sf_dir):
 
 
 @register("top_countries", _with_clean(
-    "SELECT country, CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM clean "
+    "SELECT country, CAST(sum(CAST(total_amount AS DECIMAL(38,6))) AS DOUBLE) AS revenue FROM clean "
     "GROUP BY 1 ORDER BY revenue DESC, country LIMIT 10"), views=("retail_lines_dup",))
 def q_top_countries(spark, sf_dir):
     """Ten countries by revenue."""

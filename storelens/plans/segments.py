@@ -61,8 +61,8 @@ def _profile_sql(label: str) -> str:
 SELECT {label}, count(recency) AS recency_count,
   {r('avg(recency)')} AS recency_mean, {r('avg(frequency)')} AS frequency_mean,
   {r('CAST(min(frequency) AS DOUBLE)')} AS frequency_min, {r('CAST(max(frequency) AS DOUBLE)')} AS frequency_max,
-  {r('CAST(sum(CAST(monetary AS DECIMAL(38,2))) AS DOUBLE) / count(monetary)')} AS monetary_mean,
-  {r('CAST(sum(CAST(monetary AS DECIMAL(38,2))) AS DOUBLE)')} AS monetary_sum,
+  {r('CAST(sum(CAST(monetary AS DECIMAL(38,6))) AS DOUBLE) / count(monetary)')} AS monetary_mean,
+  {r('CAST(sum(CAST(monetary AS DECIMAL(38,6))) AS DOUBLE)')} AS monetary_sum,
   {r('min(monetary)')} AS monetary_min, {r('max(monetary)')} AS monetary_max,
   {r('quantile_cont(recency, 0.5)')} AS recency_median, {r('quantile_cont(frequency, 0.5)')} AS frequency_median,
   {r('quantile_cont(monetary, 0.5)')} AS monetary_median
@@ -78,8 +78,8 @@ def q_profile(spark, sf):
 
 STATS_SQL = """
 , st AS (SELECT segment_id, count(*) AS count, avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
-       CAST(sum(CAST(monetary AS DECIMAL(38,2))) AS DOUBLE) / count(monetary) AS avg_monetary,
-       CAST(sum(CAST(monetary AS DECIMAL(38,2))) AS DOUBLE) AS total_monetary,
+       CAST(sum(CAST(monetary AS DECIMAL(38,6))) AS DOUBLE) / count(monetary) AS avg_monetary,
+       CAST(sum(CAST(monetary AS DECIMAL(38,6))) AS DOUBLE) AS total_monetary,
        stddev_samp(recency) AS std_recency, stddev_samp(frequency) AS std_frequency, stddev_samp(monetary) AS std_monetary,
        CAST(min(recency) AS DOUBLE) AS min_recency, CAST(min(frequency) AS DOUBLE) AS min_frequency, min(monetary) AS min_monetary,
        CAST(max(recency) AS DOUBLE) AS max_recency, CAST(max(frequency) AS DOUBLE) AS max_frequency, max(monetary) AS max_monetary
@@ -104,7 +104,7 @@ def q_stats(spark, sf):
 @register("radar_profile", BASE_SQL.rstrip() + """
 , mx AS (SELECT CAST(max(recency) AS DOUBLE) AS mr, CAST(max(frequency) AS DOUBLE) AS mf, max(monetary) AS mm FROM lab),
 a AS (SELECT segment, avg(recency) AS recency, avg(frequency) AS frequency,
-             CAST(sum(CAST(monetary AS DECIMAL(38,2))) AS DOUBLE) / count(monetary) AS monetary FROM lab GROUP BY 1)
+             CAST(sum(CAST(monetary AS DECIMAL(38,6))) AS DOUBLE) / count(monetary) AS monetary FROM lab GROUP BY 1)
 SELECT segment, recency, frequency, monetary, 1.0 - recency / mr AS recency_norm, frequency / mf AS frequency_norm,
        monetary / mm AS monetary_norm FROM a CROSS JOIN mx
 """, views=("retail_lines_dup",))
@@ -127,7 +127,7 @@ def _interpret_sql() -> str:
     return f"""
 , pr AS (SELECT segment_id, count(recency) AS recency_count, {r('avg(recency)')} AS recency_mean,
          {r('avg(frequency)')} AS frequency_mean,
-         {r('CAST(sum(CAST(monetary AS DECIMAL(38,2))) AS DOUBLE) / count(monetary)')} AS monetary_mean FROM lab GROUP BY 1),
+         {r('CAST(sum(CAST(monetary AS DECIMAL(38,6))) AS DOUBLE) / count(monetary)')} AS monetary_mean FROM lab GROUP BY 1),
 s AS ({sc}), n AS (SELECT *, {names} AS k FROM s)
 SELECT segment_id, recency_count AS cluster_size, recency_count / sum(recency_count) OVER () AS size_fraction,
        recency_mean, frequency_mean, monetary_mean, rfm_score,

@@ -24,7 +24,7 @@ store_c AS (
 """
 
 AVGS_SQL = """
-avgs AS (SELECT store, round(CAST(sum(CAST(sales AS DECIMAL(38,2))) AS DOUBLE) / count(sales), 6) AS avg_sales, round(avg(customers), 6) AS avg_customers
+avgs AS (SELECT store, round(CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) / count(sales), 6) AS avg_sales, round(avg(customers), 6) AS avg_customers
          FROM store_sales GROUP BY 1)
 """
 
@@ -52,7 +52,7 @@ def q_store_averages(spark, sf):
     return S.store_averages(_sales(spark, sf), _store(spark, sf))
 
 
-@register("risk_return", "SELECT store, round(CAST(sum(CAST(sales AS DECIMAL(38,2))) AS DOUBLE) / count(sales), 4) AS expected_sales, round(stddev_samp(sales), 2) AS risk "
+@register("risk_return", "SELECT store, round(CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) / count(sales), 4) AS expected_sales, round(stddev_samp(sales), 2) AS risk "
           "FROM store_sales GROUP BY 1", views=("store_sales",))
 def q_risk(spark, sf):
     """A3: mean and sample std of daily sales per store."""
@@ -64,7 +64,7 @@ def q_risk(spark, sf):
 WITH {STORE_CLEAN_SQL.strip()},
 st AS (SELECT store, make_date(competition_open_since_year, competition_open_since_month, 1) AS competition_start_date
        FROM store_c WHERE has_competition = 1),
-monthly AS (SELECT store, last_day(date) AS month_end, CAST(sum(CAST(sales AS DECIMAL(38,2))) AS DOUBLE) / count(sales) AS m FROM store_sales GROUP BY 1, 2),
+monthly AS (SELECT store, last_day(date) AS month_end, CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) / count(sales) AS m FROM store_sales GROUP BY 1, 2),
 agg AS (SELECT m.store, st.competition_start_date, count(*) AS months,
                avg(m) FILTER (WHERE month_end < competition_start_date) AS b,
                avg(m) FILTER (WHERE month_end >= competition_start_date) AS a
@@ -86,7 +86,7 @@ def q_competition(spark, sf):
 @register("top_competition_losers", f"""
 WITH {STORE_CLEAN_SQL.strip()},
 st AS (SELECT store, make_date(competition_open_since_year, competition_open_since_month, 1) AS s FROM store_c WHERE has_competition = 1),
-monthly AS (SELECT store, last_day(date) AS month_end, CAST(sum(CAST(sales AS DECIMAL(38,2))) AS DOUBLE) / count(sales) AS m FROM store_sales GROUP BY 1, 2),
+monthly AS (SELECT store, last_day(date) AS month_end, CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) / count(sales) AS m FROM store_sales GROUP BY 1, 2),
 agg AS (SELECT m.store, count(*) AS months, avg(m) FILTER (WHERE month_end < s) AS b, avg(m) FILTER (WHERE month_end >= s) AS a
         FROM monthly m JOIN st ON m.store = st.store GROUP BY 1)
 SELECT store, round((a - b) / b * 100, 4) AS percent_change FROM agg
@@ -100,10 +100,27 @@ def q_losers(spark, sf):
         "store", py_round("percent_change", 4).alias("percent_change"))
 
 
+@register("top_competition_winners", f"""
+WITH {STORE_CLEAN_SQL.strip()},
+st AS (SELECT store, make_date(competition_open_since_year, competition_open_since_month, 1) AS s FROM store_c WHERE has_competition = 1),
+monthly AS (SELECT store, last_day(date) AS month_end, CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) / count(sales) AS m FROM store_sales GROUP BY 1, 2),
+agg AS (SELECT m.store, count(*) AS months, avg(m) FILTER (WHERE month_end < s) AS b, avg(m) FILTER (WHERE month_end >= s) AS a
+        FROM monthly m JOIN st ON m.store = st.store GROUP BY 1)
+SELECT store, round((a - b) / b * 100, 4) AS percent_change FROM agg
+WHERE months >= 6 AND a IS NOT NULL AND b IS NOT NULL ORDER BY (a - b) / b * 100 DESC, store LIMIT 10
+""", views=("store_sales", "store"))
+def q_winners(spark, sf):
+    """O1: ten stores with the largest rise after competition (top-k report)."""
+    st = S.competition_start(_store(spark, sf))
+    out = S.event_impact(_sales(spark, sf), st)
+    return out.orderBy(F.desc("percent_change"), "store").limit(10).select(
+        "store", py_round("percent_change", 4).alias("percent_change"))
+
+
 @register("monthly_sales", """
 WITH m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month_start,
-                  CAST(sum(CAST(sales AS DECIMAL(18,2))) AS DOUBLE) AS total_sales,
-                  CAST(sum(CAST(sales AS DECIMAL(38,2))) AS DOUBLE) / count(sales) AS a
+                  CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) AS total_sales,
+                  CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) / count(sales) AS a
            FROM store_sales GROUP BY 1)
 SELECT month_start, total_sales, round(a, 4) AS avg_sales,
        round(total_sales / lag(total_sales) OVER (ORDER BY month_start) - 1, 6) AS total_sales_pct_change
@@ -113,14 +130,14 @@ def q_monthly(spark, sf):
     """P10 + A1 + A2 + W3: monthly total and mean sales with period change."""
     ss = _sales(spark, sf).withColumn("month_start", F.trunc("date", "MM"))
     m = ss.groupBy("month_start").agg(
-        F.sum(F.col("sales").cast("decimal(18,2)")).cast("double").alias("total_sales"),
+        F.sum(F.col("sales").cast("decimal(38,6)")).cast("double").alias("total_sales"),
         py_round(exact_mean("sales"), 4).alias("avg_sales"))
     m = TS.pct_change(m, "month_start", "total_sales")
     return m.withColumn("total_sales_pct_change", py_round("total_sales_pct_change", 6))
 
 
 @register("daily_sales_ma7", """
-WITH d AS (SELECT date, sum(CAST(sales AS DECIMAL(18,2))) AS s FROM store_sales GROUP BY 1),
+WITH d AS (SELECT date, sum(CAST(sales AS DECIMAL(38,6))) AS s FROM store_sales GROUP BY 1),
 sp AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d),
 f AS (SELECT sp.date, CAST(coalesce(d.s, 0) AS DOUBLE) AS sales FROM sp LEFT JOIN d ON sp.date = d.date)
 SELECT date, sales,
@@ -135,7 +152,7 @@ def q_daily(spark, sf):
 
 
 @register("store_daily_resample", """
-WITH d AS (SELECT store, date, sum(CAST(sales AS DECIMAL(18,2))) AS s FROM store_sales GROUP BY 1, 2),
+WITH d AS (SELECT store, date, sum(CAST(sales AS DECIMAL(38,6))) AS s FROM store_sales GROUP BY 1, 2),
 b AS (SELECT store, min(date) AS mn, max(date) AS mx FROM d GROUP BY 1),
 sp AS (SELECT store, CAST(unnest(generate_series(mn, mx, INTERVAL 1 DAY)) AS DATE) AS date FROM b)
 SELECT sp.store, sp.date, CAST(coalesce(d.s, 0) AS DOUBLE) AS sales
@@ -146,7 +163,7 @@ def q_store_daily(spark, sf):
     return TS.resample_daily(_sales(spark, sf), "date", "sales", keys=["store"])
 
 
-@register("store_monthly_avg", "SELECT store, last_day(date) AS period_end, CAST(sum(CAST(sales AS DECIMAL(38,2))) AS DOUBLE) / count(sales) AS avg_sales "
+@register("store_monthly_avg", "SELECT store, last_day(date) AS period_end, CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) / count(sales) AS avg_sales "
           "FROM store_sales GROUP BY 1, 2", views=("store_sales",))
 def q_store_monthly(spark, sf):
     """A4: mean daily sales per (store, month) labelled by month end."""
@@ -154,7 +171,7 @@ def q_store_monthly(spark, sf):
 
 
 @register("pivot_day_month", "SELECT day(date) AS day, " + ", ".join(
-    f"round(CAST(sum(CAST(sales AS DECIMAL(38,2))) FILTER (WHERE month(date) = {m}) AS DOUBLE) / count(sales) FILTER (WHERE month(date) = {m}), 4) AS m{m}" for m in range(1, 13))
+    f"round(CAST(sum(CAST(sales AS DECIMAL(38,6))) FILTER (WHERE month(date) = {m}) AS DOUBLE) / count(sales) FILTER (WHERE month(date) = {m}), 4) AS m{m}" for m in range(1, 13))
     + " FROM store_sales GROUP BY 1", views=("store_sales",))
 def q_pivot(spark, sf):
     """Mean sales, day of month x month (NULL where a cell is empty)."""

@@ -6,6 +6,6 @@ count and spend behind RFM (A7) - is offered as a streaming query so a
 continuously arriving invoice feed keeps the RFM state current.
 """
 
-from storelens.streaming.rfm_stream import customer_state_stream, rfm_from_state
+from storelens.streaming.rfm_stream import customer_state_stream, read_state, rfm_from_state
 
-__all__ = ["customer_state_stream", "rfm_from_state"]
+__all__ = ["customer_state_stream", "read_state", "rfm_from_state"]

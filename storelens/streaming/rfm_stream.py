@@ -2,10 +2,11 @@
 
 ``customer_state_stream`` keeps, per customer, the last purchase time, the
 number of lines and the exact spend, as a streaming aggregation in update
-mode; each micro-batch's changed rows are merged into a Parquet state table
-by ``foreachBatch`` (overwrite of the merged snapshot, so a replayed batch
-after a failure gives the same table).  ``rfm_from_state`` turns the state
-into the batch RFM table for any as-of time.
+mode; each micro-batch's changed rows are merged with the latest whole snapshot
+into a new one, ``epoch=<n>`` under the state path (a replayed batch replaces
+its own epoch only; the two latest are kept).  ``read_state`` reads the latest
+whole snapshot and ``rfm_from_state`` turns it into the batch RFM table for any
+as-of time.
 """
 
 from __future__ import annotations
@@ -36,25 +37,43 @@ def customer_state_stream(spark: SparkSession, source_dir: str, schema: T.Struct
 
     def merge(batch: DataFrame, epoch: int) -> None:
         sp = batch.sparkSession
-        try:
-            old = sp.read.parquet(state_path)
-        except Exception:  # first batch: no state yet
-            old = None
+        # a batch that is run again replaces its own epoch; an older one is only read
+        old = read_state(sp, state_path, before=epoch)
         changed = batch.select(customer, "last_purchase", "frequency", "monetary")
-        if old is None:
-            merged = changed
-        else:
-            merged = old.join(changed.select(customer), customer, "left_anti").unionByName(changed)
-        merged.persist()
-        merged.count()
-        merged.write.mode("overwrite").parquet(state_path + f"/../state_epoch_{epoch}")
-        sp.read.parquet(state_path + f"/../state_epoch_{epoch}").write.mode("overwrite").parquet(state_path)
-        merged.unpersist()
+        merged = changed if old is None else (
+            old.join(changed.select(customer), customer, "left_anti").unionByName(changed))
+        merged.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+        _drop_epochs(sp, state_path, before=epoch - 1)
 
     return (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
                .foreachBatch(merge).start())
 
 
+def _epochs(spark: SparkSession, state_path: str) -> list[int]:
+    """Epochs whose folder was written whole (its success mark is there)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [f.getPath() for f in store.listStatus(path) if f.getPath().getName().startswith("epoch=")]
+    whole = [p.getName() for p in names if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in whole)
+
+
+def read_state(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame | None:
+    """The state of the latest whole epoch (below ``before``); None if there is
+    none.  Any other read error is raised."""
+    epochs = [e for e in _epochs(spark, state_path) if before is None or e < before]
+    return spark.read.parquet(f"{state_path}/epoch={epochs[-1]}") if epochs else None
+
+
+def _drop_epochs(spark: SparkSession, state_path: str, before: int) -> None:
+    for e in _epochs(spark, state_path):
+        if e < before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/epoch={e}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def rfm_from_state(state: DataFrame, as_of: str | None = None, customer: str = "customer_id") -> DataFrame:
     """Batch RFM (recency in whole days) from the streamed state table."""
     ref = (state.agg(F.max("last_purchase").alias("_asof")) if as_of is None else

@@ -335,3 +335,34 @@ def test_resample_gap_fill_and_min_periods(spark):
     ma = {(x["store"], str(x["date"])): x["sales_ma3"]
           for x in moving_avg(r, "date", "sales", 3, keys=["store"]).collect()}
     assert ma[(1, "2024-01-02")] is None and ma[(1, "2024-01-03")] == 10.0 / 3 and ma[(2, "2024-01-02")] is None
+
+
+def test_components_follow_a_long_chain(spark):
+    from storelens.operators.components import connected_components
+
+    n = 1000
+    edges = spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b").unionByName(
+        spark.createDataFrame([(5000, 5001), (5001, 5000), (7000, 7000), (None, 3)], "a long, b long"))
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(n)}, 5000: 5000, 5001: 5000, 7000: 7000}
+
+
+def test_knn_ties_take_the_smallest_ids(spark):
+    from storelens.operators.neighbors import eps_counts, knn_join
+
+    same = spark.range(40).selectExpr("id", "array(0.1D, 0.2D, 0.3D) AS features")
+    got = knn_join(same, same, 5).where("query_id = 17").orderBy("rank").collect()
+    assert [r.neighbor_id for r in got] == [0, 1, 2, 3, 4]
+    grid = spark.range(400).selectExpr("id", "array((id % 20) * 0.1D, (id div 20) * 0.1D) AS features")
+    pts = {r.id: r.features for r in grid.collect()}
+    want = {i: sum(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 <= 0.1 for q in pts.values()) for i, p in pts.items()}
+    assert {r.id: r.n_within for r in eps_counts(grid, 0.1).collect()} == want
+    assert all(r.n_within == 1 for r in eps_counts(grid, 0.0).collect())
+
+
+def test_money_keeps_more_than_two_decimals(spark):
+    from pyspark.sql import functions as F
+    from storelens.functions.exprs import money
+
+    df = spark.createDataFrame([(0.125,)] * 3 + [(0.004,)], "x double")
+    assert float(df.agg(F.sum(money("x")).alias("s")).first().s) == 0.379

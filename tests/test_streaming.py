@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 
 from storelens.operators import rfm as R
-from storelens.streaming import customer_state_stream, rfm_from_state
+from storelens.streaming import customer_state_stream, read_state, rfm_from_state
 
 
 def test_stream_state_matches_batch(spark):
@@ -27,6 +27,6 @@ def test_stream_state_matches_batch(spark):
                               os.path.join(work, "ckpt"))
     q.processAllAvailable()
     q.stop()
-    got = rfm_from_state(spark.read.parquet(os.path.join(work, "state", "current")))
+    got = rfm_from_state(read_state(spark, os.path.join(work, "state", "current")))
     exp = R.rfm(feed, amount="amount")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.select(*got.columns).collect()))
