@@ -55,11 +55,11 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 def merge_rows(sketches: DataFrame, keys: list[str], sketch: str = "sketch", k: int = K) -> DataFrame:
     """The sketch of all rows of each key.  Rows are folded into at most k
     hashes by random part first, so that a hot key never meets in one task."""
-    each = sketches.select(*keys, F.explode(sketch).alias("h")).distinct()
-    part = F.pmod(F.xxhash64("h"), F.lit(64))
-    first = each.withColumn("part", part).withColumn(
-        "r", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("h"))).where(F.col("r") <= k)
-    return first.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("h")), 1, k).alias(sketch))
+    each = sketches.select(*keys, F.explode(sketch).alias("_h")).distinct()
+    part = F.pmod(F.xxhash64("_h"), F.lit(64))
+    first = each.withColumn("_part", part).withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h"))).where(F.col("_r") <= k)
+    return first.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("_h")), 1, k).alias(sketch))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
