@@ -43,7 +43,7 @@ from storelens.operators.components import connected_components
 _NULL = -(1 << 63)
 #: Largest bucket whose pairs between components become rows; larger ones are compared in blocks.
 PAIRED = 24
-BLOCK = 128
+BLOCK = 256
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
