@@ -123,13 +123,17 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _gradient(slope: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of weights and bias, from the loss's slope at each row."""
+    return np.append(slope.astype(np.float32) @ x, slope.sum())
+
+
 def non_negative_fit(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = 120, batch: int = 1024,
                      rate: float = 0.02, decay: float = 1e-4, back: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
     """Minimise the non-negative risk with the logistic loss; returns weights, bias."""
     draw = np.random.default_rng(seed)
     w = np.zeros(xp.shape[1] + 1)
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    xp, xu = (np.column_stack([x, np.ones(len(x), np.float32)]) for x in (xp, xu))
     batch = min(batch, max(32, len(xu) // 20))
     steps = max(1, -(-len(xu) // batch))
     for epoch in range(epochs):
@@ -139,9 +143,9 @@ def non_negative_fit(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int =
             u = xu[ou[i * len(xu) // steps:(i + 1) * len(xu) // steps]]
             if not len(u) or not len(p):
                 continue
-            zp, zu = (np.clip(x @ w.astype(np.float32), -30, 30).astype(np.float64) for x in (p, u))
-            up = prior * (-(1 / (1 + np.exp(zp)))) @ p / len(p)  # gradient of prior * R_p(+)
-            down = (1 / (1 + np.exp(-zu))) @ u / len(u) - prior * (1 / (1 + np.exp(-zp))) @ p / len(p)
+            zp, zu = (np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30).astype(np.float64) for x in (p, u))
+            up = _gradient(-prior / (1 + np.exp(zp)) / len(p), p)  # of prior * R_p(+)
+            down = _gradient(1 / (1 + np.exp(-zu)) / len(u), u) - _gradient(prior / (1 + np.exp(-zp)) / len(p), p)
             risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             g = up + down if risk >= 0 else -back * down
             g[:-1] += decay * w[:-1]
@@ -198,17 +202,22 @@ def fit(df: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0,
         # at most sample_rows ids are broadcast, and as many rows of N_FEATURES floats come back
         chosen = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id", "left_semi")
         kind = rows.schema["doc_id"].dataType.simpleString()
-        got = chosen.mapInArrow(measure, f"doc_id {kind}, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
-        x = np.frombuffer(b"".join(bytes(r.x) for r in sorted(got, key=lambda r: r.doc_id)), np.float32)
-        return x.reshape(-1, N_FEATURES)
+        got = chosen.mapInArrow(measure, f"doc_id {kind}, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).toArrow()
+        raw = got.sort_by("doc_id").column("x").combine_chunks()
+        if not len(raw):
+            return np.zeros((0, N_FEATURES), np.float32)
+        return np.frombuffer(utf8(raw)[0].tobytes(), np.float32).reshape(-1, N_FEATURES).copy()
 
     xp, xu = sample(marked.where("quality = 1")), sample(marked.where("quality IS NULL"))
     if not len(xp) or not len(xu):
         return None
     mean, scale = xu.mean(axis=0), np.maximum(xu.std(axis=0), 1e-3)
-    zp, zu = (np.clip((x - mean) / scale, -CLIP, CLIP).astype(np.float32) for x in (xp, xu))
-    prior = cross_prior(zp, zu)
-    w, b = non_negative_fit(zp, zu, prior)
+    for x in (xp, xu):  # in place: the samples are the driver's largest arrays
+        x -= mean
+        x /= scale
+        np.clip(x, -CLIP, CLIP, out=x)
+    prior = cross_prior(xp, xu)
+    w, b = non_negative_fit(xp, xu, prior)
     return Model(mean, scale, w, b, prior)
 
 
