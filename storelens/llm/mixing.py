@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from storelens.functions.sizing import cut_lineage
 
+#: Most sources whose rows (about 100 bytes each) are broadcast.
+SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -106,8 +108,10 @@ def entropy_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     per_source = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"), F.sum("docs").alias("docs"))
     state = tilt(cells, source_targets(per_source.select("source", "source_size"), weights, cap), float(cap))
     chunks = F.ceil(F.col("docs") / chunk_docs)
-    known = state.alias("t").join(per_source.alias("p"), F.col("t.source").eqNullSafe(F.col("p.source"))).select(
-        "t.*", chunks.alias("chunks"))
+    known = cut_lineage(state.alias("t").join(per_source.alias("p"), F.col("t.source").eqNullSafe(F.col("p.source"))).select(
+        "t.*", chunks.alias("chunks")))
+    # one short row a source: broadcast up to a checked number of them, so that a hot source's rows stay where they are
+    known = F.broadcast(known) if known.count() <= SOURCES else known
     rated = docs.alias("d").join(known.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source"))).select(
         "d.doc_id", "d.source", "d.size", "k.source_size", "k.target",
         F.round(F.least(F.lit(float(cap)), F.col("d.prior") * F.exp("k.tilt")), 10).alias("rate"),
