@@ -8,7 +8,10 @@ path from the body to it is the threshold that other blocks beside that path
 must reach to belong to it too (inside the article or main element around the
 subtree, if there is one).  Elements that cannot be main text - scripts,
 styles, forms, menus, footers, sidebars, adverts, notices, reader comments, by
-element, role, class or id - are left out of the tree.
+element, role, class or id - are left out of the tree.  A class or id marks an
+element as a whole name ("comments", "site-footer", not "no-sidebar"), words
+that are also topics or states ("legal", "skip") only outside article and main,
+and what holds the article or main element with the most text always stays.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined by an empty line.  Null or empty html, or html without
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 
 from storelens.llm.base import slices
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
 _SPACES = re.compile(r"\s+")
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_TAG_END = re.compile(r"([\s/]*)>")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,59 +60,110 @@ MARKS = frozenset("ad ads advert advertisement adverts advertising sponsor spons
                   "newsletter subscribe subscription signup login search popup modal overlay widget pagination pager "
                   "copyright legal toolbar skip tags".split())
 HEADERS = frozenset("header banner topbar".split())
+#: Of these words, those that inside article or main rather name a topic, a state or a part of the text.
+TOPICS = frozenset("legal skip alert notice notification search menu copyright promotion consent social respond "
+                   "subscription login popup overlay modal widget".split())
+#: Words that may stand beside a mark in one name ("share-buttons"); with any other word the name marks nothing.
+BESIDE = frozenset("site global js box bar list item items link links button buttons btn icon icons container wrapper "
+                   "wrap section block area panel slot unit form inner outer row group".split())
+OWNERS = frozenset("post posts entry article articles story stories blog user".split())
+#: Words that may only come first in such a name ("main-nav", "page-footer").
+LEADS = frozenset("page main primary secondary top bottom".split())
 
 
 class Node:
     """A block element: its content in order is text and child blocks."""
 
-    __slots__ = ("name", "parent", "children", "content", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("name", "parent", "children", "content", "chars", "tags", "link_chars", "link_tags", "density", "sum",
+                 "cut", "is_main")
 
-    def __init__(self, name: str, parent: Node | None):
+    def __init__(self, name: str, parent: Node | None, cut: bool = False, is_main: bool = False):
         self.name, self.parent, self.children, self.content = name, parent, [], []
+        self.cut, self.is_main = cut, is_main
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _end_of_tag(page: str, m: re.Match) -> int:
-    """The tag's end, past any > inside a quoted attribute value."""
-    end = m.end()
-    for quote in "\"'":
-        if m[3].count(quote) % 2:
-            close = page.find(quote, end)
-            stop = page.find(">", close) if close >= 0 else -1
-            if stop >= 0:
-                end = stop + 1
-            break
-    return end
+def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """A tag's attributes by whole name (the first of a name counts), whether it
+    closes itself, and its end; the end is -1 if the page ends before it."""
+    found: dict[str, str] = {}
+    while not (end := _TAG_END.match(page, at)):
+        m = _ATTRIBUTE.match(page, at)
+        if not m:
+            return found, False, -1
+        value = m[2] or ""
+        if len(value) > 1 and value[0] in "\"'" and value[0] == value[-1]:
+            value = value[1:-1]
+        found.setdefault(m[1].lower(), value)
+        at = m.end()
+    return found, "/" in end[1], end.end()
+
+
+def _marked(name: str, inside_main: bool) -> bool:
+    """Whether one class, id or role says that its element is not main text."""
+    words = [w for w in _WORD.findall(name) if len(w) > 1]
+    marks = [w for w in words if w in MARKS or w in HEADERS]
+    if inside_main:
+        marks = [w for w in marks if w not in HEADERS and w not in TOPICS]
+    if not marks:
+        return False
+    own = all(w in HEADERS for w in marks)  # the header of a post or an article is its title
+    return all(w in MARKS or w in HEADERS or w in BESIDE or (w in OWNERS and not own) or (i == 0 and w in LEADS)
+               for i, w in enumerate(words))
 
 
-def _left_out(name: str, attributes: str, inside_main: bool) -> bool:
+def _marks(attributes: dict[str, str], inside_main: bool) -> bool:
+    return any(_marked(x, inside_main) for key in ("class", "id", "role")
+               for x in attributes.get(key, "").lower().split())
+
+
+def _left_out(name: str, attributes: dict[str, str], inside_main: bool) -> bool:
     if name in DROPPED or (name == "header" and not inside_main):
         return True
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "article", "main") or not attributes:
         return False
-    for key, value in _ATTRIBUTE.findall(attributes):
-        key = key.lower()
-        if key == "hidden" or (key == "aria-hidden" and "true" in value) or (
-                key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if key in ("class", "id", "role"):
-            words = _WORD.findall(value.lower())
-            if any(w in MARKS and not (w in HEADERS and inside_main) or (w in HEADERS and not inside_main)
-                   for w in words):
-                return True
-    return False
+    return ("hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true"
+            or bool(_NOT_SHOWN.search(attributes.get("style", ""))) or _marks(attributes, inside_main))
+
+
+def _prune(root: Node) -> None:
+    """Take out the parts to leave out, but not those around the article or main
+    element that has the most text outside links."""
+    order = [root]
+    for x in order:
+        order.extend(x.children)
+    if not any(x.cut for x in order):
+        return
+    if any(x.is_main for x in order):
+        free = {id(x): x.chars - x.link_chars for x in order}
+        for x in reversed(order):
+            if x.parent is not None:
+                free[id(x.parent)] += free[id(x)]
+        within: set[int] = set()
+        for x in order:
+            if x.cut or (x.parent is not None and id(x.parent) in within):
+                within.add(id(x))
+        # of equal ones, one outside the parts to leave out
+        x = max((x for x in order if x.is_main), key=lambda x: (free[id(x)], id(x) not in within))
+        while x is not None:
+            x.cut = False
+            x = x.parent
+    for x in order:
+        if any(c.cut for c in x.children):
+            x.children = [c for c in x.children if not c.cut]
+            x.content = [c for c in x.content if isinstance(c, str) or not c.cut]
 
 
 def tree(page: str) -> Node:
     """The page's block tree, without what cannot be main text."""
     root = Node("body", None)
-    node, stack, skip, links, main_depth = root, [], 0, 0, 0
-    # stack: (name, node before it or None if inline, starts a left-out part, inside main)
-    at, n = 0, len(page)
+    node, stack, links, main_depth = root, [], 0, 0
+    # stack: (name, node before it or None if inline, whether it is article or main)
+    at, n, open_ended = 0, len(page), set()
 
     def text(s: str) -> None:
-        if s and not skip:
+        if s:
             s = entities.unescape(s) if "&" in s else s
             node.content.append(s)
             size = len(s) - s.count(" ") - s.count("\n")
@@ -116,10 +172,9 @@ def tree(page: str) -> Node:
                 node.link_chars += size
 
     def pop(index: int) -> None:
-        nonlocal node, skip, links, main_depth
+        nonlocal node, links, main_depth
         while len(stack) > index:
-            name, before, cut, is_main = stack.pop()
-            skip -= cut
+            name, before, is_main = stack.pop()
             main_depth -= is_main
             if name == "a":
                 links = max(0, links - 1)
@@ -142,8 +197,10 @@ def tree(page: str) -> Node:
             end = page.find(">", at)
             at = n if end < 0 else end + 1
             continue
-        closing, name, attributes = tag[1], tag[2].lower(), tag[3]
-        at = _end_of_tag(page, tag)
+        closing, name = tag[1], tag[2].lower()
+        attributes, closed, at = _attributes(page, tag.end())
+        if at < 0:
+            break  # cut off at the end of the page
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -153,8 +210,12 @@ def tree(page: str) -> Node:
                     break  # an inline end does not close blocks
             continue
         if name in RAW:
+            if closed or name in open_ended:
+                continue
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if name == "noscript" or name == "object":
+            if not close:
+                open_ended.add(name)  # nor do later ones have an end
+            if name in ("noscript", "object", "svg", "math"):
                 at = close.end() if close else at
             else:
                 at = close.end() if close else n
@@ -176,32 +237,31 @@ def tree(page: str) -> Node:
                     found = i
             if found is not None:
                 pop(found)
-        if not skip:
-            node.tags += 1
+        node.tags += 1
         if name in VOID:
-            if name in ("br", "hr") and not skip:
+            if name in ("br", "hr"):
                 node.content.append(" ")
             continue
-        if attributes.endswith("/") and name not in INLINE and name not in CLOSES_P:
+        if closed and name not in INLINE and name not in CLOSES_P:
             continue
         if name in ("html", "body"):
             continue
-        cut = int(bool(skip) or _left_out(name, attributes, main_depth > 0))
-        is_main = int(name in ("article", "main"))
+        cut = _left_out(name, attributes, main_depth > 0)
+        is_main = name in ("article", "main")
         if name == "a":
             links += 1
-            if not skip:
-                node.link_tags += 1
-        if name in INLINE or cut:
-            stack.append((name, None, cut, is_main))
-            skip += cut
+            node.link_tags += 1
+        if name in INLINE and not cut:
+            stack.append((name, None, False))
         else:
-            child = Node(name, node)
+            # an article that is itself a comment or a teaser is not the page's
+            child = Node(name, node, cut, is_main and not _marks(attributes, False))
             node.children.append(child)
             node.content.append(child)
-            stack.append((name, node, 0, is_main))
+            stack.append((name, node, is_main))
             node = child
         main_depth += is_main
+    _prune(root)
     return root
 
 

@@ -52,3 +52,41 @@ def test_odd_rows(spark):
         ("2", "None", "", "0"), ("None", "v", "", "0"), ("3", "w", ("y " * 200_000).strip(), str(399_999))])
     assert as_rows(extract_main_text(pages.selectExpr("*", "'c' AS text", "1 AS n_chars"))) == as_rows(got)
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_marks_are_whole_names():
+    body = f"<h1>A</h1><p>{LONG}</p><p {{}}>Second: {LONG}</p><p>{LONG}</p>"
+    want = "\n\n".join(["A", LONG, "Second: " + LONG, LONG])
+    for attributes in ('title="The hidden costs"', 'data-overflow="hidden"', 'data-id="ad-12"', 'class="legal"',
+                       'class="skip"', 'class="ad-free"', "title='display:none'", 'title="it\'s"', 'aria-hidden="false"'):
+        assert main_text(f"<body><article>{body.format(attributes)}</article></body>") == want, attributes
+    for wrapper in ("content no-sidebar", "has-sidebar", "content-sidebar-wrap", "legal"):
+        page = f'<body><div class="{wrapper}"><article>{body.format("")}</article></div></body>'
+        assert main_text(page) == want, wrapper
+    assert main_text(f'<body><div class="content no-sidebar">{body.format("")}</div></body>') == want
+    for link in ('href="/films/hidden-figures"', 'href="/page?id=comments"', 'href=/a?class=ad', 'title="a > hidden"'):
+        page = f"<article><p>{LONG} See <a {link}>the film</a> now. {LONG}</p><p>{LONG}</p></article>"
+        assert main_text(page) == f"{LONG} See the film now. {LONG}\n\n{LONG}", link
+    for mark in ('class="comments"', 'class="post-comments"', "class='x share-buttons'", "id=ad-12", "hidden", "HIDDEN=''",
+                 'style="color:red; display : none"', 'aria-hidden=true', 'role="navigation"', 'class="site-footer"'):
+        page = f"<body><article>{body.format('')}<div {mark}><p>{LONG} Out.</p></div></article></body>"
+        assert main_text(page) == want, mark
+
+
+def test_the_article_is_never_left_out():
+    article = f"<article><h1>A</h1><p>{LONG}</p><p>{LONG}</p></article>"
+    want = "\n\n".join(["A", LONG, LONG])
+    for opening, closing in (('<form id="page">', "</form>"), ('<div class="overlay">', "</div>"), ('<div id="menu">', "</div>")):
+        assert main_text(f"<body>{opening}<nav>{LONG}</nav>{article}{closing}<footer>{LONG}</footer></body>") == want
+    # but articles among related texts and comments are not the page's
+    for part in ("aside", "section class=related"):
+        page = f"<body>{article}<{part}><article><p>{LONG}</p></article></{part.split()[0]}></body>"
+        assert main_text(page) == want
+    comment = f'<div id="comments"><article class="comment"><p>{LONG * 9}</p></article></div>'
+    assert main_text(f"<body>{article}{comment}</body>") == want
+
+
+def test_self_closed_and_unclosed_drawings():
+    for drawing in ('<svg width="5"/>', "<svg class='i' />", "<math/>", "<svg><path d=''/>", '<svg><title>t</title></svg>'):
+        page = f"<body><article><h1>A</h1>{drawing}<p>{LONG}</p><p>{LONG}</p></article></body>"
+        assert main_text(page).endswith("\n\n".join([LONG, LONG])) and main_text(page).startswith("A"), drawing
