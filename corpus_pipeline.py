@@ -12,8 +12,8 @@ every row that the stages before it kept:
   mix        rows are repeated (or left out) as the source weights ask
   tokens     all texts become token files; the result is the files' digest
 
-Nulls: a null text counts as empty; null ids are one document; null sources
-are a source of their own.  Empty tables pass through as empty tables.
+Nulls: a null text counts as empty; rows without an id are told apart by their
+texts in near, else they are one document; null sources are a source of their own.  Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations

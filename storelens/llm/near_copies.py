@@ -21,13 +21,14 @@ and 20 bands of 4 a pair of similar texts misses all buckets with probability
 0.00003.
 
 Null or empty texts and texts without words have no shingles: each distinct
-one is a class of its own (equal ones are copies).  Null doc_id: a document of
-its own id.  Repeated rows: each gets the same class.  Ids are integers.
+one is a class of its own (equal ones are copies).  Repeated rows: each gets the
+same class.  Rows that share an id, or have none, but differ in text are told
+apart by their text: they are in one class only if their texts are alike.  The
+null id counts as the smallest one.  Ids are integers.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -127,23 +128,27 @@ def similarities(left: pa.Array, right: pa.Array, size: int = 5) -> tuple[np.nda
     return least, np.bincount(r, weights=w, minlength=n) - least
 
 
+def digest(text):
+    """128 bits that stand for a text."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     """key, digest, keys (band keys; empty for a text without shingles) of every row."""
     def sign(batches):
         for batch in batches:
             for part in slices(batch):
                 data, offsets = utf8(part.column(1))
-                raw, n = data.tobytes(), part.num_rows
-                digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
+                n = part.num_rows
                 h, r, w = weighted_elements(*shingles(data, offsets, size))
                 found = band_keys(dart_signatures(h, r, w, n, bands * rows), bands).view(np.int64)
                 some = np.bincount(r, minlength=n) > 0
                 ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[some].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), keys],
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), keys],
                                                  names=["key", "digest", "keys"])
 
-    return docs.select("key", "text").mapInArrow(sign, "key long, digest binary, keys array<long>")
+    return docs.select("key", "text", "digest").mapInArrow(sign, "key long, digest binary, keys array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -217,15 +222,21 @@ def similar_in_blocks(members: DataFrame, texts: DataFrame, threshold: float, si
         lambda rows: _compare(rows, threshold, size), "a long, b long").distinct()
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                           bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), kept (whether it is
-    the one of its class) of every row."""
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, size: int) -> DataFrame:
+    """key, digest, class, kept of every row; keys and classes are ids (null: ``_NULL``)."""
     docs = id_text(df, id_col, text_col).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), "text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), "text",
+        digest(F.col("text")).alias("digest"))
     signed = cut_lineage(signatures(docs, bands, rows, size))
     folded = cut_lineage(signed.groupBy("digest").agg(F.min("key").alias("first"), F.min_by("keys", "key").alias("keys")))
-    placed = folded.select(F.col("first").alias("key"), F.explode("keys").alias("bucket"))
+    # a text's number: its smallest id, or, where ids repeat, its place by smallest id and digest
+    repeated = bool(signed.groupBy("key").count().where("count > 1").limit(1).count())
+    if repeated:
+        folded = cut_lineage(folded.repartitionByRange("first", "digest").sortWithinPartitions("first", "digest")
+                             .withColumn("node", F.monotonically_increasing_id()))
+    else:
+        folded = folded.withColumn("node", F.col("first"))
+    placed = folded.select(F.col("node").alias("key"), F.explode("keys").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut_lineage(placed.join(cut_lineage(shared), "bucket"))
     central = cut_lineage(shared.groupBy("key").agg(F.sum("n").alias("central")))
@@ -233,7 +244,13 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         F.min(F.struct((-F.col("central")).alias("c"), "key"))["key"].alias("pivot")))
     first = cut_lineage(shared.join(pivots, "bucket").where("key != pivot").select(
         F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
-    texts = cut_lineage(docs.join(central.select("key"), "key", "left_semi"))
+    if repeated:
+        wanted = folded.join(central.select(F.col("key").alias("node")), "node", "left_semi").select(
+            "node", "digest", F.col("first").alias("key"))
+        texts = cut_lineage(docs.dropDuplicates(["key", "digest"]).join(wanted, ["key", "digest"]).select(
+            F.col("node").alias("key"), "text"))
+    else:
+        texts = cut_lineage(docs.select("key", "text").join(central.select("key"), "key", "left_semi"))
     links = cut_lineage(similar(first, texts, threshold, size))
     roots = cut_lineage(connected_components(links))
     # pairs of a bucket that lie in different components and weren't compared
@@ -253,22 +270,40 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         similar_in_blocks(many, texts, threshold, size)))
     if more.limit(1).count():
         roots = cut_lineage(connected_components(links.unionByName(more)))
-    classes = folded.select("digest", "first").join(roots, F.col("first") == F.col("node"), "left").select(
-        "digest", F.coalesce("root", "first").alias("class"))
+    classes = folded.select("digest", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select(
+        "digest", "own", F.coalesce("root", "own").alias("root"))
+    if repeated:
+        classes = classes.join(folded.select(F.col("node").alias("root"), F.col("first").alias("class")), "root")
+    else:
+        classes = classes.withColumn("class", F.col("root"))
+    classes = cut_lineage(classes.select("digest", "class", (F.col("own") == F.col("root")).alias("leads")))
+    return signed.select("key", "digest").join(classes, "digest").select(
+        "key", "digest", "class", (F.col("leads") & (F.col("key") == F.col("class"))).alias("kept"))
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
+                           bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), kept (whether it is
+    the one of its class) of every row."""
     null = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return signed.select("key", "digest").join(cut_lineage(classes), "digest").select(
-        null("key").alias("doc_id"), null("class").alias("class_id"), (F.col("key") == F.col("class")).alias("kept"))
+    return _classes(df, id_col, text_col, threshold, bands, rows, size).select(
+        null("key").alias("doc_id"), null("class").alias("class_id"), "kept")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
+                         bands: int = 20, rows: int = 4, size: int = 5) -> DataFrame:
     """The rows of ``df``, all columns, that stand for their class: those of its
-    smallest id; of several rows with that id the one with the smallest text."""
-    classes = near_duplicate_classes(df, id_col, text_col, **parameters)
-    chosen = cut_lineage(classes.where("kept").select(F.coalesce("doc_id", F.lit(_NULL)).alias("_chosen")).groupBy(
-        "_chosen").agg(F.count("*").alias("_rows")))
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
-    if not chosen.where("_rows > 1").limit(1).count():
-        return df.join(chosen, own == F.col("_chosen"), "left_semi")
-    order = Window.partitionBy(own).orderBy(F.col(text_col), *[F.col(c) for c, t in df.dtypes if c != text_col and "map" not in t])
-    return df.join(chosen, own == F.col("_chosen"), "left_semi").withColumn("_row", F.row_number().over(order)).where(
-        "_row = 1").drop("_row")
+    smallest id and its text; of several such rows with one id the one with the
+    smallest text, of rows without an id one for each text."""
+    chosen = cut_lineage(_classes(df, id_col, text_col, threshold, bands, rows, size).where("kept").select(
+        F.col("key").alias("_key"), F.col("digest").alias("_digest")))
+    own = df.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)),
+                          "_digest": digest(F.coalesce(F.col(text_col), F.lit("")))})
+    left = own.join(chosen, ["_key", "_digest"], "left_semi")
+    unit = F.when(F.col("_key") == _NULL, F.col("_digest"))
+    if not chosen.groupBy("_key", unit).count().where("count > 1").limit(1).count():
+        return left.drop("_key", "_digest")
+    order = Window.partitionBy("_key", unit).orderBy(
+        F.col(text_col), *[F.col(c) for c, t in df.dtypes if c != text_col and "map" not in t])
+    return left.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop(
+        "_row", "_key", "_digest")

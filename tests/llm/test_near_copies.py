@@ -105,3 +105,15 @@ def test_odd_rows(spark, odd, clashing, empty):
     assert sorted(i for i in ids if i) == [1, 3, 5, 7, 8, 9, 10, 11] and ids.count(None) == 1
     repeated = spark.createDataFrame([(1, PROSE, 1), (1, PROSE, 2), (1, "other", 3)], "doc_id long, text string, n int")
     assert [tuple(r) for r in N.drop_near_duplicates(repeated).collect()] == [(1, "other", 3)]
+
+
+def test_rows_are_told_apart_by_text(spark):
+    rows = [(None, "lone words here", 1), (None, PROSE, 2), (None, "quite another text of some words", 3),
+            (None, "lone words here", 4), (3, "a third text that stands under this id", 5), (9, "one text under nine", 6),
+            (9, "a third text that stands under this id", 7), (9, PROSE + " indeed", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(r.n for r in N.drop_near_duplicates(docs).collect()) == [1, 2, 3, 5, 6]
+    got = N.near_duplicate_classes(docs).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in got) == [
+        (0, 0, True)] * 4 + [(3, 3, True), (9, 0, False), (9, 3, False), (9, 9, True)]
