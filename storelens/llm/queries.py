@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator,
+"""The registered queries of the thirteen operators: each applies its operator,
 with production parameters, to its whole table."""
 
 from __future__ import annotations
@@ -104,3 +104,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document (a tenth of them made periodic)."""
+    from storelens.llm.periodic import periodic_runs, planted
+
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.withColumn("text", planted(F.col("text"), F.col("doc_id"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256)
+        .alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
