@@ -127,3 +127,12 @@ def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storelens.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), with_ids=False).drop("ids")
+
+
+@query
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids aligned with pieces, in every document."""
+    from storelens.llm.alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("piece_bpe_32k.model")).drop("groups")
