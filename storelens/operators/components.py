@@ -3,6 +3,8 @@
 Every step is a min-aggregate per node and a join back, so a hot node is
 pre-aggregated before the shuffle and its edges can be split in the join; the
 number of rounds grows with the logarithm of the longest chain, without a cap.
+The rounds end when the edges are a forest of stars: then every node hangs on one
+root and no root hangs on another.  Nodes are of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -13,19 +15,27 @@ from pyspark.sql import functions as F
 from storelens.functions.sizing import cut_lineage
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """Hang each node's neighbours (``larger``: those above it, else all of the
     given, smaller ones and itself) on the smallest of the node and its neighbours."""
-    least = cut_lineage(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
     joined = pairs.join(least, "a")
     if larger:
-        return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
-    hung = joined.where(F.col("b") != F.col("root")).select(F.col("b").alias("a"), F.col("root").alias("b"))
-    return hung.unionByName(least.select("a", F.col("root").alias("b")))
+        hung = joined.where(F.col("b") > F.col("a"))
+    else:
+        own = least.select("a", F.col("a").alias("b"), "root")
+        hung = joined.where(F.col("b") != F.col("root")).unionByName(own)
+    return hung.select(F.col("b").alias("a"), F.col("root").alias("b")).where("a != b").distinct()
+
+
+def _is_forest(state: DataFrame) -> bool:
+    """Whether the edges (node, smaller node) are stars: no node has two of them,
+    and none that has one is another's."""
+    ends = state.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        state.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    # an aggregate reads all partitions in one job; a limit would try a few more at a time
+    return not each.where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0]
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,18 +43,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     that occurs in an edge.  Loops and repeated edges are allowed; null ends are
     dropped; no edges give an empty result."""
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-    loops = ends.where("a = b").select(F.col("a").alias("node")).distinct()
-    # oriented: a > b
-    state = cut_lineage(ends.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while state.limit(1).count():
-        state = _star(_both(state), larger=True).where("a != b").distinct()
-        state = cut_lineage(_star(state, larger=False).where("a != b").distinct())
-        mark = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).cast("string")).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-    roots = state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    lone = loops.join(state.select(F.col("a").alias("node")).union(state.select(F.col("b"))).distinct(), "node", "left_anti")
-    return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots).unionByName(
-        lone.select("node", F.col("node").alias("root")))
+    # oriented: a > b; a loop is kept as it is and says that its node occurs
+    state = cut_lineage(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    loops = state.where("a = b")
+    state = state.where("a != b")
+    while not _is_forest(state):
+        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        state = cut_lineage(_star(cut_lineage(_star(both, larger=True)), larger=False))
+    every = state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        state.select(F.col("b").alias("node"), F.col("b").alias("root"))).unionByName(
+        loops.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    return every.groupBy("node").agg(F.min("root").alias("root"))
