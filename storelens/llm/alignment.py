@@ -22,9 +22,10 @@ Counting never shuffles or holds links:
 A hot token adds at most one pair row per run and A id to a merge, and its documents are
 spread over the bunches, so no step holds all of its links.
 
-Texts are cut at single spaces between other characters, where both tokenizers
-end a token in any case (no piece of B may hold a space after another
-character; else whole texts are encoded), so equal words are aligned once.
+Texts are cut where both tokenizers end a token in any case, so that equal words
+are aligned once: before a single space or line end between other characters, and
+before a sign after a letter, as far as no piece of B holds the two characters on
+the cut's sides (else whole texts are encoded).
 
 Null or empty texts, and texts whose tokens' bytes differ from a space and the
 text (as those that hold U+2581): no tokens, zeros and an empty groups digest.
@@ -38,6 +39,7 @@ import heapq
 import math
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,7 @@ from storelens.llm.token_files import shared_folder
 SPACE_MARK = "▁"
 #: Radices (a power of two) that the B ids' low bits deal the pairs to.
 RADICES = 32
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_LETTER = re.compile(r"[^\W\d_]")
 _PAIR = np.dtype([("step", "<u8"), ("n", "<i8")])
 _TOTAL = np.dtype([("key", "<u8"), ("n", "<i8"), ("best", "<u1")])
 _RECORD = np.dtype([("row", "<u4"), ("n", "<u4")])
@@ -72,7 +74,7 @@ def byte_characters() -> dict[str, int]:
 class Aligner:
     """Both tokenizers of a worker and its table of aligned words."""
 
-    def __init__(self, path_a: str, path_b: str, cache_size: int = 200_000):
+    def __init__(self, path_a: str, path_b: str, cache_size: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -91,11 +93,29 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(size)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode()
                         for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # a token's text by what follows it: another of its side, the other side or group, the next word
+        self.text_a = np.array([[f"{i}{c}" for i in range(len(self.bytes_a))] for c in ",|"], object)
+        self.text_b = np.array([[f"{i}{c}" for i in range(size)] for c in (",", ";", "\n")], object)
         self.shift = len(self.bytes_a).bit_length()  # a pair's key is b << shift | a
-        self.by_word = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
+        self.cut = self._safe_cuts(p for i, p in enumerate(pieces) if not self.b.is_byte(i) and not self.b.is_control(i))
         self.cache_size = cache_size
         self._clear()
 
+    @staticmethod
+    def _safe_cuts(pieces) -> re.Pattern | None:
+        """Where texts can be cut: no piece of B holds the characters on both sides."""
+        after: dict[str, set[str]] = {}
+        for p in pieces:
+            for x, y in zip(p, p[1:]):
+                after.setdefault(y, set()).add(x)
+        if after.get(SPACE_MARK, set()) - {SPACE_MARK}:
+            return None
+        signs = [y for y in ".,;:!?" if not any(_LETTER.match(x) for x in after.get(y, ()))]
+        ends = " " if after.get("\n") else " \n"
+        cuts = [rf"(?<=\S)(?=[{ends}]\S)"] + [rf"(?<=[^\W\d_])(?=[{re.escape(''.join(signs))}])"] * bool(signs)
+        return re.compile("|".join(cuts))
+
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.groups: list[str] = []
@@ -103,51 +123,58 @@ class Aligner:
         self.starts = np.zeros(1, np.int64)
         self.keys = np.zeros(0, np.uint64)
 
-    def _align(self, a: list[int], b: list[int], word: str):
-        """Groups as text, sizes and link keys of one word."""
-        if b"".join([self.bytes_a[i] for i in a]) != (raw := b" " + word.encode()) or b"".join(
-                [self.bytes_b[i] for i in b]) != raw:
-            return "", (0, 0, 0, 0, 0), []
-        links, groups, i, j = [], [], 0, 0
-        from_a, from_b = 0, 0
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            links.append(b[j] << self.shift | a[i])
-            both = end_a == end_b
-            if both:
-                groups.append(f"{','.join(map(str, a[from_a:i + 1]))}|{','.join(map(str, b[from_b:j + 1]))}")
-                from_a, from_b = i + 1, j + 1
-                if from_a == len(a):
-                    break
-            if both or end_a < end_b:
-                i += 1
-                next_a = end_a + len(self.bytes_a[a[i]])
-            else:
-                next_a = end_a
-            if both or end_b < end_a:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
-            end_a = next_a
-        return ";".join(groups), (len(a), len(b), len(groups), len(links), 1), links
+    def _spells(self, ids: list[int], table: list[bytes], text: bytes) -> bool:
+        return b"".join(map(table.__getitem__, ids)) == text
 
     def _learn(self, words: list[str]) -> None:
-        sizes, keys, counts = [], [], []
-        found_a = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        for word, a, b in zip(words, found_a, self.b.encode(words, num_threads=1)):
-            self.place[word] = len(self.groups)
-            text, size, links = self._align(a.ids, b, word)
-            self.groups.append(text)
-            sizes.append(size)
-            keys.extend(links)
-            counts.append(len(links))
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 5)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-        self.keys = np.concatenate([self.keys, np.array(keys, np.uint64)])
+        """Align new words, all in one pass: their bytes lie end to end, so that ends
+        of tokens are prefix sums and links are ranges between them."""
+        # a word without a space of its own is read behind a letter, whose token is then taken off
+        bare = [w[0] != " " for w in words]
+        found_a = [e.ids[x:] for x, e in zip(bare, self.a.encode_batch_fast(
+            [" a" + w if x else w for x, w in zip(bare, words)], add_special_tokens=False))]
+        found_b = [b[x:] for x, b in zip(bare, self.b.encode(
+            ["a" + w if x else w[1:] for x, w in zip(bare, words)], num_threads=1))]
+        raw = [w.encode() for w in words]
+        bad = np.zeros(len(words), bool)
+        if not (self._spells(list(chain.from_iterable(found_a)), self.bytes_a, text := b"".join(raw))
+                and self._spells(list(chain.from_iterable(found_b)), self.bytes_b, text)):
+            bad = np.array([not (self._spells(a, self.bytes_a, w) and self._spells(b, self.bytes_b, w))
+                            for a, b, w in zip(found_a, found_b, raw)])
+            found_a, found_b = ([[] if no else x for x, no in zip(y, bad)] for y in (found_a, found_b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found_a, found_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (found_a, found_b))
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        # each B token is linked to the A tokens from the one that holds its first byte to the one that holds its last
+        low = np.searchsorted(end_a, end_b - self.length_b[b], side="right")
+        many = np.searchsorted(end_a, end_b, side="left") - low + 1
+        links = np.cumsum(many)
+        at = np.repeat(low - (links - many), many) + np.arange(links[-1] if len(links) else 0)
+        keys = np.repeat(b.astype(np.uint64) << np.uint64(self.shift), many) | a[at].astype(np.uint64)
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        last_a, last_b = both[group_a] == end_a, both[group_b] == end_b
+        word_end = np.zeros(len(b), np.int64)
+        word_end[np.cumsum(n_b)[n_b > 0] - 1] = 1
+        # a group's A tokens come before its B tokens
+        pieces = np.empty(len(a) + len(b), object)
+        in_group_a, in_group_b = (np.bincount(g, minlength=len(both)) for g in (group_a, group_b))
+        pieces[np.arange(len(a)) + (np.cumsum(in_group_b) - in_group_b)[group_a]] = self.text_a[last_a.astype(np.int64), a]
+        pieces[np.arange(len(b)) + np.cumsum(in_group_a)[group_b]] = self.text_b[last_b + word_end, b]
+        texts = iter("".join(pieces.tolist()).split("\n"))
+        word = np.repeat(np.arange(len(words)), n_b)
+        sizes = np.stack([n_a, n_b, np.bincount(word[last_b], minlength=len(words)),
+                          np.bincount(word, weights=many, minlength=len(words)).astype(np.int64), ~bad], axis=1)
+        self.place.update(zip(words, range(len(self.groups), len(self.groups) + len(words))))
+        self.groups.extend("" if no else next(texts) for no in bad)
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes[:, 3])])
+        self.keys = np.concatenate([self.keys, keys])
 
     def align(self, texts: list[str], with_groups: bool = False):
         """Per text: ids of A, of B, groups, links (n x 4) and the groups digest (with
         ``with_groups`` also the groups); and all links as (text, key)."""
-        cut = [(_CUT.split(t) if self.by_word else [t]) if t else [] for t in texts]
+        cut = [(self.cut.split(" " + t) if self.cut else [" " + t]) if t else [] for t in texts]
         new = set().union(*cut) - self.place.keys()
         if new and len(self.place) + len(new) > self.cache_size:
             self._clear()

@@ -114,7 +114,7 @@ def test_blocks_of_the_merge(monkeypatch):
 def test_words_are_aligned_as_in_the_whole_text(libraries):
     rng = random.Random(7)
     pieces = ["the", " ", "  ", "\n", "\t", "don't", "12345", "naïve", "漢字", "😀", "...", " ", "a" * 40, " ",
-              "<|endoftext|>", "</s>", "<0x41>", "é", "\x1c", "​", "ß", "x_y", "\x85", " \n ", "!", "▁"]
+              "<|endoftext|>", "</s>", "<0x41>", "é", "\x1c", "​", "ß", "x_y", "\x85", " \n ", "!", "▁", "word.", "word,\nNext", "x.y", "a\n", "\nb", "¿qué?", "3.5", "²."]
     texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 30))) for _ in range(600)]
     aligner = A.Aligner(*PATHS, cache_size=150)
     sizes, digests, groups, row, key = aligner.align(texts, True)
