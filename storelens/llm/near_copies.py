@@ -10,9 +10,9 @@ value.  A text throws about k ln k + 2k darts; while a coordinate is empty its
 ranks are doubled.  So the work is about elements + darts, whatever k.
 
 Classes: exact copies are folded first (digest of the text).  Bands of
-signature values are joined by bucket.  Each bucket's most central text (that
-shares the most bucket places) is compared with the others of the bucket; the
-links that hold (exact similarity >= ``threshold``) give components; then all
+signature values are joined by bucket.  Each bucket's pivot (its text with the smallest
+id, which a group of near copies shares over most buckets) is compared with the
+others of the bucket; the links that hold (exact similarity >= ``threshold``) give components; then all
 pairs of a bucket that still lie in different components are compared too, so
 that no candidate link between classes stays untested: as rows in small
 buckets, block against block in large ones, where only links are emitted.  A
@@ -166,7 +166,7 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("right_text"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text").mapInArrow(
-        keep, "a long, b long")
+        keep, "a binary, b binary")
 
 
 def _binary(texts: list[str], size: int) -> list[np.ndarray]:
@@ -186,7 +186,7 @@ def _compare(rows, threshold: float, size: int):
 
     left = rows[rows["block"] == rows["i"]].reset_index(drop=True)
     right = rows[rows["block"] == rows["j"]].reset_index(drop=True)
-    out = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    out = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object)})
     if not len(left) or not len(right):
         return out
     sets = [_binary(list(side["text"]), size) for side in (left, right)]
@@ -205,7 +205,7 @@ def _compare(rows, threshold: float, size: int):
     keys, roots = (left["key"].to_numpy(), right["key"].to_numpy()), (left["root"].to_numpy(), right["root"].to_numpy())
     good &= roots[0][:, None] != roots[1][None, :]
     a, b = np.nonzero(good & (least > 0))
-    return pd.DataFrame({"a": keys[0][a].astype(np.int64), "b": keys[1][b].astype(np.int64)})
+    return pd.DataFrame({"a": keys[0][a], "b": keys[1][b]})
 
 
 def similar_in_blocks(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -219,7 +219,17 @@ def similar_in_blocks(members: DataFrame, texts: DataFrame, threshold: float, si
     dealt = dealt.select("bucket", "key", "root", "block", F.least("block", "other").alias("i"),
                          F.greatest("block", "other").alias("j"))
     return dealt.join(texts, "key").groupBy("bucket", "i", "j").applyInPandas(
-        lambda rows: _compare(rows, threshold, size), "a long, b long").distinct()
+        lambda rows: _compare(rows, threshold, size), "a binary, b binary").distinct()
+
+
+def node_of(key, digest):
+    """A text's name: its smallest id (8 bytes, in the ids' order) and its digest."""
+    return F.concat(F.unhex(F.lpad(F.hex(key.bitwiseXOR(F.lit(_NULL))), 16, "0")), digest)
+
+
+def key_of(node):
+    """The id in a name."""
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_NULL))
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, size: int) -> DataFrame:
@@ -228,55 +238,39 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), "text",
         digest(F.col("text")).alias("digest"))
     signed = cut_lineage(signatures(docs, bands, rows, size))
-    folded = cut_lineage(signed.groupBy("digest").agg(F.min("key").alias("first"), F.min_by("keys", "key").alias("keys")))
-    # a text's number: its smallest id, or, where ids repeat, its place by smallest id and digest
-    repeated = bool(signed.groupBy("key").count().where("count > 1").limit(1).count())
-    if repeated:
-        folded = cut_lineage(folded.repartitionByRange("first", "digest").sortWithinPartitions("first", "digest")
-                             .withColumn("node", F.monotonically_increasing_id()))
-    else:
-        folded = folded.withColumn("node", F.col("first"))
-    placed = folded.select(F.col("node").alias("key"), F.explode("keys").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut_lineage(placed.join(cut_lineage(shared), "bucket"))
-    central = cut_lineage(shared.groupBy("key").agg(F.sum("n").alias("central")))
-    pivots = cut_lineage(shared.join(central, "key").groupBy("bucket").agg(
-        F.min(F.struct((-F.col("central")).alias("c"), "key"))["key"].alias("pivot")))
-    first = cut_lineage(shared.join(pivots, "bucket").where("key != pivot").select(
-        F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
-    if repeated:
-        wanted = folded.join(central.select(F.col("key").alias("node")), "node", "left_semi").select(
-            "node", "digest", F.col("first").alias("key"))
-        texts = cut_lineage(docs.dropDuplicates(["key", "digest"]).join(wanted, ["key", "digest"]).select(
-            F.col("node").alias("key"), "text"))
-    else:
-        texts = cut_lineage(docs.select("key", "text").join(central.select("key"), "key", "left_semi"))
+    folded = signed.groupBy("digest").agg(F.min("key").alias("first"), F.min_by("keys", "key").alias("keys"))
+    folded = cut_lineage(folded.select("digest", node_of(F.col("first"), F.col("digest")).alias("key"), "keys"))
+    placed = folded.select("key", F.explode("keys").alias("bucket"))
+    # a bucket's pivot is its smallest name, which most buckets of a group of near copies share
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
+    shared = cut_lineage(placed.join(shared, "bucket"))
+    first = cut_lineage(shared.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
+    own = docs.select(node_of(F.col("key"), F.col("digest")).alias("key"), "text")
+    texts = cut_lineage(own.join(shared.select("key"), "key", "left_semi").dropDuplicates(["key"]))
     links = cut_lineage(similar(first, texts, threshold, size))
     roots = cut_lineage(connected_components(links))
     # pairs of a bucket that lie in different components and weren't compared
-    labelled = cut_lineage(shared.select("key", "bucket").join(roots.withColumnRenamed("node", "key"), "key", "left")
-                           .withColumn("root", F.coalesce("root", "key")))
-    groups = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = cut_lineage(groups.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
-                        .where("groups > 1").select("bucket", "n"))
+    labelled = shared.select("key", "bucket").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "root", F.coalesce("root", "key"))
+    labelled = cut_lineage(labelled)
+    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"),
+                                           F.max("root").alias("most")).where("least != most").select("bucket", "n")
     rest = cut_lineage(labelled.join(mixed, "bucket"))
     few, many = rest.where(F.col("n") <= PAIRED), rest.where(F.col("n") > PAIRED)
     other = few.select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
     crossed = few.join(other, "bucket").where("root < other_root").select(
-        F.col("key").alias("a"), F.col("other").alias("b")).distinct()
-    tested = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = cut_lineage(crossed.join(tested, ["a", "b"], "left_anti"))
+        F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+    # without the pairs that were compared, as (larger, smaller)
+    second = cut_lineage(crossed.distinct().join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"],
+                                                 "left_anti"))
     more = cut_lineage(similar(second, texts, threshold, size).unionByName(
         similar_in_blocks(many, texts, threshold, size)))
-    if more.limit(1).count():
-        roots = cut_lineage(connected_components(links.unionByName(more)))
-    classes = folded.select("digest", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select(
-        "digest", "own", F.coalesce("root", "own").alias("root"))
-    if repeated:
-        classes = classes.join(folded.select(F.col("node").alias("root"), F.col("first").alias("class")), "root")
-    else:
-        classes = classes.withColumn("class", F.col("root"))
-    classes = cut_lineage(classes.select("digest", "class", (F.col("own") == F.col("root")).alias("leads")))
+    if more.agg(F.count("*")).first()[0]:
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = cut_lineage(connected_components(stars.unionByName(more)))
+    classes = folded.select("digest", F.col("key").alias("node")).join(roots, "node", "left")
+    classes = cut_lineage(classes.select("digest", key_of(F.coalesce("root", "node")).alias("class"),
+                                         F.coalesce(F.col("root") == F.col("node"), F.lit(True)).alias("leads")))
     return signed.select("key", "digest").join(classes, "digest").select(
         "key", "digest", "class", (F.col("leads") & (F.col("key") == F.col("class"))).alias("kept"))
 
@@ -301,7 +295,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
                           "_digest": digest(F.coalesce(F.col(text_col), F.lit("")))})
     left = own.join(chosen, ["_key", "_digest"], "left_semi")
     unit = F.when(F.col("_key") == _NULL, F.col("_digest"))
-    if not chosen.groupBy("_key", unit).count().where("count > 1").limit(1).count():
+    if not chosen.groupBy("_key", unit).count().where("count > 1").agg(F.count("*")).first()[0]:
         return left.drop("_key", "_digest")
     order = Window.partitionBy("_key", unit).orderBy(
         F.col(text_col), *[F.col(c) for c, t in df.dtypes if c != text_col and "map" not in t])
