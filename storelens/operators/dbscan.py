@@ -1,13 +1,13 @@
-"""DBSCAN on the blocked pair plan.
-
-1. core points: at least ``min_samples`` points (self included) within eps
-   (:func:`eps_counts`);
-2. every (left block, right block) group links the core points it sees
-   within eps and labels its local components by their smallest id; it emits
-   one edge per core point to that local minimum (never all pairs), and for
-   each non-core point the local component labels of its core neighbours;
-3. global components of the star edges (:mod:`components`: logarithmic rounds
-   until nothing changes, a reliable checkpoint after each);
+"""DBSCAN on the spatial hash grid.
+
+1. core vectors: at least ``min_samples`` points (self included) within eps,
+   equal vectors counted by weight (:func:`grid.vector_counts`);
+2. core vectors of one patch - a cell whose diagonal is below eps - are linked
+   by themselves, so they are one node; two patches are linked if any of their
+   core vectors are within eps.  A patch has a bounded number of patches within
+   reach, so links grow with the patches and not with the pairs;
+3. components of the links (:mod:`components`: logarithmic rounds until nothing
+   changes, a reliable checkpoint after each);
 4. border points take the smallest component label among their core
    neighbours (deterministic, unlike order-dependent implementations),
    everything else is noise (-1); components are numbered 0.. by their
@@ -16,77 +16,44 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from storelens.functions.ordering import numbered
 from storelens.functions.quantile import exact_quantiles
 from storelens.functions.sizing import cut_lineage
 from storelens.operators.components import connected_components
-from storelens.operators.neighbors import DEFAULT_BLOCK_ROWS, _matrix, block_pairs, eps_counts, kdist, within
-
-LINK_SCHEMA = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()),
-                            T.StructField("b", T.LongType())])
+from storelens.operators.grid import CELL_ROWS, Grid, near_pairs, vector_counts, weighted_vectors
+from storelens.operators.neighbors import kdist
 
 
 def suggest_eps(points: DataFrame, id_col: str = "id", vec: str = "features", k: int | None = None,
                 pct: float = 0.9, scale: float = 0.5, adjust: float = 0.7) -> float:
     """eps = percentile_pct(all k-NN distances, self included) * scale + adjust,
     k = min(50, n - 1) - the reference's data-driven choice."""
-    kd = kdist(points, k, id_col, vec)
+    kd = kdist(points, k, id_col, vec, ordered=False)
     q = exact_quantiles(kd, "distance", [pct], names=["q"]).first()
     return float(q["q"]) * scale + adjust
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", vec: str = "features",
-           block_rows: int = DEFAULT_BLOCK_ROWS, out: str = "dbscan_cluster") -> DataFrame:
+           block_rows: int = CELL_ROWS, out: str = "dbscan_cluster") -> DataFrame:
     """(id, cluster) with -1 for noise."""
-    counts = eps_counts(points, eps, id_col, vec, block_rows)
-    p = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v")) \
-              .join(counts.select(F.col(id_col).cast("long").alias("_id"),
-                                  (F.col("n_within") >= min_samples).alias("_core")), "_id").persist()
-
-    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        a, b = _matrix(lp["_v"]), _matrix(rp["_v"])
-        lid, rid = lp["_id"].to_numpy(np.int64), rp["_id"].to_numpy(np.int64)
-        cl, cr = lp["_core"].to_numpy(bool), rp["_core"].to_numpy(bool)
-        adj = within(a, b, eps)
-        cc = adj & cl[:, None] & cr[None, :]
-        big = np.iinfo(np.int64).max
-        lab_l = np.where(cl, lid, big)
-        lab_r = np.where(cr, rid, big)
-        while True:
-            nl = np.minimum(lab_l, np.where(cc, lab_r[None, :], big).min(1, initial=big))
-            nr = np.minimum(lab_r, np.where(cc, nl[:, None], big).min(0, initial=big))
-            if np.array_equal(nl, lab_l) and np.array_equal(nr, lab_r):
-                break
-            lab_l, lab_r = nl, nr
-        rows = [(0, int(i), int(m)) for i, m in zip(lid[cl], lab_l[cl]) if i != m]
-        rows += [(0, int(i), int(m)) for i, m in zip(rid[cr], lab_r[cr]) if i != m]
-        border = adj & (~cl)[:, None] & cr[None, :]
-        for i in np.flatnonzero(border.any(1)):
-            for m in np.unique(lab_r[border[i]]):
-                rows.append((1, int(lid[i]), int(m)))
-        return pd.DataFrame(rows, columns=["kind", "a", "b"])
-
-    n = p.count()
-    links = block_pairs(p.select("_id", "_v", "_core"), p.select("_id", "_v", "_core"), fn, LINK_SCHEMA,
-                        ["_v", "_core"], block_rows, n, n)
-    links = cut_lineage(links)
-    edges = links.where(F.col("kind") == 0).select("a", "b")
-    roots = cut_lineage(connected_components(edges)).select(F.col("node").alias("_id"), "root")
-    labels = p.where("_core").select("_id").join(roots, "_id", "left").select(
-        F.col("_id").alias("v"), F.coalesce("root", "_id").alias("lab"))
-    border = links.where(F.col("kind") == 1).select(F.col("a").alias("v"), F.col("b").alias("c")) \
-                  .join(labels.withColumnRenamed("v", "c"), "c").groupBy("v").agg(F.min("lab").alias("lab"))
-    all_lab = labels.unionByName(border.join(labels.select("v"), "v", "left_anti"))
-    order = all_lab.select("lab").distinct()
-    from pyspark.sql import Window
-
-    order = order.withColumn("_cluster", F.dense_rank().over(Window.orderBy("lab")) - 1)
-    lab = all_lab.join(order, "lab").select(F.col("v").alias("_id"), "_cluster")
-    res = p.select("_id").join(lab, "_id", "left").select(
-        F.col("_id").alias(id_col), F.coalesce("_cluster", F.lit(-1)).cast("int").alias(out))
-    return res
+    vectors = weighted_vectors(points, id_col, vec)
+    grid = Grid.of(vectors, eps)
+    counted = cut_lineage(vector_counts(vectors, grid, eps, block_rows).select(
+        "key", "v", (F.col("n_within") >= min_samples).alias("core")))
+    patch = grid.patch(F.col("v"), eps)
+    core = counted.where("core").select("key", "v", (F.col("v") if patch is None else patch).alias("patch"))
+    core = cut_lineage(core.join(core.groupBy("patch").agg(F.min("key").alias("node")), "patch").select("key", "v", "node"))
+    other = core.select(F.col("v").alias("u"), F.col("node").alias("other"))
+    links = near_pairs(core.select("v", "node"), other, grid, eps, cell_rows=block_rows).where("node < other").select(
+        F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    roots = connected_components(cut_lineage(links))
+    core = cut_lineage(core.join(roots, "node", "left").select("key", "v", F.coalesce("root", "node").alias("root")))
+    border = near_pairs(counted.where("not core").select("key", "v"), core.select(F.col("v").alias("u"), "root"), grid,
+                        eps, cell_rows=block_rows).groupBy("key", "v").agg(F.min("root").alias("root"))
+    order = numbered(core.select("root").distinct(), ["root"], out="_cluster")
+    labelled = core.unionByName(border).join(order, "root").select("v", (F.col("_cluster") - 1).alias("_cluster"))
+    own = points.select(F.col(id_col), F.col(vec).cast("array<double>").alias("v"))
+    return own.join(labelled, "v", "left").select(id_col, F.coalesce("_cluster", F.lit(-1)).cast("int").alias(out))

@@ -139,3 +139,24 @@ def q_agreement(spark, sf):
     j = nn.join(lab.withColumnRenamed("id", "query_id").withColumnRenamed("label", "la"), "query_id") \
           .join(lab.withColumnRenamed("id", "neighbor_id").withColumnRenamed("label", "lb"), "neighbor_id")
     return EV.label_agreement(j, "la", "lb")
+
+
+#: Lattice of the invoice lines: quantity, line number and discount in tenths, as two of them are never quite 0.3 apart.
+LATTICE_EPS = 0.3
+
+
+@register("eps_counts_lattice", f"""
+WITH p AS (SELECT l_orderkey * 8 + l_linenumber AS id, CAST(l_quantity AS DOUBLE) * 0.1 AS x,
+                  CAST(l_linenumber AS DOUBLE) * 0.1 AS y FROM lineitem),
+u AS (SELECT x, y, count(*) AS w FROM p GROUP BY 1, 2),
+c AS (SELECT a.x, a.y, CAST(sum(b.w) AS BIGINT) AS n_within FROM u a, u b
+      WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {LATTICE_EPS} GROUP BY 1, 2)
+SELECT id, n_within FROM p JOIN c ON p.x = c.x AND p.y = c.y
+""")
+def q_eps_counts(spark, sf):
+    """Invoice lines within eps of each line on a lattice of (quantity, line
+    number) tenths, where many distances are exactly eps."""
+    tenth = lambda c: F.col(c).cast("double") * F.lit(0.1)
+    points = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+                                                 F.array(tenth("l_quantity"), tenth("l_linenumber")).alias("features"))
+    return NB.eps_counts(points, LATTICE_EPS)

@@ -404,6 +404,8 @@ def with_views(sql: str, *names: str) -> str:
         need.insert(0, "retail_lines")
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in need)
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{sql[15:]}"
     if sql.upper().startswith("WITH "):
         return f"WITH {ctes},\n{sql[5:]}"
     return f"WITH {ctes}\n{sql}"

@@ -366,3 +366,93 @@ def test_money_keeps_more_than_two_decimals(spark):
 
     df = spark.createDataFrame([(0.125,)] * 3 + [(0.004,)], "x double")
     assert float(df.agg(F.sum(money("x")).alias("s")).first().s) == 0.379
+
+
+def _norms(a, b):
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
+
+
+@pytest.mark.parametrize("d,eps", [(1, 0.3), (2, 0.5), (3, 0.7), (5, 1.1)])
+def test_range_join_on_a_grid_is_exact(spark, d, eps):
+    from storelens.operators.grid import eps_counts
+
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(size=(150, d)), rng.integers(-4, 5, (150, d)) * 0.1, np.zeros((60, d)),
+                        rng.normal(size=(40, d)) * 1e6, -np.zeros((2, d))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    acc = np.zeros((len(x), len(x)))
+    for j in range(d):
+        diff = x[:, None, j] - x[None, :, j]
+        acc += diff * diff
+    want = (np.sqrt(acc) <= eps).sum(1)
+    for cell_rows in (16, 1024):  # with and without salted cells
+        assert {r.id: r.n_within for r in eps_counts(df, eps, block_rows=cell_rows).collect()} == dict(enumerate(want))
+
+
+def test_range_join_meets_as_many_rows_a_point_at_any_size(spark):
+    from storelens.operators.grid import Grid, near_pairs, weighted_vectors
+
+    met = {}
+    for n in (1000, 4000):
+        side = int(n ** 0.5)  # a square of constant density
+        df = spark.range(n).selectExpr("id", f"array((id % {side}) * 1.0D, (id div {side}) * 1.0D) AS features")
+        v = weighted_vectors(df)
+        met[n] = near_pairs(v.select("v"), v.selectExpr("v AS u"), Grid.of(v, 2.5), 2.5).count() / n
+        assert Grid.of(v, 2.5).side < 2.6
+    assert met[4000] < 1.2 * met[1000]
+
+
+def test_dbscan_with_copies_chains_and_salted_cells(spark):
+    from storelens.operators.dbscan import dbscan
+
+    rng = np.random.default_rng(9)
+    chain = np.stack([np.arange(60) * 0.9, np.zeros(60)], 1)
+    x = np.concatenate([chain, chain + [0, 30], rng.normal(size=(80, 2)) * 0.3 + [70, 0], np.repeat([[90.0, 90.0]], 12, 0),
+                        rng.uniform(100, 200, (15, 2))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    for min_samples in (2, 3, 6):
+        exp = _dbscan_brute(x, 1.0, min_samples)
+        for cell_rows in (8, 1024):
+            got = {r["id"]: r["dbscan_cluster"] for r in dbscan(df, 1.0, min_samples, block_rows=cell_rows).collect()}
+            assert got == dict(enumerate(exp))
+    assert dbscan(df.limit(0), 1.0, 2).count() == 0
+
+
+def test_pivots_rule_out_cells_without_losing_neighbours(spark):
+    from storelens.operators import neighbors as NB
+
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(60, 4)) + c for c in (0, 40, 80, 200)] + [np.zeros((20, 4))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    d = _norms(x, x)
+    seen = []
+    plain = NB.cell_pairs
+    try:
+        NB.cell_pairs = lambda *a: seen.append((len(a[1]) * len(a[2]), plain(*a))) or seen[-1][1]
+        for exclude in (False, True):
+            got = NB.knn_join(df, df, 4, exclude_self=exclude, block_rows=32, pivot_rows=20).collect()
+            for i in range(len(x)):
+                order = sorted((v, j) for j, v in enumerate(d[i]) if not exclude or j != i)[:4]
+                mine = sorted((r.rank, r.neighbor_id, r.distance) for r in got if r.query_id == i)
+                assert [m[0] for m in mine] == [1, 2, 3, 4]
+                assert np.allclose([m[2] for m in mine], [o[0] for o in order], atol=1e-9)
+                assert [m[1] for m in mine] == [o[1] for o in order] or np.isclose(order[-1][0], order[0][0], atol=1e-9)
+    finally:
+        NB.cell_pairs = plain
+    every, kept = seen[0]
+    assert len(kept) < 0.5 * every  # clusters far apart never meet
+    few = NB.knn_join(df.limit(3), df.limit(3), 5, exclude_self=True).groupBy("query_id").count().collect()
+    assert all(r["count"] == 2 for r in few)
+    assert NB.knn_join(df, df.limit(0), 5).count() == 0
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    from storelens.functions.ordering import numbered
+
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, null, id % 3) AS g", "(id * 7919) % 3000 AS v").repartition(7)
+    got = numbered(df, ["v"], ["g"]).collect()
+    for g in (None, 1, 2):
+        own = sorted((r.order, r.v) for r in got if r.g == g)
+        assert [o for o, _ in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda x: x[1])
+    assert [r.n for r in numbered(df, ["v"], out="n").orderBy("v").select("n").collect()] == list(range(1, 3001))
+    assert numbered(df.limit(0), ["v"]).count() == 0
