@@ -160,3 +160,24 @@ def q_eps_counts(spark, sf):
     points = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
                                                  F.array(tenth("l_quantity"), tenth("l_linenumber")).alias("features"))
     return NB.eps_counts(points, LATTICE_EPS)
+
+
+SWEEP_K = tuple(range(2, 9))
+
+
+@register("silhouette_sweep_embeddings", f"""
+WITH {POINTS_SQL},
+ks AS (SELECT unnest({list(SWEEP_K)}) AS k),
+d AS MATERIALIZED (SELECT a.id, a.label AS la, b.label AS lb, list_distance(a.v, b.v) AS dist FROM p a, p b),
+s AS (SELECT k, id, la % k AS own, lb % k AS other, sum(dist) AS sd, count(*) AS c FROM d, ks GROUP BY ALL),
+ab AS (SELECT k, id, max(CASE WHEN own = other AND c > 1 THEN sd / (c - 1) END) AS a,
+              min(CASE WHEN own <> other THEN sd / c END) AS b FROM s GROUP BY 1, 2)
+SELECT k, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END), 6) AS silhouette
+FROM ab GROUP BY k
+""")
+def q_silhouette_sweep(spark, sf):
+    """M3 + M14: silhouettes of seven labellings (label modulo k) by one pair pass."""
+    points = _points(spark, sf).select("features", *[(F.col("label") % k).alias(f"k{k}") for k in SWEEP_K])
+    found = EV.silhouettes(points, [f"k{k}" for k in SWEEP_K])
+    return spark.createDataFrame([(k, found[f"k{k}"]) for k in SWEEP_K], "k int, silhouette double").withColumn(
+        "silhouette", py_round("silhouette", 6))

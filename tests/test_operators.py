@@ -456,3 +456,56 @@ def test_numbers_follow_the_order_over_partitions(spark):
         assert [o for o, _ in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda x: x[1])
     assert [r.n for r in numbered(df, ["v"], out="n").orderBy("v").select("n").collect()] == list(range(1, 3001))
     assert numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_silhouettes_of_a_sweep_take_one_pair_pass(spark, monkeypatch):
+    from storelens.operators import neighbors as NB
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(70, 3)) + c for c in (0, 4)] + [np.ones((25, 3))])
+    rows = [(i, [float(v) for v in r], *[int((r[0] * 3 + i) // 1) % k for k in (1, 2, 3, 7)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, k1 int, k2 int, k3 int, k7 int")
+    passes = []
+    plain = NB.block_pairs
+    monkeypatch.setattr(NB, "block_pairs", lambda *a, **b: passes.append(1) or plain(*a, **b))
+    got = EV.silhouettes(df, ["k1", "k2", "k3", "k7"], block_rows=32)
+    assert len(passes) == 1 and got["k1"] == 0.0
+    for c in ("k2", "k3", "k7"):
+        assert got[c] == pytest.approx(EV.silhouette(df, "id", "features", c).first()["silhouette"], abs=1e-9)
+    assert EV.silhouettes(df.limit(0), ["k2"]) == {"k2": None}
+
+
+def test_mixtures_of_all_types_and_starts_advance_together(spark):
+    from storelens.operators import mixture as M
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(120, 2)) * s + c for c, s in (((0, 0), 1), ((9, 3), 0.5), ((-6, 8), 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "customer_id long, a double, b double")
+    kinds = ("full", "tied", "diag", "spherical")
+    models, n = M.fit_mixtures(df.repartition(3), ["a", "b"], 3, kinds, n_init=4, chunk_rows=64)
+    again, _ = M.fit_mixtures(df.orderBy(F.desc("a")).repartition(7), ["a", "b"], 3, kinds, n_init=4, chunk_rows=64)
+    assert n == 360 and len(models) == 16 and all(m.done for m in models)
+    for m, o in zip(models, again):  # any partitioning gives the same bits
+        assert m.log_likelihood == o.log_likelihood and (m.means == o.means).all()
+        assert all(b >= a - 1e-6 for a, b in zip(m.trace, m.trace[1:]))
+    for m in models:  # EM on the driver from the same start
+        one = M.Mixture(m.covariance, m.start, np.full(3, 1 / 3), *_start(x, m, df))
+        while not one.done:
+            one = M.updated(one, M.statistics(x, one), n, 1e-3)
+        assert one.log_likelihood == pytest.approx(m.log_likelihood, rel=1e-9) and one.steps == m.steps
+    best = M.best_mixtures(models)
+    assert [m.covariance for m in best] == list(kinds)
+    assert best[0].log_likelihood == max(m.log_likelihood for m in models if m.covariance == "full")
+    assert sorted(np.round(best[0].weights, 1).tolist()) == [0.3, 0.3, 0.3]
+    assert M.fit_mixtures(df.limit(0), ["a", "b"])[0] == []
+
+
+def _start(x, m, df):
+    from storelens.operators import mixture as M
+
+    ids = [r.customer_id for r in df.withColumn("h", F.xxhash64(F.lit(42), F.lit(m.start), "customer_id")).orderBy("h").limit(3)
+           .collect()]
+    cov = np.cov(x.T, bias=True) + M.RIDGE * np.eye(2)
+    v = np.diag(cov)
+    return x[ids], {"full": np.tile(cov, (3, 1, 1)), "tied": cov, "diag": np.tile(v, (3, 1)),
+                    "spherical": np.full(3, v.mean())}[m.covariance]
