@@ -4,11 +4,15 @@ Training counts the letter n-grams (hashed into ``buckets`` cells) of all
 training texts by language on the map side; smoothed logs of their shares are
 the n-gram likelihoods.  A document is cut into segments of about ``segment``
 letters; each segment has a likelihood under every language.  Expectation
-maximisation estimates the document's language proportions from them, and the
-set of languages is selected by penalised likelihood: starting from all, the
-language with the smallest proportion is dropped as long as that does not lower
+maximisation, run until a step raises the likelihood by less than 10^-6, estimates
+the document's language proportions from them, and the set of languages is
+selected by penalised likelihood: starting from all, the language with the
+smallest proportion is dropped as long as that does not lower
 log likelihood - penalty * languages * log(segments + 1).
 
+Every text is read by itself: its n-grams start as if spaces stood before it, so
+equal texts have equal results whatever texts lie beside them.
+
 Predictions read the text only.  Null text or a text without letters: ``und``
 with score 0.  Training rows without a language don't count.  Without any
 training language every prediction is ``und``.  Repeated rows: a result each.
@@ -37,7 +41,8 @@ _LETTER[128:] = True
 def grams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
     """Cells of the 1- to 4-byte n-grams that end at each letter byte - one
     combined cell per order -, as (orders, letters), and the letters' rows.
-    Signs between words count as one space; case is folded for ASCII."""
+    Signs between words count as one space; case is folded for ASCII.  Each row
+    is read by itself, as if spaces stood before it."""
     low = _LOWER[data]
     letter = _LETTER[low]
     # upper case of the two-byte Latin letters (C3 80 .. C3 9E) is folded too
@@ -46,18 +51,19 @@ def grams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
     low[~letter] = 32
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one space after each word
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    keep[starts] = letter[starts]  # but not after a word of the row before
     at = np.flatnonzero(keep)
     rows = np.searchsorted(offsets, at, side="right") - 1
-    v = low[at].astype(np.uint64)
-    n = len(v)
+    own = np.arange(len(at)) + 3 * (rows + 1)  # three spaces before each row
+    v = np.full(len(at) + 3 * len(offsets), 32, np.uint64)
+    v[own] = low[at]
     cells = []
     code = v.copy()
-    for order in range(1, 5):
-        if order > 1:
-            code[order - 1:] = code[order - 1:] | (v[:n - order + 1] << np.uint64(8 * (order - 1)))
-        if order >= 2:
-            cells.append((mix(code + np.uint64(order << 40)) & np.uint64(buckets - 1)).astype(np.int64))
-    return cells, rows, v != 32
+    for order in range(2, 5):
+        code[order - 1:] |= v[:len(v) - order + 1] << np.uint64(8 * (order - 1))
+        cells.append((mix(code[own] + np.uint64(order << 40)) & np.uint64(buckets - 1)).astype(np.int64))
+    return cells, rows, low[at] != 32
 
 
 def count_grams(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -102,29 +108,40 @@ def train(df: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.5) -> Mode
     return Model(langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, share: np.ndarray, active: np.ndarray, steps: int):
-    """Proportions and log likelihood of each document among its active
-    languages.  ``like``: (segments, languages), scaled to a maximum of 1."""
+def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, share: np.ndarray, active: np.ndarray, tolerance: float):
+    """Proportions and log likelihood of each document among its active languages,
+    when a step no longer raises the likelihood by ``tolerance``.  ``like``:
+    (segments, languages), scaled to a maximum of 1."""
     size = np.diff(np.append(first, len(doc)))[:, None]
     share = np.where(active, share, 0.0)
     share /= share.sum(axis=1, keepdims=True)
-    for _ in range(steps):
-        weighted = like * share[doc]
-        weighted /= weighted.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(weighted, first, axis=0) / size
-    total = np.log(np.maximum((like * share[doc]).sum(axis=1), 1e-300))
-    return share, np.add.reduceat(total, first)
-
-
-def proportions(logs: np.ndarray, doc: np.ndarray, penalty: float = 1.0, steps: int = 12) -> np.ndarray:
+    fit = np.full(len(first), -np.inf)
+    going = np.arange(len(first))  # documents that still move
+    while len(going):
+        weighted = like * share[going][doc]
+        total = weighted.sum(axis=1, keepdims=True)
+        now = np.add.reduceat(np.log(np.maximum(total[:, 0], 1e-300)), first)
+        moved = now - fit[going] >= tolerance
+        fit[going] = np.maximum(now, fit[going])
+        if moved.any():
+            share[going[moved]] = (np.add.reduceat(weighted / np.maximum(total, 1e-300), first, axis=0) / size)[moved]
+        if not moved.all():
+            keep = moved[doc]
+            like, doc = like[keep], (np.cumsum(moved) - 1)[doc[keep]]
+            going, size = going[moved], size[moved]
+            first = np.searchsorted(doc, np.arange(len(going)))
+    return share, fit
+
+
+def proportions(logs: np.ndarray, doc: np.ndarray, penalty: float = 1.0, tolerance: float = 1e-6) -> np.ndarray:
     """Language proportions of documents 0, 1, ... from their segments' log
     likelihoods; ``doc`` ascending, every document with a segment."""
     n_docs, n_langs = int(doc[-1]) + 1, logs.shape[1]
     first = np.searchsorted(doc, np.arange(n_docs))
-    like = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60.0)).astype(np.float64)
+    like = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60.0).astype(np.float64))
     cost = penalty * np.log(np.diff(np.append(first, len(doc))) + 1.0)
     active = np.ones((n_docs, n_langs), bool)
-    share, fit = _em(like, doc, first, np.full((n_docs, n_langs), 1.0 / n_langs), active, steps)
+    share, fit = _em(like, doc, first, np.full((n_docs, n_langs), 1.0 / n_langs), active, tolerance)
     going = np.ones(n_docs, bool)
     for _ in range(n_langs - 1):
         if not going.any():
@@ -136,7 +153,7 @@ def proportions(logs: np.ndarray, doc: np.ndarray, penalty: float = 1.0, steps:
         least = np.argmin(np.where(active[ids], share[ids], np.inf), axis=1)
         fewer = active[ids].copy()
         fewer[np.arange(len(ids)), least] = False
-        new_share, new_fit = _em(like[pick], sub_doc, sub_first, np.maximum(share[ids], 1e-6), fewer, steps)
+        new_share, new_fit = _em(like[pick], sub_doc, sub_first, np.maximum(share[ids], 1e-6), fewer, tolerance)
         better = new_fit + cost[ids] >= fit[ids]
         win = ids[better]
         active[win], share[win], fit[win] = fewer[better], new_share[better], new_fit[better]
