@@ -3,15 +3,19 @@
 A page becomes a tree of its block elements.  For every node the characters
 per tag are counted and adjusted for links (text inside links, link tags); a
 node's density sum adds up the composite densities of its child blocks.  The
-subtree with the largest sum is the main text; the smallest density on the
-path from the body to it is the threshold that other blocks beside that path
-must reach to belong to it too (inside the article or main element around the
-subtree, if there is one).  Elements that cannot be main text - scripts,
-styles, forms, menus, footers, sidebars, adverts, notices, reader comments, by
-element, role, class or id - are left out of the tree.  A class or id marks an
-element as a whole name ("comments", "site-footer", not "no-sidebar"), words
-that are also topics or states ("legal", "skip") only outside article and main,
-and what holds the article or main element with the most text always stays.
+subtree with the largest sum is the main text, with the whole article element
+around it if there is one.  The smallest density on the path from the body to it
+is the threshold that other blocks beside that path must reach to belong to it
+too (inside the outermost article or main element around it); headings and blocks
+of plain text in the containers on the path (below the body), further articles in
+the same main element and, without an article, text between the chosen blocks
+belong to it as well, but for blocks that are mostly links.  Elements that
+cannot be main text - scripts, styles, forms, menus, footers, sidebars, adverts,
+notices, reader comments, by element, role, class or id - are left out of the
+tree.  A class or id marks an element by its first or last word
+("reader-comments", "ad-top"; not "no-sidebar", "ad-free"), words that are also
+topics or states ("legal", "skip") not by themselves inside article and main, and
+what holds the article or main element with the most text always stays.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined by an empty line.  Null or empty html, or html without
@@ -53,22 +57,23 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
             "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of a class, id or role that mark what is not main text.
-MARKS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie "
-                  "cookies consent gdpr notice notification alert menu nav navbar navigation breadcrumb breadcrumbs "
-                  "sidebar sidenav aside complementary footer footnav contentinfo masthead share sharing social "
-                  "related recommended recommendations comment comments commentlist disqus replies respond "
+MARKS = frozenset("ad ads adsbygoogle advert advertisement adverts advertising sponsor sponsored promo promotion banner "
+                  "cookie cookies consent gdpr notice notices notification notifications alert menu nav navbar navigation "
+                  "breadcrumb breadcrumbs sidebar sidenav aside complementary footer footnav contentinfo masthead share "
+                  "sharing social related recommended recommendations comment comments commentlist disqus replies respond "
                   "newsletter subscribe subscription signup login search popup modal overlay widget pagination pager "
                   "copyright legal toolbar skip tags".split())
 HEADERS = frozenset("header banner topbar".split())
-#: Of these words, those that inside article or main rather name a topic, a state or a part of the text.
-TOPICS = frozenset("legal skip alert notice notification search menu copyright promotion consent social respond "
-                   "subscription login popup overlay modal widget".split())
-#: Words that may stand beside a mark in one name ("share-buttons"); with any other word the name marks nothing.
-BESIDE = frozenset("site global js box bar list item items link links button buttons btn icon icons container wrapper "
-                   "wrap section block area panel slot unit form inner outer row group".split())
+#: Of these words, those that inside article or main rather name a topic or a state, unless words of BESIDE stand with them.
+TOPICS = frozenset("legal skip alert search menu promotion consent respond widget".split())
+BESIDE = frozenset("site global page main js box bar list item items link links button buttons btn icon icons container "
+                   "wrapper wrap section block area panel slot unit form inner outer row group top bottom".split())
+#: The header of one of these is its title.
 OWNERS = frozenset("post posts entry article articles story stories blog user".split())
-#: Words that may only come first in such a name ("main-nav", "page-footer").
-LEADS = frozenset("page main primary secondary top bottom".split())
+#: A mark after one of these, or before one of the others, says that there is none.
+DENIED, FREE = frozenset("no not non has have with without hide hidden".split()), frozenset("free less".split())
+#: Elements that are text by themselves.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 header ul ol dl blockquote pre table figure".split())
 
 
 class Node:
@@ -101,16 +106,20 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
 
 
 def _marked(name: str, inside_main: bool) -> bool:
-    """Whether one class, id or role says that its element is not main text."""
+    """Whether one class, id or role says that its element is not main text: its
+    first or last word is a mark ("reader-comments", "ad-top"), which no word
+    denies ("no-sidebar", "ad-free")."""
     words = [w for w in _WORD.findall(name) if len(w) > 1]
-    marks = [w for w in words if w in MARKS or w in HEADERS]
-    if inside_main:
-        marks = [w for w in marks if w not in HEADERS and w not in TOPICS]
-    if not marks:
+    if not words or words[-1] in FREE or DENIED.intersection(words[:-1]):
         return False
-    own = all(w in HEADERS for w in marks)  # the header of a post or an article is its title
-    return all(w in MARKS or w in HEADERS or w in BESIDE or (w in OWNERS and not own) or (i == 0 and w in LEADS)
-               for i, w in enumerate(words))
+    for w in {words[0], words[-1]}:
+        if w in HEADERS and (inside_main or OWNERS.intersection(words)):
+            continue
+        if inside_main and w in TOPICS and (len(words) == 1 or not all(x in BESIDE or x in MARKS for x in words)):
+            continue
+        if w in MARKS or w in HEADERS:
+            return True
+    return False
 
 
 def _marks(attributes: dict[str, str], inside_main: bool) -> bool:
@@ -333,22 +342,52 @@ def main_text(page: str | None) -> str:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    around = next((i for i, x in enumerate(path) if x.name in ("article", "main")), len(path) - 1)
-    chosen, top = {id(best)}, path[around]
-    # blocks beside the path that are as dense as its least dense node
-    for inner, outer in zip(path[:around], path[1:around + 1]):
-        chosen |= {id(c) for c in outer.children
-                   if c is not inner and c.chars and c.density >= threshold and 2 * c.link_chars <= c.chars}
-        if outer.name in ("article", "main"):
-            chosen |= {id(c) for c in outer.children if re.fullmatch("h[1-6]|header", c.name)}
-    kept, todo = [], [top]
-    while todo:  # in page order
+    mains = [i for i, x in enumerate(path) if x.name in ("article", "main")]
+    # an article stays whole; without one, the subtree itself
+    start, end = (mains[0], mains[-1]) if mains else (0, len(path) - 1)
+    chosen = {id(path[start])}
+    for inner, outer in zip(path[start:end], path[start + 1:end + 1]):
+        held = outer.parent is not None  # the body may hold anything
+        for c in outer.children:
+            if c is not inner and _is_text(c):
+                if c.density >= threshold or (held and c.name in TEXTS) or re.fullmatch("h[1-6]", c.name):
+                    chosen.add(id(c))
+                elif mains:
+                    chosen |= {id(x) for x in _descendants(c) if x.name == "article" and _is_text(x)}
+    return "\n\n".join(_blocks(_kept(path[end], chosen, bool(mains))))
+
+
+def _is_text(x: Node) -> bool:
+    """Whether a subtree has text and no more than half of it in links."""
+    return x.chars > 0 and 2 * x.link_chars <= x.chars
+
+
+def _descendants(x: Node) -> list[Node]:
+    order = [x]
+    for y in order:
+        order.extend(y.children)
+    return order
+
+
+def _kept(top: Node, chosen: set[int], only_chosen: bool) -> list[Node]:
+    """The chosen subtrees in page order and, unless ``only_chosen``, what text lies
+    between the first and the last of them."""
+    holds: set[int] = set()  # nodes with a chosen one below them
+    order = _descendants(top)
+    for x in reversed(order):
+        if x.parent is not None and (id(x) in chosen or id(x) in holds):
+            holds.add(id(x.parent))
+    found, todo = [], [top]
+    while todo:
         x = todo.pop()
         if id(x) in chosen:
-            kept.append(x)
-        else:
+            found.append((x, True))
+        elif id(x) in holds:
             todo.extend(reversed(x.children))
-    return "\n\n".join(_blocks(kept))
+        elif not only_chosen and _is_text(x):
+            found.append((x, False))
+    at = [i for i, (_, own) in enumerate(found) if own]
+    return [x for x, _ in found[at[0]:at[-1] + 1]] if at else []
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -90,3 +90,42 @@ def test_self_closed_and_unclosed_drawings():
     for drawing in ('<svg width="5"/>', "<svg class='i' />", "<math/>", "<svg><path d=''/>", '<svg><title>t</title></svg>'):
         page = f"<body><article><h1>A</h1>{drawing}<p>{LONG}</p><p>{LONG}</p></article></body>"
         assert main_text(page).endswith("\n\n".join([LONG, LONG])) and main_text(page).startswith("A"), drawing
+
+
+def test_nothing_of_the_article_is_dropped():
+    blocks = ["<h1>A</h1>", "<p>Yes.</p>", f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>",
+              "<section><h2>B</h2><p>Short.</p></section>", "<p>Short end note.</p>",
+              '<section><h2>Sources</h2><p><a href="/1">First source</a></p><p><a href="/2">Second source</a></p></section>']
+    want = ["A", "Yes.", LONG, LONG, LONG, "B", "Short.", "Short end note.", "Sources", "First source", "Second source"]
+    nav = '<nav><ul><li><a href="/">Home</a></li></ul></nav>'
+    page = f"<body>{nav}<article>{''.join(blocks)}</article><footer>F</footer></body>"
+    assert main_text(page) == "\n\n".join(want)
+    assert main_text(page.replace("<article>", "<main><article>").replace("</article>", "</article></main>")) == "\n\n".join(want)
+
+
+def test_second_article_and_heading_in_main():
+    page = (f"<body><main><h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article>"
+            f"<div><article><p>Shorter.</p></article></div><ul><li><a href=/x>Elsewhere</a></li></ul></main></body>")
+    assert main_text(page) == "\n\n".join(["Title", LONG, LONG, LONG, "Shorter."])
+
+
+def test_container_without_an_article():
+    page = (f'<body><div class="top"><a href="/">Home</a></div><div id="content"><h1>Head</h1><div class="text"><p>{LONG}</p>'
+            f'<p>{LONG}</p></div><div>Aha.</div><div class="text"><p>{LONG}</p><p>{LONG}</p></div><p>The end.</p></div>'
+            f'<div><a href="/a">One</a> <a href="/b">Two</a></div></body>')
+    assert main_text(page) == "\n\n".join(["Head", LONG, LONG, "Aha.", LONG, LONG, "The end."])
+
+
+def test_marks_by_first_or_last_word():
+    body = f"<h1>A</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = "\n\n".join(["A", LONG, LONG])
+    for mark in ("reader-comments", "comment-thread", "sidebar-left", "left-sidebar", "cookie-notice-bottom", "adsbygoogle",
+                 "ad-top", "sponsored-content", "site-notice", "share-count", "notice"):
+        for key in ("class", "id"):
+            part = f'<div {key}="{mark}"><p>{LONG} Out.</p><p>{LONG}</p></div>'
+            assert main_text(f"<body><article>{body}{part}</article></body>") == want, mark
+            assert main_text(f"<body>{part}<article>{body}</article>{part}</body>") == want, mark
+            assert main_text(f'<body><div id="content">{body}</div>{part}</body>') == want, mark
+    for name in ("without-comments", "has-ads", "ad-free", "article-header", "no-menu", "legal-history", "content-sidebar-wrap"):
+        page = f'<body><article>{body}<div class="{name}"><p>{LONG} In.</p></div></article></body>'
+        assert main_text(page) == want + f"\n\n{LONG} In.", name
