@@ -55,7 +55,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"),
-                        "spans", "n_added")
+                        "spans", "n_added", "n_rejected")
 
 
 @query
