@@ -9,7 +9,7 @@ lambdas solve the convex dual by Newton steps; each step is one distributed
 aggregate over (source, prior) cells, and the state stays in a table.
 
 Rates become whole copies by error feedback: within a chunk of a source (a
-hash of the document, about ``chunk_docs`` each, so that a hot source is split)
+hash of id and text, about ``chunk_docs`` each, so that a hot source is split)
 documents go from the largest down, and each takes the number of copies that
 brings the words taken so far closest to the rates' words, from 0 to cap.  What
 a chunk misses is then at most about half of its smallest documents.
@@ -79,15 +79,17 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: floa
         ).otherwise(F.when(gap < 0, -0.5).otherwise(0.0))
         state = cut_lineage(moments.withColumn("step", step).select(
             "source", "source_size", "target", (F.col("tilt") + F.col("step")).alias("tilt"), "step"))
-        if not state.where(F.abs("step") > 1e-14).limit(1).count():
+        if not state.where(F.abs("step") > 1e-14).agg(F.count("*")).first()[0]:
             break
         state = state.drop("step")
+    else:
+        raise ArithmeticError(f"the targets are not met after {steps} steps")
     return state.select("source", "source_size", "target", "tilt")
 
 
 def _copies(rows: pd.DataFrame, cap: int) -> pd.DataFrame:
     """Error feedback over one chunk (``size`` and ``rate``), largest first."""
-    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="first")
+    rows = rows.sort_values(["size", "doc_id", "mark"], ascending=[False, True, True], kind="stable", na_position="first")
     owed, out = 0.0, np.zeros(len(rows), np.int64)
     for i, (size, rate) in enumerate(zip(rows["size"].to_numpy(), rows["rate"].to_numpy())):
         if size:
@@ -99,10 +101,13 @@ def _copies(rows: pd.DataFrame, cap: int) -> pd.DataFrame:
 
 def entropy_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, prior=None, chunk_docs: int = 128) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken
-    (copies * size) of every document.  ``prior``: a column of prior rates."""
+    """doc_id, source, size, source_size, target, rate, copies, taken (copies *
+    size) and mark (the text's hash) of every document.  ``prior``: a column of
+    prior rates; where it is one for all, a source's tilt has the closed form
+    log(target / size), which Newton's steps find."""
     docs = cut_lineage(df.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+        F.xxhash64(F.col(text_col)).alias("mark"),
         (F.lit(1.0) if prior is None else prior.cast("double")).alias("prior")))
     cells = cut_lineage(docs.groupBy("source", "prior").agg(F.sum("size").alias("tokens"), F.count("*").alias("docs")))
     per_source = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"), F.sum("docs").alias("docs"))
@@ -113,21 +118,23 @@ def entropy_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # one short row a source: broadcast up to a checked number of them, so that a hot source's rows stay where they are
     known = F.broadcast(known) if known.count() <= SOURCES else known
     rated = docs.alias("d").join(known.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source"))).select(
-        "d.doc_id", "d.source", "d.size", "k.source_size", "k.target",
+        "d.doc_id", "d.mark", "d.source", "d.size", "k.source_size", "k.target",
         F.round(F.least(F.lit(float(cap)), F.col("d.prior") * F.exp("k.tilt")), 10).alias("rate"),
-        F.pmod(F.xxhash64(F.col("d.doc_id")), F.col("k.chunks")).alias("chunk"))
+        # by id and text: rows without an id, or with the same one, are dealt too
+        F.pmod(F.xxhash64(F.col("d.doc_id"), F.col("d.mark")), F.col("k.chunks")).alias("chunk"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {kind}, source string, size long, source_size long, target double, rate double, chunk long, "
+    schema = (f"doc_id {kind}, mark long, source string, size long, source_size long, target double, rate double, chunk long, "
               "copies long")
     taken = rated.groupBy("source", "chunk").applyInPandas(lambda rows: _copies(rows, cap), schema)
     return taken.select("doc_id", "source", "size", "source_size", "target", "rate", "copies",
-                        (F.col("copies") * F.col("size")).alias("taken"))
+                        (F.col("copies") * F.col("size")).alias("taken"), "mark")
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of ``df``, all columns, each as often as the mix takes it (rows
-    that share an id: as often as the one that the mix takes most)."""
-    copies = entropy_mix(df, id_col, **parameters).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("copies").alias("_copies"))
-    taken = df.join(cut_lineage(copies), F.col(id_col).eqNullSafe(F.col("_id")))
+    that share an id and a text: as often as the one that the mix takes most)."""
+    copies = entropy_mix(df, id_col, text_col, **parameters).where("copies > 0").groupBy(
+        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.max("copies").alias("_copies"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_mark"))
+    taken = df.join(cut_lineage(copies), same)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)

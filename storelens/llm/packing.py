@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm.base import id_text, slices
 from storelens.llm.token_files import shared_folder
-from storelens.llm.tokens import tokenizer, worker_encoder
+from storelens.llm.tokens import id_width, worker_encoder
 
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Most pieces of a group on average, so that very short texts make no large group.
@@ -48,11 +48,6 @@ GROUP_PIECES = 16_384
 _GROUP_BITS = 24
 
 
-def id_width(path: str, end_id: int | None) -> int:
-    """Bytes of an unsigned integer that holds every id of the tokenizer."""
-    return 2 if max(tokenizer(path).get_vocab_size(True) - 1, end_id or 0) < 1 << 16 else 4
-
-
 def encode_pieces(df: DataFrame, path: str, context: int, end_id: int | None = 2, id_col: str = "doc_id",
                   text_col: str = "text", cache_size: int = 1_000_000) -> DataFrame:
     """doc_id, start, doc_tokens and ids (little-endian unsigned integers of

@@ -63,7 +63,7 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source weights 5, 2, 1."""
     from storelens.llm.mixing import entropy_mix
 
-    return entropy_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+    return entropy_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).drop("mark")
 
 
 @query

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storelens.llm.base import id_text, slices
-from storelens.llm.tokens import worker_encoder
+from storelens.llm.tokens import id_width, worker_encoder
 from storelens.session import ensure_checkpoint_dir
 
 NULL_ID = np.iinfo(np.int64).min
@@ -83,10 +83,10 @@ class _Writer:
             self.store.move(self.names[x] + self.mark, self.names[x])
 
 
-def write_token_files(df: DataFrame, out_dir: str, path: str, end_id: int | None = 2, vocabulary: int = 49_408,
+def write_token_files(df: DataFrame, out_dir: str, path: str, end_id: int | None = 2,
                       id_col: str = "doc_id", text_col: str = "text", cache_size: int = 1_000_000) -> DataFrame:
     """Write the files and the manifest; returns the manifest (see the module text)."""
-    width = 2 if max(vocabulary - 1, end_id or 0) < 1 << 16 else 4
+    width = id_width(path, end_id)
     kind = f"<u{width}"
     tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
 

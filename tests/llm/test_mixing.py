@@ -84,3 +84,29 @@ def test_odd_rows(odd, clashing, empty):
     assert mixed.columns == clashing.columns
     nothing = M.entropy_mix(odd.where("doc_id in (3, 4)"))
     assert {(r.target, r.taken) for r in nothing.collect()} == {(0.0, 0)}
+
+
+def test_rows_without_an_id_are_dealt_over_chunks(spark):
+    from storelens.llm import mixing as M
+
+    docs = spark.range(3000).selectExpr("cast(null as long) AS doc_id", "concat('w', id, ' x') AS text",
+                                        "if(id % 3 = 0, 'a', 'b') AS source")
+    got = M.entropy_mix(docs, weights=(5, 2, 1), cap=3).collect()
+    for source in ("a", "b"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * (len(own) / 128 + 1)
+    assert len({r.mark for r in got}) == 3000
+    mixed = M.mixed_rows(docs, weights=(5, 2, 1), cap=3)
+    assert mixed.count() == sum(r.copies for r in got)
+
+
+def test_unmet_targets_are_an_error(spark):
+    import pytest
+
+    from storelens.llm import mixing as M
+
+    cells = spark.createDataFrame([("a", 1.0, 100)], "source string, prior double, tokens long")
+    targets = spark.createDataFrame([("a", 100, 290.0)], "source string, source_size long, target double")
+    with pytest.raises(ArithmeticError):
+        M.tilt(cells, targets, 3.0, steps=1)
+    assert M.tilt(cells, targets, 3.0).first().tilt == pytest.approx(np.log(2.9))
