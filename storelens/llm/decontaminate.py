@@ -20,18 +20,23 @@ the question's words and that of the answer's both reach ``overlap``.  Where the
 benchmark has one text, its first two thirds of words are the question.
 
 The index is broadcast in shards of at most ``shard_bytes`` of benchmark text,
-one pass over the documents per shard.  Null or empty texts, items without
+one pass over the documents per shard; document frequencies, lengths and the window
+are those of the whole benchmark, so scores don't depend on the shards.  Null or empty texts, items without
 words and an empty benchmark give no rows.  Repeated rows: each is reported.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.functions.sizing import cut_lineage
 from storelens.llm.base import id_text, slices, span_hashes, utf8
 
 SHINGLE = 5
@@ -78,11 +83,24 @@ def _run_shingles(words: np.ndarray) -> np.ndarray:
     return span_hashes(words, at, at + SHINGLE)
 
 
+@dataclass
+class Statistics:
+    """Of the whole benchmark, whatever its shards: items with words, their mean
+    and largest number of words, and the items that hold each of a shard's terms."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray  # ascending
+    df: np.ndarray
+
+
 class Index:
-    """The benchmark's index; see the module text."""
+    """The benchmark's index, or one shard of it with the statistics of the whole;
+    see the module text."""
 
     def __init__(self, items: list[tuple[object, str, str]], threshold: float = 0.6, block: int = 8,
-                 k1: float = 1.2, b: float = 0.75):
+                 k1: float = 1.2, b: float = 0.75, whole: Statistics | None = None):
         self.threshold, self.block = threshold, block
         words = []
         self.names, self.split = [], []
@@ -95,16 +113,18 @@ class Index:
         n = len(words)
         self.words = words
         self.grams = [_run_shingles(w) for w in words]
-        self.window = 2 * max([len(w) for w in words], default=32)
+        self.window = 2 * (whole.longest if whole else max([len(w) for w in words], default=32))
         every = np.concatenate(words) if n else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(n), [len(w) for w in words])
         self.terms, code = np.unique(every, return_inverse=True)
         pairs, tf = np.unique(code * max(n, 1) + owner, return_counts=True)
         term, item = pairs // max(n, 1), pairs % max(n, 1)
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         size = np.array([len(w) for w in words], float)
-        impact = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[item] / size.mean())) if n else np.zeros(0)
+        total, mean, held = (n, size.mean() if n else 1.0, df) if whole is None else (
+            whole.items, whole.mean, whole.df[np.searchsorted(whole.terms, self.terms)])
+        idf = np.log(1 + (total - held + 0.5) / (held + 0.5))
+        impact = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[item] / mean)) if n else np.zeros(0)
         own = np.bincount(item, weights=impact, minlength=n)
         self.impact = impact / np.maximum(own[item], 1e-12) if n else impact
         self.item, self.start = item, np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -209,22 +229,65 @@ def _halves(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
-def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", question_col: str | None = None,
-            answer_col: str | None = None, threshold: float = 0.6, shard_bytes: int = 8 << 20) -> list[Index]:
-    """Index shards of at most ``shard_bytes`` of text each (always one of an
-    item at least); items are read shard by shard by running totals of a hash order."""
+def _item_terms(items: DataFrame, shards: int, pairs: bool) -> DataFrame:
+    """shard, n_words and terms (distinct hashes) of every item with words."""
+    def find(batches):
+        for batch in batches:
+            for part in slices(batch, "q"):
+                n = part.num_rows
+                # as the index reads them: the halves of a text are its words, joined by spaces
+                texts = part.column(1) if pairs else pa.array([" ".join(t.split()) for t in part.column(1).to_pylist()],
+                                                              pa.string())
+                words, rows = terms(*utf8(texts))
+                more, more_rows = terms(*utf8(part.column(2)))
+                words, rows = np.concatenate([words, more]), np.concatenate([rows, more_rows])
+                counts = np.bincount(rows, minlength=n)
+                each = [np.unique(words[rows == i]).view(np.int64) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(
+                    each, pa.list_(pa.int64()))], names=["shard", "n_words", "terms"]).filter(pa.array(counts > 0))
+
+    rows = items.select(_shard(shards).alias("shard"), "q", F.coalesce("a", F.lit("")).alias("a"))
+    return cut_lineage(rows.mapInArrow(find, "shard long, n_words long, terms array<long>"))
+
+
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("i", "q"), F.lit(shards))
+
+
+def indexes(benchmark: DataFrame, item_col: str = "item_id", **parameters) -> list[Index]:
+    """All shards of :func:`index_shards` at once."""
+    return list(index_shards(benchmark, item_col, **parameters))
+
+
+def index_shards(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", question_col: str | None = None,
+            answer_col: str | None = None, threshold: float = 0.6, shard_bytes: int = 8 << 20) -> Iterator[Index]:
+    """The index, or its shards one after another, of about ``shard_bytes`` / 2 of text
+    each (an item at least).  Document frequencies, lengths and the window are those of
+    the whole benchmark, counted on Spark, so that no score depends on the shards; a
+    shard gets the frequencies of its own terms."""
     if question_col:
         items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(question_col, F.lit("")).alias("q"),
                                  F.coalesce(F.col(answer_col) if answer_col else F.lit(""), F.lit("")).alias("a"))
     else:
-        items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("q"), F.lit(None).alias("a"))
+        items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("q"),
+                                 F.lit(None).cast("string").alias("a"))
     total = items.select(F.sum(F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
     shards = max(1, -(-2 * total // shard_bytes) if total > shard_bytes else 1)
-    out = []
+    if shards > 1:
+        held = _item_terms(items, shards, bool(question_col))
+        n, mean, longest = held.agg(F.count("*"), F.avg("n_words"), F.max("n_words")).first()
+        each = held.select("shard", F.explode("terms").alias("term"))
+        df = each.groupBy("term").agg(F.count("*").alias("df"))
+        of = cut_lineage(each.distinct().join(df, "term"))
     for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("i", "q"), F.lit(shards)) == s).orderBy("i", "q").collect()
-        out.append(Index([(r.i, *((r.q, r.a) if question_col else _halves(r.q))) for r in rows], threshold))
-    return out
+        rows = items.where(_shard(shards) == s).orderBy("i", "q").collect()
+        whole = None
+        if shards > 1 and n:
+            own = of.where(F.col("shard") == s).select("term", "df").toArrow()
+            known = own["term"].to_numpy().view(np.uint64)
+            order = np.argsort(known)
+            whole = Statistics(n, mean, longest, known[order], own["df"].to_numpy()[order])
+        yield Index([(r.i, *((r.q, r.a) if question_col else _halves(r.q))) for r in rows], threshold, whole=whole)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -236,7 +299,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {id_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
     out = None
-    for shard in indexes(benchmark, item_col, **index):
+    for shard in index_shards(benchmark, item_col, **index):
         shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def search(batches, shared=shared):
@@ -262,7 +325,7 @@ def _arrow(kind: str) -> pa.DataType:
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", overlap: float = 0.8, **index) -> DataFrame:
     """The rows of ``df``, all columns, whose text leaks no test item."""
     out, at = df, df.columns.index(text_col)
-    for shard in indexes(benchmark, **index):
+    for shard in index_shards(benchmark, **index):
         shared = df.sparkSession.sparkContext.broadcast(shard)
 
         def keep(batches, shared=shared):

@@ -70,3 +70,17 @@ def test_odd_rows(spark, odd, clashing, empty):
     assert D.find_leaks(empty, bench).count() == 0 and D.find_leaks(odd, bench.limit(0)).count() == 0
     left = D.drop_leaks(clashing, bench)
     assert left.columns == clashing.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 7, 8, 9, 10, 11]
+
+
+def test_shards_give_the_scores_of_the_whole(spark):
+    docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    one, many = D.find_leaks(docs, bench).collect(), D.find_leaks(docs, bench, shard_bytes=4_000).collect()
+    assert len(D.indexes(bench, shard_bytes=4_000)) > 3 and len(one) > 20
+    key = lambda r: (r.doc_id, r.item_id)
+    for a, b in zip(sorted(one, key=key), sorted(many, key=key), strict=True):
+        assert key(a) == key(b) and abs(a.score - b.score) < 1e-9
+        assert (a.question_overlap, a.answer_overlap) == (b.question_overlap, b.answer_overlap)
+    odd = spark.createDataFrame([(1, PROSE), (2, None), (3, " \xa0 "), (4, PROSE + " and\xa0more words\xa0here")],
+                                "item_id long, text string")
+    text = spark.createDataFrame([(1, PROSE + " and\xa0more words\xa0here")], "doc_id long, text string")
+    assert as_rows(D.find_leaks(text, odd, shard_bytes=100)) == as_rows(D.find_leaks(text, odd))
