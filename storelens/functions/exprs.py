@@ -76,12 +76,10 @@ def exact_mean(c: str | Column, scale: int = 6) -> Column:
 
 
 def py_round(c: str | Column, digits: int = 0) -> Column:
-    """Python's ``round(x, digits)`` for doubles, engine-independent.
-
-    ``bround`` on a double rounds its shortest decimal text, which differs
-    from Python (exact binary value) when that text ends in a 5.  Scaling
-    first and rounding half-even to an integer is exact for the scaled
-    double, and every engine computes the same bits.
+    """numpy's ``round(x, digits)`` for doubles, engine-independent: the scaled
+    double is rounded half-even to an integer and scaled back, and every engine
+    computes the same bits.  ``bround`` on a double rounds its shortest decimal
+    text; Python's own ``round`` is :func:`python_round`.
     """
     if digits == 0:
         return F.bround(col(c), 0)
@@ -89,6 +87,34 @@ def py_round(c: str | Column, digits: int = 0) -> Column:
     return F.bround(col(c) * F.lit(k), 0) / F.lit(k)
 
 
+_SPLIT = float((1 << 27) + 1)
+
+
+def python_round(c: str | Column, digits: int = 0) -> Column:
+    """Python's ``round(x, digits)``: the exact binary value rounded half-even.
+
+    The scaled value x * 10^digits is split into the nearest double and the error of
+    that product (from products of 26-bit halves, which are exact); the error
+    decides where the double itself is halfway (2.675 * 100 is 267.5, but 2.675 lies
+    below).  The result is the double nearest to the rounded decimal.
+    """
+    x = col(c)
+    if digits == 0:
+        return F.bround(x, 0)
+    k = float(10 ** digits)
+    k_high = k * _SPLIT - (k * _SPLIT - k)
+    k_low = k - k_high
+    wide = x * F.lit(_SPLIT)
+    high = wide - (wide - x)
+    low = x - high
+    p = x * F.lit(k)
+    error = ((high * F.lit(k_high) - p) + high * F.lit(k_low) + low * F.lit(k_high)) + low * F.lit(k_low)
+    down = F.floor(p).cast("double")
+    part = p - down
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(down, F.lit(2.0)) == 1.0))))
+    return F.when(F.abs(p) >= float(1 << 52), x).otherwise(F.when(up, down + 1.0).otherwise(down) / F.lit(k))
+
+
 def py_round_sql(x: str, digits: int = 0) -> str:
     """The SQL (DuckDB) spelling of :func:`py_round`."""
     if digits == 0:

@@ -10,6 +10,8 @@ cells are one more group-by.  Output is long form; pivot only at the sink.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,12 @@ from storelens.functions.exprs import money, py_round
 
 
 def customer_months(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
-                    amount: str = "total_amount") -> DataFrame:
-    """(customer, order_month, revenue, cohort_month, cohort_index)."""
-    cm = df.groupBy(F.col(customer).alias("customer_id"),
+                    amount: str = "total_amount", by: Sequence[str] = ()) -> DataFrame:
+    """(by, customer, order_month, revenue, cohort_month, cohort_index)."""
+    cm = df.groupBy(*by, F.col(customer).alias("customer_id"),
                     F.trunc(F.to_date(F.col(ts)), "MM").alias("order_month")).agg(
         F.sum(money(amount)).alias("revenue"))
-    first = F.min("order_month").over(Window.partitionBy("customer_id"))
+    first = F.min("order_month").over(Window.partitionBy(*by, "customer_id"))
     cm = cm.withColumn("cohort_month", first)
     idx = ((F.year("order_month") - F.year("cohort_month")) * 12
            + F.month("order_month") - F.month("cohort_month"))
@@ -30,25 +32,26 @@ def customer_months(df: DataFrame, customer: str = "customer_id", ts: str = "inv
 
 
 def cohorts(df: DataFrame, customer: str = "customer_id", ts: str = "invoice_date",
-            amount: str = "total_amount") -> DataFrame:
-    """Long cohort table.
+            amount: str = "total_amount", by: Sequence[str] = ()) -> DataFrame:
+    """Long cohort table (A10, A12, W4), for each group of ``by`` on its own (P7:
+    the reference's one-country tables for every country at once).
 
     cohort_month, cohort_index, active (distinct customers), cohort_size,
     retention_pct = active / size * 100, revenue, rev_per_active = revenue /
     active (of that cell, not the cohort size), clv = running sum of
     rev_per_active along cohort_index within the cohort.
     """
-    cm = customer_months(df, customer, ts, amount)
-    cells = cm.groupBy("cohort_month", "cohort_index").agg(
+    cm = customer_months(df, customer, ts, amount, by)
+    cells = cm.groupBy(*by, "cohort_month", "cohort_index").agg(
         F.count(F.lit(1)).alias("active"), F.sum("revenue").alias("revenue"))
     # the size is the cohort's own cell at index 0: a window over the few cells
-    size = F.max(F.when(F.col("cohort_index") == 0, F.col("active"))).over(Window.partitionBy("cohort_month"))
+    size = F.max(F.when(F.col("cohort_index") == 0, F.col("active"))).over(Window.partitionBy(*by, "cohort_month"))
     out = cells.withColumn("cohort_size", size)
     rpa = F.col("revenue").cast("double") / F.col("active")
-    w = Window.partitionBy("cohort_month").orderBy("cohort_index").rowsBetween(
+    w = Window.partitionBy(*by, "cohort_month").orderBy("cohort_index").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return out.select(
-        "cohort_month", "cohort_index", "active", "cohort_size",
+        *by, "cohort_month", "cohort_index", "active", "cohort_size",
         py_round(F.col("active") / F.col("cohort_size") * 100, 6).alias("retention_pct"),
         F.col("revenue").cast("double").alias("revenue"),
         py_round(rpa, 6).alias("rev_per_active"),

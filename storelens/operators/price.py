@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import any_substring, count_substrings_present, ordered_when, py_round
+from storelens.functions.exprs import any_substring, count_substrings_present, ordered_when, python_round
 
 # Keyword price rule.
 BASE_PRICE = 5.00
@@ -180,9 +180,9 @@ def price_panel(df: DataFrame, cols: Sequence[str] = ("specialist", "frontier",
                 ensemble: str = "ensemble") -> DataFrame:
     """Round each estimate to cents (half-even, as Python ``round``); when the
     ensemble is missing use the mean of the available rounded estimates (R7)."""
-    rounded = [py_round(c, 2).alias(c) for c in cols]
+    rounded = [python_round(c, 2).alias(c) for c in cols]
     out = df.select(*[c for c in df.columns if c not in cols and c != ensemble], *rounded,
-                    py_round(ensemble, 2).alias("_ens"))
+                    python_round(ensemble, 2).alias("_ens"))
     avail = F.array_compact(F.array(*[F.col(c) for c in cols]))
     mean = F.when(F.size(avail) > 0, F.aggregate(avail, F.lit(0.0), lambda a, x: a + x) / F.size(avail))
     return out.withColumn(ensemble, F.coalesce(F.col("_ens"), mean)).drop("_ens")
@@ -236,7 +236,7 @@ def retrieval_prompts(df: DataFrame, text: str = "text", neighbors: str = "neigh
     """
     lines = F.transform(F.col(neighbors), lambda n: F.concat(
         F.lit("Potentially related product:\n"), n["item"], F.lit("\nPrice is $"),
-        F.format_string("%.2f", py_round(n["price"], 2)), F.lit("\n\n")))
+        F.format_string("%.2f", python_round(n["price"], 2)), F.lit("\n\n")))
     user = F.concat(F.lit(CONTEXT_HEADER), F.array_join(lines, ""), F.lit(QUESTION_LEAD), F.col(text))
     msg = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_MESSAGE).alias("content")),

@@ -9,7 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.quantile import exact_quantiles
@@ -177,38 +179,75 @@ def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFram
         F.count_if(~inside).alias("n_outliers"))
 
 
-def mean_ci(df: DataFrame, group: str, value: str, n_boot: int = 0, seed: int = 42,
+#: Odd factors of the weights' 32-bit hash.
+HASH_FACTORS = (2654435761, 97654321, 2246822519, 3266489917)
+#: Fixed-point places of the summed values.
+PLACES = 6
+
+
+def poisson_thresholds(most: int = 12) -> list[int]:
+    """32-bit thresholds: a uniform hash that reaches the first n of them has weight n,
+    with the probabilities of Poisson(1)."""
+    total, out = 0.0, []
+    for n in range(most):
+        total += math.exp(-1.0) / math.factorial(n)
+        out.append(math.floor(total * 2 ** 32))
+    return out
+
+
+def poisson_weights(keys: np.ndarray, rep: int) -> np.ndarray:
+    """The Poisson(1) weights of rows (64-bit keys) in replicate ``rep``: a hash of both."""
+    a, b, c, d = (np.uint64(x) for x in HASH_FACTORS)
+    low = np.uint64(0xFFFFFFFF)
+    h = (keys.astype(np.int64).view(np.uint64) & low) * a + np.uint64(rep + 1) * b & low
+    h = (h ^ (h >> np.uint64(15))) * c & low
+    h = (h ^ (h >> np.uint64(13))) * d & low
+    h ^= h >> np.uint64(16)
+    return np.searchsorted(np.array(poisson_thresholds(), np.uint64), h, side="right")
+
+
+def mean_ci(df: DataFrame, group: str, value: str, n_boot: int = 0, key: str | Column | None = None,
             level: float = 0.95) -> DataFrame:
     """Bar-chart numbers: mean per group (A29), optional bootstrap interval.
 
-    The interval uses Poisson(1) weights per replicate (no resampling of rows
-    into one task): each row is expanded into ``n_boot`` weighted copies that
-    aggregate per (group, replicate), then the replicate means give exact
-    percentiles.
+    The interval uses Poisson(1) weights from a hash of (row ``key``, replicate), so
+    no row is resampled or copied and any partitioning gives the same weights.  A task
+    keeps, per group, one array over the replicates of weights and of weighted
+    values (in whole multiples of 10^-6, as two exact integers); the arrays are added
+    up per (group, replicate) and the replicate means give exact percentiles.
     """
     v = F.col(value).cast("double")
     base = df.groupBy(group).agg(F.avg(v).alias("mean"), F.count(v).alias("n"))
     if n_boot <= 0:
         return base
-    reps = df.sparkSession.range(n_boot).withColumnRenamed("id", "rep")
-    # replicate ids are a fixed, small range: each row is expanded n_boot times
-    x = df.select(group, v.alias("_v")).where(F.col("_v").isNotNull()).crossJoin(F.broadcast(reps))
-    # Poisson(1) weight by inversion of one seeded uniform per (row, replicate)
-    u = F.rand(seed)
-    cases, acc = [], 0.0
-    for kk in range(12):
-        acc += math.exp(-1.0) / math.factorial(kk)
-        cases.append((u < acc, kk))
-    wexpr = None
-    for cond, kk in cases:
-        wexpr = F.when(cond, kk) if wexpr is None else wexpr.when(cond, kk)
-    wexpr = wexpr.otherwise(12)
-    x = x.withColumn("_w", wexpr)
-    rep_means = x.groupBy(group, "rep").agg(
-        F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias("m"))
+    if key is None:
+        raise ValueError("the interval's weights need a row key")
+    kind = df.schema[group].dataType.simpleString()
+    rows = df.select(F.col(group).alias("g"), (F.col(key) if isinstance(key, str) else key).cast("long").alias("k"),
+                     F.rint(v * 10 ** PLACES).cast("long").alias("x")).where(F.col("x").isNotNull())
+
+    def replicate(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for g, own in pdf.groupby("g", dropna=False):
+                total = sums.setdefault(None if pd.isna(g) else g, np.zeros((3, n_boot), np.int64))
+                keys, x = own["k"].to_numpy(np.int64), own["x"].to_numpy(np.int64)
+                high, low = x >> 24, x & 0xFFFFFF
+                for r in range(n_boot):
+                    w = poisson_weights(keys, r)
+                    total[:, r] += (w.sum(), (w * high).sum(), (w * low).sum())
+        if sums:
+            yield pd.DataFrame({"g": list(sums), **{c: [t[i] for t in sums.values()] for i, c in enumerate(("w", "high", "low"))}})
+
+    parts = rows.mapInPandas(replicate, f"g {kind}, w array<long>, high array<long>, low array<long>")
+    each = parts.select("g", F.posexplode(F.arrays_zip("w", "high", "low")).alias("rep", "s"))
+    wide = "decimal(38,0)"
+    total = F.sum(F.col("s.high").cast(wide)) * F.lit(1 << 24).cast("decimal(10,0)") + F.sum(F.col("s.low").cast(wide))
+    means = each.groupBy("g", "rep").agg(F.sum("s.w").alias("w"), total.cast("double").alias("x")).select(
+        F.col("g").alias(group), F.try_divide(F.col("x") / F.lit(float(10 ** PLACES)), F.col("w")).alias("m"))
     a = (1 - level) / 2
-    ci = exact_quantiles(rep_means, "m", [a, 1 - a], [group], names=["ci_lo", "ci_hi"]).drop("n")
-    return base.join(ci, group, "left")
+    ci = exact_quantiles(means, "m", [a, 1 - a], [group], names=["ci_lo", "ci_hi"]).drop("n")
+    return base.join(ci.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def dataset_profile(df: DataFrame, price: str, country: str | None = None, text: str | None = None,

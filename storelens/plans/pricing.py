@@ -113,11 +113,15 @@ _ENS = ("CASE WHEN len(valid) = 0 THEN 9.99 ELSE list_reduce(kept, lambda a, x:
         " / len(kept) END")
 
 
+#: Python's round to cents: the exact binary value, printed.
+_CENTS = "CAST(printf('%.2f', {}) AS DOUBLE)"
+
+
 @register("ensemble_panel", f"""
 WITH v AS (SELECT *, list_sort(list_filter([specialist, frontier, random_forest], lambda x: x IS NOT NULL)) AS valid FROM panel),
 k AS (SELECT *, CASE WHEN len(valid) >= 3 THEN valid[2:len(valid) - 1] ELSE valid END AS kept FROM v)
-SELECT request_id, {py_round_sql('specialist', 2)} AS specialist, {py_round_sql('frontier', 2)} AS frontier,
-       {py_round_sql('random_forest', 2)} AS random_forest, {py_round_sql(_ENS, 2)} AS ensemble
+SELECT request_id, {_CENTS.format('specialist')} AS specialist, {_CENTS.format('frontier')} AS frontier,
+       {_CENTS.format('random_forest')} AS random_forest, {_CENTS.format(_ENS)} AS ensemble
 FROM k
 """, views=("panel",))
 def q_ensemble(spark, sf):
@@ -304,3 +308,23 @@ def q_score_hist(spark, sf):
     s = EV.score_predictions(VIEWS["scored"](spark, sf))
     rel = s.where(~F.col("failed") & (F.col("truth") > 0)).select((F.col("error") / F.col("truth")).alias("rel_error"))
     return PR.histogram(rel, "rel_error", 20)
+
+
+@register("python_rounding", """
+WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price,
+                  CAST(CAST(l_partkey AS BIGINT) % 4000 * 10 + 5 AS DOUBLE) / 1000.0 * (CASE WHEN l_linenumber = 3 THEN -1 ELSE 1 END) AS half
+           FROM lineitem)
+SELECT l_orderkey, l_linenumber, half, CAST(printf('%.2f', price) AS DOUBLE) AS price_2,
+       CAST(printf('%.2f', half) AS DOUBLE) AS half_2, CAST(printf('%.1f', half) AS DOUBLE) AS half_1 FROM v
+""")
+def q_python_rounding(spark, sf):
+    """Python's round of prices and of doubles whose text ends in 5
+    (2.675 and the like); the oracle prints the exact binary value."""
+    from storelens.functions.exprs import python_round
+    from storelens.sources.fixtures import table
+
+    sign = F.when(F.col("l_linenumber") == 3, -1.0).otherwise(1.0)
+    half = (F.col("l_partkey").cast("long") % 4000 * 10 + 5).cast("double") / F.lit(1000.0) * sign
+    v = table(spark, sf, "lineitem").withColumns({"half": half, "price": F.col("l_extendedprice") / F.col("l_quantity")})
+    return v.select("l_orderkey", "l_linenumber", "half", python_round("price", 2).alias("price_2"),
+                    python_round("half", 2).alias("half_2"), python_round("half", 1).alias("half_1"))

@@ -185,6 +185,38 @@ def q_mean_ci(spark, sf_dir):
     return out.select("promo", py_round("mean", 4).alias("mean"), "n")
 
 
+N_BOOT = 200
+_BOOT_KEY = "store * 100000 + CAST(date - DATE '1990-01-01' AS BIGINT)"
+
+
+def _boot_sql() -> str:
+    a, b, c, d = PR.HASH_FACTORS
+    u, top = "UBIGINT", 1 << 32
+    steps = " + ".join(f"CAST(h >= {t} AS BIGINT)" for t in PR.poisson_thresholds())
+    return f"""
+WITH rows AS (SELECT promo, CAST(({_BOOT_KEY}) % {top} AS {u}) AS k, CAST(round_even(sales * 1000000.0, 0) AS HUGEINT) AS x FROM store_sales),
+reps AS (SELECT CAST(unnest(range(1, {N_BOOT} + 1)) AS {u}) AS r),
+h0 AS (SELECT promo, r, x, (k * CAST({a} AS {u}) + r * CAST({b} AS {u})) % {top} AS h FROM rows, reps),
+h1 AS (SELECT promo, r, x, CAST(xor(h, h >> 15) * CAST({c} AS {u}) % {top} AS {u}) AS h FROM h0),
+h2 AS (SELECT promo, r, x, CAST(xor(h, h >> 13) * CAST({d} AS {u}) % {top} AS {u}) AS h FROM h1),
+h3 AS (SELECT promo, r, x, xor(h, h >> 16) AS h FROM h2),
+w AS (SELECT promo, r, x, {steps} AS w FROM h3),
+m AS (SELECT promo, CAST(sum(w * x) AS DOUBLE) / 1000000.0 / nullif(CAST(sum(w) AS DOUBLE), 0) AS m FROM w GROUP BY promo, r),
+ci AS (SELECT promo, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1)
+SELECT promo, round(avg(sales), 4) AS mean, count(sales) AS n, round(any_value(lo), 6) AS ci_lo, round(any_value(hi), 6) AS ci_hi
+FROM store_sales JOIN ci USING (promo) GROUP BY promo
+"""
+
+
+@register("bootstrap_sales_by_promo", _boot_sql(), views=("store_sales",))
+def q_bootstrap(spark, sf_dir):
+    """Means behind the bar charts with their bootstrap intervals."""
+    key = F.col("store") * 100000 + F.datediff(F.col("date"), F.lit("1990-01-01").cast("date"))
+    out = PR.mean_ci(VIEWS["store_sales"](spark, sf_dir), "promo", "sales", N_BOOT, key)
+    return out.select("promo", py_round("mean", 4).alias("mean"), "n", py_round("ci_lo", 6).alias("ci_lo"),
+                      py_round("ci_hi", 6).alias("ci_hi"))
+
+
 @register("dataset_profile", """
 SELECT count(*) AS rows, 3 AS columns, count(price) AS count, min(price) AS min, max(price) AS max,
        round(avg(price), 6) AS mean, quantile_cont(price, 0.5) AS median FROM item_texts

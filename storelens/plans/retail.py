@@ -196,6 +196,22 @@ def q_cohorts(spark, sf_dir):
     return CO.cohorts(clean_lines(spark, sf_dir))
 
 
+_COUNTRY_COHORT_SQL = (COHORT_SQL.replace("SELECT customer_id, CAST(date_trunc", "SELECT country, customer_id, CAST(date_trunc")
+                       .replace("FROM clean GROUP BY 1, 2)", "FROM clean GROUP BY 1, 2, 3)")
+                       .replace("PARTITION BY customer_id", "PARTITION BY country, customer_id")
+                       .replace("cells AS (SELECT cohort_month", "cells AS (SELECT country, cohort_month")
+                       .replace("FROM f GROUP BY 1, 2)", "FROM f GROUP BY 1, 2, 3)")
+                       .replace("ct AS (SELECT c.cohort_month", "ct AS (SELECT c.country, c.cohort_month")
+                       .replace("PARTITION BY c.cohort_month", "PARTITION BY c.country, c.cohort_month")
+                       .replace("ON c.cohort_month", "ON c.country = s.country AND c.cohort_month"))
+
+
+@register("cohorts_by_country", _with_clean(_COUNTRY_COHORT_SQL + "SELECT * FROM ct"), views=("retail_lines_dup",))
+def q_country_cohorts(spark, sf_dir):
+    """Every country's own cohort table."""
+    return CO.cohorts(clean_lines(spark, sf_dir), by=["country"])
+
+
 @register("retention_curve", _with_clean(
     COHORT_SQL + "SELECT cohort_index, round(avg(retention_pct), 4) AS avg_retention_pct, "
     "count(*) AS cohorts FROM ct GROUP BY 1"), views=("retail_lines_dup",))

@@ -509,3 +509,39 @@ def _start(x, m, df):
     v = np.diag(cov)
     return x[ids], {"full": np.tile(cov, (3, 1, 1)), "tied": cov, "diag": np.tile(v, (3, 1)),
                     "spherical": np.full(3, v.mean())}[m.covariance]
+
+
+def test_python_round_is_the_exact_one(spark):
+    from storelens.functions.exprs import python_round
+
+    rng = np.random.default_rng(1)
+    xs = [2.675, 1.005, 0.125, 2.5, 0.5, 1.5, -2.675, -0.125, 1e300, 5e15 + 0.5, 0.285, 1.115, 8.345, 0.0, 1e-9, -1.005]
+    xs += [float(x) for x in rng.integers(0, 10**6, 3000) / 1000 + 0.005] + [float(x) for x in rng.normal(size=2000) * 1e4]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for d in (0, 1, 2, 6):
+        got = [r[0] for r in df.select(python_round("x", d)).collect()]
+        assert got == [float(round(x, d)) for x in xs]
+
+
+def test_bootstrap_intervals_do_not_depend_on_partitions(spark):
+    from storelens.operators import profile as PR
+
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 5 == 0 else "ab"[i % 2], float(x)) for i, x in enumerate(rng.gamma(2.0, 50.0, 900))]
+    rows += [(1000, "a", None), (1001, "c", -3.25)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = PR.mean_ci(df.repartition(5), "g", "v", 100, "id").collect()
+    again = PR.mean_ci(df.coalesce(1), "g", "v", 100, "id").collect()
+    assert {(r.g, r.ci_lo, r.ci_hi) for r in got} == {(r.g, r.ci_lo, r.ci_hi) for r in again}
+    for r in got:
+        own = np.array([(k, v) for k, g, v in rows if g == r.g and v is not None])
+        means = []
+        for rep in range(100):
+            w = PR.poisson_weights(own[:, 0].astype(np.int64), rep)
+            if w.sum():
+                means.append((w * np.round(own[:, 1] * 1e6)).sum() / 1e6 / w.sum())
+        lo, hi = np.quantile(means, [0.025, 0.975])
+        assert r.ci_lo == pytest.approx(lo, rel=1e-9) and r.ci_hi == pytest.approx(hi, rel=1e-9)
+        assert r.ci_lo <= r["mean"] <= r.ci_hi or len(own) < 2
+    w = PR.poisson_weights(np.arange(200_000), 3)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
