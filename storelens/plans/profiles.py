@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import py_round
+from storelens.functions.exprs import exact_mean, py_round
 
 from storelens.operators import clean as C
 from storelens.operators import profile as PR
@@ -299,3 +299,28 @@ def q_kde(spark, sf_dir):
     """Gaussian KDE of customer recency on a 200-point grid (Scott bandwidth)."""
     k = PR.kde(R.rfm(clean_lines(spark, sf_dir)).persist(), "recency", 200, 3.0)
     return k.select("point", py_round("x", 6).alias("x"), py_round("density", 12).alias("density"))
+
+
+@register("kde_distance_sales", """
+WITH m AS (SELECT store, CAST(sum(CAST(sales AS DECIMAL(38,6))) AS DOUBLE) / count(sales) AS b FROM store_sales GROUP BY 1),
+d AS (SELECT competition_distance AS a, b FROM store JOIN m USING (store) WHERE competition_distance IS NOT NULL),
+s AS (SELECT count(*) AS n, var_samp(a) AS xx, var_samp(b) AS yy, covar_samp(a, b) AS xy,
+             min(a) AS x0, max(a) AS x1, min(b) AS y0, max(b) AS y1 FROM d),
+t AS (SELECT *, xx * yy - xy * xy AS det, pow(n, -1.0 / 6.0) AS f, (x1 - x0) / 100 AS wide, (y1 - y0) / 100 AS tall FROM s),
+cells AS (SELECT least(floor((a - x0) / wide), 99) AS p, least(floor((b - y0) / tall), 99) AS q, count(*) AS c FROM d, t GROUP BY 1, 2),
+mid AS (SELECT x0 + (p + 0.5) * wide AS a, y0 + (q + 0.5) * tall AS b, c FROM cells, t),
+g AS (SELECT CAST(i.range AS INTEGER) AS i, CAST(j.range AS INTEGER) AS j,
+             x0 - 3 * f * sqrt(xx) + i.range * ((x1 - x0 + 6 * f * sqrt(xx)) / 39) AS x,
+             y0 - 3 * f * sqrt(yy) + j.range * ((y1 - y0 + 6 * f * sqrt(yy)) / 39) AS y FROM t, range(40) i, range(40) j),
+k AS (SELECT i, j, x, y, sum(c * exp(-0.5 * ((x - a) * (x - a) * yy - 2 * (x - a) * (y - b) * xy + (y - b) * (y - b) * xx)
+             / (f * f * det))) AS total FROM g, mid, t GROUP BY 1, 2, 3, 4)
+SELECT i, j, round(x, 4) AS x, round(y, 4) AS y,
+       round(total / (n * 2 * pi() * f * f * sqrt(det)) * sqrt(xx * yy), 9) AS density_std FROM k, t
+""", views=("store_sales", "store"))
+def q_kde_2d(spark, sf_dir):
+    """Two-dimensional density of competition distance and mean sales of the stores."""
+    mean = VIEWS["store_sales"](spark, sf_dir).groupBy("store").agg(exact_mean("sales").alias("avg_sales"))
+    both = VIEWS["store"](spark, sf_dir).join(mean, "store")
+    k = PR.kde_2d(both, "competition_distance", "avg_sales", 40, 100)
+    return k.select("i", "j", py_round("x", 4).alias("x"), py_round("y", 4).alias("y"),
+                    py_round("density_std", 9).alias("density_std"))

@@ -9,7 +9,7 @@ from storelens.operators import clean as C
 from storelens.operators import features as FE
 from storelens.operators import rfm as R
 from storelens.operators import segments as SG
-from storelens.plans.catalog import register
+from storelens.plans.catalog import ORACLES, register
 from storelens.plans.retail import CLEAN_SQL, ENTRY_CUTS, NINE_SQL, clean_lines, rfm_sql, scores_sql
 
 RFM_COLS = ["recency", "frequency", "monetary"]
@@ -181,3 +181,18 @@ def q_insights(spark, sf):
     """Fallback description and strategy against segment 0."""
     st = SG.segment_stats(labelled(spark, sf), "segment_id")
     return SG.segment_insights(st, "segment_id", 0).select("segment_id", "description", "strategy")
+
+
+@register("report_prompts", "SELECT segment_id, description, strategy, 2 AS n_messages FROM (" + ORACLES["segment_insights"] + ")")
+def q_report_prompts(spark, sf):
+    """The report's messages, read back: every segment's texts from the JSON in them."""
+    st = SG.segment_insights(SG.segment_stats(labelled(spark, sf), "segment_id"), "segment_id", 0)
+    m = SG.report_prompts(st.select("segment_id", "count", "percentage", "avg_recency", "avg_frequency", "avg_monetary",
+                                    "description", "strategy"))
+    user = F.col("messages")[1]["content"]
+    texts = F.from_json(F.substring_index(F.substring_index(user, "\n\nDescriptions:\n", -1), "\n\nStrategies:\n", 1),
+                        "map<string,string>")
+    plans = F.from_json(F.substring_index(user, "\n\nStrategies:\n", -1), "map<string,string>")
+    read = m.select(F.size("messages").alias("n_messages"), F.explode(texts).alias("k", "description"), plans.alias("plans"))
+    return read.select(F.col("k").cast("int").alias("segment_id"), "description", F.col("plans")[F.col("k")].alias("strategy"),
+                       "n_messages")

@@ -545,3 +545,22 @@ def test_bootstrap_intervals_do_not_depend_on_partitions(spark):
         assert r.ci_lo <= r["mean"] <= r.ci_hi or len(own) < 2
     w = PR.poisson_weights(np.arange(200_000), 3)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+
+
+def test_two_dimensional_density_integrates_to_one(spark):
+    from storelens.operators import profile as PR
+
+    rng = np.random.default_rng(8)
+    x = rng.multivariate_normal([3, -2], [[4, 3], [3, 9]], 800)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x] + [(None, 1.0)], "a double, b double")
+    k = PR.kde_2d(df, "a", "b", 50, 80).toPandas()
+    dx, dy = np.diff(sorted(k.x.unique())).mean(), np.diff(sorted(k.y.unique())).mean()
+    assert len(k) == 2500 and (k.density.sum() * dx * dy) == pytest.approx(1.0, abs=0.02)
+    cov = np.cov(x.T) * len(x) ** (-1 / 3)
+    inv, norm = np.linalg.inv(cov), 2 * math.pi * np.linalg.det(cov) ** 0.5 * len(x)
+    for _, r in k.sample(40, random_state=1).iterrows():  # unbinned
+        d = np.array([r.x, r.y]) - x
+        want = np.exp(-0.5 * np.einsum("ia,ab,ib->i", d, inv, d)).sum() / norm
+        assert r.density == pytest.approx(want, rel=0.05, abs=1e-4)
+    assert PR.kde_2d(df.limit(1), "a", "b").count() == 0
+    assert PR.kde_2d(df.selectExpr("a", "2 * a AS b"), "a", "b").count() == 0
