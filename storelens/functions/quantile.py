@@ -7,20 +7,19 @@ by splitting every group into value buckets instead:
 
 1. pre-aggregate ``(group, value) -> count`` (map-side combine; copies of a
    value collapse before the shuffle);
-2. cut the value axis into buckets whose bounds come from a bounded sample of
-   the distinct values, fixed once as literals - so a recomputation after a
-   lost executor puts every value in the same bucket again;
-3. a running count per (group, bucket) chunk (a window over one bounded
-   chunk), plus a tiny ``(group, bucket) -> rows`` table whose prefix sums
-   give each chunk's global rank offset;
-4. keep only the rows whose rank interval holds a wanted rank (at most two per
-   quantile and group) and interpolate.
+2. range-partition those rows by (group, value) and keep them in a table, so that a
+   partition's number stays with its rows: a group spans as many partitions as its
+   rows need, in the order of their values;
+3. a small ``(group, partition) -> rows`` table, whose prefix sums say which
+   partitions hold the wanted ranks (at most two per quantile and group);
+4. a running count over the rows of those chunks only, whose interval holds a
+   wanted rank or not, and interpolation.
 
 The interpolation is the linear rule of pandas / numpy: position
 ``p * (n - 1)``, written as Spark's exact ``percentile`` writes it,
 ``(ceil(pos) - pos) * lo + (pos - floor(pos)) * hi`` - so the small-input
 fast path (the built-in aggregate, used when the distinct (group, value)
-table is provably small) and the bucketed path give identical bits.
+table is provably small) and the partitioned path give identical bits.
 """
 
 from __future__ import annotations
@@ -28,45 +27,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_C, _B, _CUM = "_q_cnt", "_q_bucket", "_q_cum"
-SAMPLES_PER_BUCKET = 20
-# Above this many distinct (group, value) rows the bucketed path is used; at
-# or below it the built-in exact ``percentile`` holds at most this many
-# entries in one task.
-FAST_PATH_ROWS = 2_000_000
-
-
-def _bucket_expr(v: Column, bounds: list[float]) -> Column:
-    """Number of bounds <= v, as a balanced CASE tree (log2 depth)."""
-    def build(lo: int, hi: int) -> Column:
-        # bucket is in [lo, hi]; bounds[lo..hi-1] separate the candidates
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(v >= F.lit(bounds[mid - 1]), build(mid, hi)).otherwise(build(lo, mid - 1))
-
-    return build(0, len(bounds))
+from storelens.functions.sizing import cut_lineage
 
-
-def _value_bounds(values: DataFrame, value_col: str, nbuckets: int, seed: int = 17) -> list[float]:
-    """Up to ``nbuckets - 1`` increasing split points from a bounded sample.
-
-    One pass: each partition keeps its ``want`` rows with the smallest
-    seeded random key, and only those reach the driver.  The sample only
-    balances the buckets; correctness never depends on it.
-    """
-    if nbuckets <= 1:
-        return []
-    want = nbuckets * SAMPLES_PER_BUCKET
-    rows = values.select(value_col).orderBy(F.rand(seed)).limit(want).collect()
-    vals = sorted(r[0] for r in rows)
-    if not vals:
-        return []
-    step = len(vals) / nbuckets
-    return sorted({vals[min(len(vals) - 1, int(i * step))] for i in range(1, nbuckets)})
+_C, _B, _CUM = "_q_cnt", "_q_bucket", "_q_cum"
+# Above this many distinct (group, value) rows the partitioned path is used; at or
+# below it the built-in exact ``percentile`` holds at most this many entries (16
+# bytes each) in one task.
+FAST_PATH_ROWS = 1 << 18
 
 
 def _counted(df: DataFrame, value_col: str, group_cols: list[str]) -> DataFrame:
@@ -86,34 +56,36 @@ def _order_stats(df: DataFrame, value_col: str, group_cols: list[str], targets_f
     ``targets_fn(n)`` returns a list of (lo_rank, hi_rank, frac) Column
     triples (0-based ranks) for a group of ``n`` non-null values.
     """
-    spark = df.sparkSession
-    nb = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     if counted is None:
         counted = _counted(df, value_col, group_cols)
-    bounds = _value_bounds(counted, value_col, nb)
-    bucketed = counted.withColumn(_B, _bucket_expr(F.col(value_col), bounds))
-
-    # Running count inside one (group, bucket) chunk: bounded by the bucket.
-    wc = Window.partitionBy(*group_cols, _B).orderBy(value_col).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = bucketed.withColumn(_CUM, F.sum(_C).over(wc))
+    keys = [*group_cols, value_col]
+    ranged = counted.repartitionByRange(num_partitions, *keys) if num_partitions else counted.repartitionByRange(*keys)
+    placed = cut_lineage(ranged.withColumn(_B, F.spark_partition_id()))
 
-    # (group, bucket) chunk sizes -> global offsets.  At most
-    # (#groups x #buckets touched) rows, each group ordered by bucket.
-    chunks = bucketed.groupBy(*group_cols, _B).agg(F.sum(_C).alias("_q_chunk"))
+    # (group, partition) chunk sizes -> global offsets: one row per partition
+    # that a group touches, each group's in the order of its values.
     wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+    chunks = placed.groupBy(*group_cols, _B).agg(F.sum(_C).alias("_q_chunk"))
     chunks = chunks.select(
-        *group_cols, _B,
+        *group_cols, _B, "_q_chunk",
         F.coalesce(F.sum("_q_chunk").over(
             wg.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q_off"),
         F.sum("_q_chunk").over(wg).alias("n"))
     targets = [F.struct(F.lit(i).alias("i"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"),
                         frac.cast("double").alias("frac"))
                for i, (lo, hi, frac) in enumerate(targets_fn(F.col("n")))]
-    chunks = chunks.withColumn("_q_t", F.array(*targets))
-
-    joined = ranked.join(chunks, on=[*group_cols, _B], how="inner")
+    inside = lambda r: (r >= F.col("_q_off")) & (r < F.col("_q_off") + F.col("_q_chunk"))
+    chunks = chunks.withColumn("_q_t", F.filter(F.array(*targets), lambda t: inside(t["lo"]) | inside(t["hi"])))
+    wanted = chunks.where(F.size("_q_t") > 0).select(*[F.col(c).alias(f"_q_g{i}") for i, c in enumerate(group_cols)],
+                                                     F.col(_B).alias("_q_part"), "_q_off", "n", "_q_t")
+    same = F.col(_B) == F.col("_q_part")
+    for i, c in enumerate(group_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_q_g{i}"))
+    joined = placed.join(wanted, same)
+    # Running count inside one (group, partition) chunk.
+    wc = Window.partitionBy(*group_cols, _B).orderBy(value_col).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    joined = joined.withColumn(_CUM, F.sum(_C).over(wc))
     start = F.col("_q_off") + F.col(_CUM) - F.col(_C)
     end = F.col("_q_off") + F.col(_CUM) - 1
     hits = joined.select(*group_cols, "n", value_col, start.alias("_s"), end.alias("_e"),

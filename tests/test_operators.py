@@ -564,3 +564,16 @@ def test_two_dimensional_density_integrates_to_one(spark):
         assert r.density == pytest.approx(want, rel=0.05, abs=1e-4)
     assert PR.kde_2d(df.limit(1), "a", "b").count() == 0
     assert PR.kde_2d(df.selectExpr("a", "2 * a AS b"), "a", "b").count() == 0
+
+
+def test_quantiles_of_a_null_group_and_a_hot_one(spark):
+    rng = np.random.default_rng(12)
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else "x", float(v)) for i, v in enumerate(rng.normal(size=4000).round(2))]
+    df = spark.createDataFrame(rows + [("one", 5.0), ("none", None)], "g string, v double")
+    for fast in (0, 1 << 20):
+        got = {r.g: r for r in exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.975, 1.0], ["g"], num_partitions=6,
+                                               fast_path_rows=fast).collect()}
+        assert set(got) == {None, "hot", "x", "one"}
+        for g, r in got.items():
+            own = [v for k, v in rows + [("one", 5.0)] if k == g]
+            assert r.n == len(own) and list(r[1:6]) == pytest.approx(np.quantile(own, [0, 0.25, 0.5, 0.975, 1]).tolist(), abs=1e-12)
