@@ -126,24 +126,30 @@ class Aligner:
     def _spells(self, ids: list[int], table: list[bytes], text: bytes) -> bool:
         return b"".join(map(table.__getitem__, ids)) == text
 
+    @staticmethod
+    def _flat(found: list[list[int]], bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, without the first one of ``bare`` words, and each word's number of them."""
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+        return np.delete(ids, (np.cumsum(n) - n)[bare]), n - bare
+
     def _learn(self, words: list[str]) -> None:
         """Align new words, all in one pass: their bytes lie end to end, so that ends
         of tokens are prefix sums and links are ranges between them."""
         # a word without a space of its own is read behind a letter, whose token is then taken off
-        bare = [w[0] != " " for w in words]
-        found_a = [e.ids[x:] for x, e in zip(bare, self.a.encode_batch_fast(
-            [" a" + w if x else w for x, w in zip(bare, words)], add_special_tokens=False))]
-        found_b = [b[x:] for x, b in zip(bare, self.b.encode(
-            ["a" + w if x else w[1:] for x, w in zip(bare, words)], num_threads=1))]
-        raw = [w.encode() for w in words]
+        bare = np.array([w[0] != " " for w in words])
+        found_a = [e.ids for e in self.a.encode_batch_fast(
+            [" a" + w if w[0] != " " else w for w in words], add_special_tokens=False)]
+        found_b = self.b.encode(["a" + w if w[0] != " " else w[1:] for w in words], num_threads=1)
+        # what the tokens must spell, word by word
+        raw = [w.encode() if w[0] == " " else b" a" + w.encode() for w in words]
         bad = np.zeros(len(words), bool)
         if not (self._spells(list(chain.from_iterable(found_a)), self.bytes_a, text := b"".join(raw))
                 and self._spells(list(chain.from_iterable(found_b)), self.bytes_b, text)):
             bad = np.array([not (self._spells(a, self.bytes_a, w) and self._spells(b, self.bytes_b, w))
                             for a, b, w in zip(found_a, found_b, raw)])
             found_a, found_b = ([[] if no else x for x, no in zip(y, bad)] for y in (found_a, found_b))
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found_a, found_b))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (found_a, found_b))
+        (a, n_a), (b, n_b) = self._flat(found_a, bare & ~bad), self._flat(found_b, bare & ~bad)
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         # each B token is linked to the A tokens from the one that holds its first byte to the one that holds its last
         low = np.searchsorted(end_a, end_b - self.length_b[b], side="right")
