@@ -161,7 +161,8 @@ def q_names(spark, sf):
 
 
 def _fmt_sql(x: str, d: int) -> str:
-    return f"printf('%.{d}f', {py_round_sql(x, d)})"
+    # prints the exact binary value, as the reference's format does
+    return f"printf('%.{d}f', CAST({x} AS DOUBLE))"
 
 
 @register("segment_insights", BASE_SQL.rstrip() + STATS_SQL + f"""
