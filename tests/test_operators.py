@@ -577,3 +577,17 @@ def test_quantiles_of_a_null_group_and_a_hot_one(spark):
         for g, r in got.items():
             own = [v for k, v in rows + [("one", 5.0)] if k == g]
             assert r.n == len(own) and list(r[1:6]) == pytest.approx(np.quantile(own, [0, 0.25, 0.5, 0.975, 1]).tolist(), abs=1e-12)
+
+
+def test_bunches_of_cells_hold_about_a_block(spark):
+    from storelens.operators.neighbors import bunches
+
+    rng = np.random.default_rng(3)
+    pivots, sizes = rng.normal(size=(200, 8)), {i: int(n) for i, n in enumerate(rng.integers(1, 600, 200))}
+    got = bunches(pivots, sizes, 2048)
+    rows = {}
+    for c, g in got.items():
+        rows[g] = rows.get(g, 0) + sizes[c]
+    assert set(got) == set(sizes) and max(rows.values()) <= 2048
+    assert len(rows) <= 2 * sum(sizes.values()) / 2048 + 1
+    assert bunches(pivots, {}, 2048) == {} and bunches(pivots, {7: 9000, 8: 1}, 2048) == {7: 0, 8: 1}
