@@ -4,7 +4,8 @@ pre-token encoder that the token files share.
 Texts are cut into the tokenizer's pre-tokens with array operations (lower
 case; runs of letters, single digits, runs of other signs, contractions), and
 each pre-token is looked up by its 64-bit hash.  Tier 1 is a broadcast table of
-frequent pre-tokens' lengths (at most ``table_size`` entries of 12 bytes);
+frequent pre-tokens' lengths (at most ``table_size`` entries of 12 bytes, counted
+over all texts by bounded summaries, one a task);
 tier 2 is each worker's own table: what tier 1 lacks is encoded by the library,
 all new pre-tokens of a slice in one call, and kept (two generations of at most
 ``cache_size`` entries).  Nothing is shuffled by pre-token.  Texts with special
@@ -181,8 +182,8 @@ class Encoder:
                 ids.extend(each)
         return np.concatenate(lengths), np.concatenate(ids)
 
-    def _resolve(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray,
-                 first: np.ndarray) -> None:
+    def resolve(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray,
+                first: np.ndarray) -> None:
         """Bring the distinct ``hashes`` (``first``: where one occurs) into the own table."""
         if self.frequent is not None:
             rest = self.frequent.find(hashes) < 0
@@ -200,6 +201,11 @@ class Encoder:
             pieces = [raw[4 * i:4 * j].decode("utf-32-le") for i, j in zip(starts[first[~known]], ends[first[~known]])]
             self.own.add(hashes[~known], *self.encode_all(pieces))
 
+    def own_lengths(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of ids by the own table (0 where it lacks a hash)."""
+        at = self.own.find(hashes)
+        return np.where(at >= 0, self.own.lengths[at] if len(self.own.lengths) else 0, 0)
+
     @staticmethod
     def _gather(table: Table, at: np.ndarray) -> np.ndarray:
         lengths = table.lengths[at].astype(np.int64)
@@ -211,14 +217,13 @@ class Encoder:
     def _lookup(self, texts: list[str]):
         points, starts, ends, rows, odd = pre_tokens(texts, self.special)
         hashes, first, inverse = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        self._resolve(points, starts, ends, hashes, first)
+        self.resolve(points, starts, ends, hashes, first)
         return hashes, inverse, rows, odd
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
         hashes, inverse, rows, odd = self._lookup(texts)
-        at = self.own.find(hashes)
-        lengths = np.where(at >= 0, self.own.lengths[at] if len(self.own.lengths) else 0, 0)
+        lengths = self.own_lengths(hashes)
         if self.frequent is not None:
             tier1 = self.frequent.find(hashes)
             lengths = np.where(tier1 >= 0, self.frequent.lengths[tier1] if len(self.frequent.lengths) else 0, lengths)
@@ -239,56 +244,79 @@ class Encoder:
 
 
 def worker_encoder(path: str, keep_ids: bool, cache_size: int, frequent: Table | None = None) -> Encoder:
-    """The worker's encoder of that kind; a new tier 1 starts a new one."""
+    """The worker's encoder of that kind; its own table outlives a change of tier 1."""
     key = ("encoder", path, keep_ids)
-    if key not in _STATE or _STATE[key].frequent is not frequent:
-        _STATE[key] = Encoder(path, keep_ids, cache_size, frequent)
+    if key not in _STATE:
+        _STATE[key] = Encoder(path, keep_ids, cache_size)
+    _STATE[key].frequent, _STATE[key].cache_size = frequent, cache_size
     return _STATE[key]
 
 
-def frequent_lengths(df: DataFrame, path: str, table_size: int = 65_536, table_docs: int = 8_192,
-                     piece_bytes: int = 32) -> Table:
-    """Tier 1: token counts of the most frequent pre-tokens of about
-    ``table_docs`` sampled texts.  The table only saves work: counts are the
-    same with any table."""
-    texts = df.select("text")
-    table = Table(False)
-    n = texts.count()
-    if n == 0:
-        return table
+class Summary:
+    """The most frequent of all hashes seen, at most ``size`` of them (a mergeable
+    Misra-Gries summary): counts are too low by at most seen / (size + 1), so
+    whatever makes up more than that share is in it."""
+
+    def __init__(self, size: int):
+        self.size, self.hashes, self.n = size, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, hashes: np.ndarray, n: np.ndarray) -> None:
+        """``hashes`` are distinct."""
+        both, at = np.unique(np.concatenate([self.hashes, hashes]), return_inverse=True)
+        total = np.zeros(len(both), np.int64)
+        np.add.at(total, at, np.concatenate([self.n, n]))
+        if len(both) > self.size:
+            total -= np.partition(total, len(total) - self.size - 1)[len(total) - self.size - 1]
+            both, total = both[total > 0], total[total > 0]
+        self.hashes, self.n = both, total
+
+
+def frequent_lengths(df: DataFrame, path: str, table_size: int = 65_536, summary_size: int = 16_384,
+                     cache_size: int = 1_000_000) -> Table:
+    """Tier 1: token counts of the most frequent pre-tokens of all texts.
+
+    Each task sums up its pre-tokens in a :class:`Summary` and returns hash,
+    count and number of ids of what is left in it, at most ``summary_size`` rows
+    of 20 bytes whatever the texts; no pre-token moves.  Over all tasks a
+    pre-token's count is too low by at most its N / (summary_size + 1) of N
+    pre-tokens.  The table only saves work: counts are the same with any table."""
 
     def count(batches):
-        special = Encoder(path, False, 1).special
+        encoder = worker_encoder(path, False, cache_size)
+        summary, known = Summary(summary_size), Table(False)
         for batch in batches:
             for part in slices(batch):
-                points, starts, ends, _, _ = pre_tokens(part.column(0).to_pylist(), special)
-                short = ends - starts <= piece_bytes // 4
-                starts, ends = starts[short], ends[short]
-                _, first, n = np.unique(span_hashes(points, starts, ends), return_index=True, return_counts=True)
-                raw = points.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_pydict({
-                    "piece": pa.array([raw[4 * starts[i]:4 * ends[i]].decode("utf-32-le") for i in first], pa.string()),
-                    "n": pa.array(n, pa.int64())})
-
-    sample = texts.sample(min(1.0, table_docs / n), seed=8)
-    top = (sample.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "piece").limit(table_size))
-    pieces = [r.piece for r in top.collect()]  # at most table_size short strings
-    if pieces:
-        joined = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
-        ends = np.cumsum([len(p) for p in pieces])
-        hashes = span_hashes(joined, ends - np.array([len(p) for p in pieces]), ends)
-        lengths, _ = Encoder(path, False, 1).encode_all(pieces)
+                points, starts, ends, _, _ = pre_tokens(part.column(0).to_pylist(), encoder.special)
+                hashes, first, n = np.unique(span_hashes(points, starts, ends), return_index=True, return_counts=True)
+                summary.add(hashes, n)
+                # lengths while the slice is at hand, for those that stay in the summary
+                new = np.isin(hashes, summary.hashes) & (known.find(hashes) < 0)
+                encoder.resolve(points, starts, ends, hashes[new], first[new])
+                at = known.find(summary.hashes)
+                lengths = np.where(at >= 0, known.lengths[at] if len(known.lengths) else 0,
+                                   encoder.own_lengths(summary.hashes))
+                known.hashes, known.lengths = summary.hashes, lengths.astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"hash": pa.array(summary.hashes.view(np.int64)), "n": pa.array(summary.n),
+                                          "length": pa.array(known.lengths, pa.int32())})
+
+    top = (df.select("text").mapInArrow(count, "hash long, n long, length int")
+           .groupBy("hash").agg(F.sum("n").alias("n"), F.first("length").alias("length"))
+           .orderBy(F.desc("n"), "hash").limit(table_size))
+    rows = top.select("hash", "length").collect()  # at most table_size pairs
+    table = Table(False)
+    if rows:
+        hashes = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
         order = np.argsort(hashes)
-        table.add(hashes[order], lengths[order], np.zeros(0, np.uint32))
+        table.add(hashes[order], np.array([r["length"] for r in rows], np.int32)[order], np.zeros(0, np.uint32))
     return table
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048,
-                 table_size: int = 65_536, table_docs: int = 8_192, cache_size: int = 1_000_000) -> DataFrame:
+                 table_size: int = 65_536, summary_size: int = 16_384, cache_size: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of every text."""
     docs = id_text(df, id_col, text_col)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, table_size, table_docs))
+    tier1 = frequent_lengths(docs, path, table_size, summary_size, cache_size)
+    frequent = docs.sparkSession.sparkContext.broadcast(tier1)
 
     def count(batches):
         encoder = worker_encoder(path, False, cache_size, frequent.value)

@@ -70,3 +70,32 @@ def test_reading_refuses_files_that_do_not_match(spark, odd):
         f.write(b"\0" * 8)
     with pytest.raises(Exception, match="manifest"):
         TF.read_token_files(spark, out).collect()
+
+
+def test_summary_keeps_what_is_frequent():
+    draw = np.random.default_rng(5)
+    summary, true, seen = T.Summary(50), np.zeros(5000, np.int64), 0
+    for _ in range(40):
+        some, n = np.unique(np.minimum(draw.zipf(1.3, 2000), 4999), return_counts=True)
+        true[some] += n
+        seen += n.sum()
+        summary.add(some.astype(np.uint64), n)
+        assert len(summary.hashes) <= 50
+    have = dict(zip(summary.hashes.tolist(), summary.n.tolist()))
+    for i, n in enumerate(true):
+        assert n - seen / 51 <= have.get(i, 0) <= n
+
+
+def test_frequent_table_counts_all_texts(spark):
+    long = "x" * 300
+    rows = [(i, f"common words {i}" if i < 400 else f"{long} {long} {long}") for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    points = np.frombuffer(f"common{long}".encode("utf-32-le"), "<u4")
+    wanted = T.span_hashes(points, np.array([0, 6]), np.array([6, 306]))
+    for parts in (1, 7):
+        table = T.frequent_lengths(docs.repartition(parts), PATH, table_size=10)
+        assert len(table.hashes) == 10
+        assert table.lengths[table.find(wanted)].tolist() == [len(reference("common")), len(reference(long))]
+    # tables too small for the vocabulary never change a count
+    got = T.token_counts(docs.repartition(3), PATH, table_size=5, summary_size=3, cache_size=4)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(reference(t)) for i, t in rows}
