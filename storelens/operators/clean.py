@@ -106,12 +106,13 @@ def iqr_filter(df: DataFrame, columns: Sequence[str], lo: float = 0.25, hi: floa
 def stable_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Deterministic sample of up to ``n`` rows.
 
-    Rows are ranked by a seeded hash of the key; the top-n is a bounded
+    Rows are ranked by the MD5 digest of seed and key; the top-n is a bounded
     TakeOrderedAndProject (each partition keeps n, then one merge of n rows
-    per partition).  It cannot reproduce pandas' random draw.
+    per partition).  Rows with a null key come last.  It cannot reproduce pandas'
+    random draw.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    return df.orderBy(h, F.col(key)).limit(n)
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(h.asc_nulls_last(), F.col(key)).limit(n)
 
 
 # The reference's fills for the retail and store tables.

@@ -253,7 +253,7 @@ def mean_ci(df: DataFrame, group: str, value: str, n_boot: int = 0, key: str | C
 def dataset_profile(df: DataFrame, price: str, country: str | None = None, text: str | None = None,
                     sample: int = 5, seed: int = 42) -> dict[str, DataFrame]:
     """Global scalars of a table (A33): rows, columns, price count/min/max/mean/median,
-    country counts, and a stable sample of texts."""
+    country counts, and a stable sample of different texts."""
     med = exact_quantiles(df, price, [0.5], names=["median"]).drop("n")
     stats = df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"),
                    F.count(price).alias("count"), F.min(price).alias("min"),
@@ -264,7 +264,7 @@ def dataset_profile(df: DataFrame, price: str, country: str | None = None, text:
     if text:
         from storelens.operators.clean import stable_sample
 
-        out["sample"] = stable_sample(df.select(text), text, sample, seed)
+        out["sample"] = stable_sample(df.select(text).where(F.col(text).isNotNull()).distinct(), text, sample, seed)
     return out
 
 

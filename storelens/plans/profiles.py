@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import exact_mean, py_round
@@ -11,7 +13,8 @@ from storelens.operators import profile as PR
 from storelens.operators import rfm as R
 from storelens.plans.catalog import register
 from storelens.plans.retail import CLEAN_SQL, clean_lines, rfm_sql
-from storelens.sources.fixtures import VIEWS
+from storelens.sources.fixtures import VIEWS, table
+from storelens.sources.io import SYNTH_GROUPS, draw_rfm
 
 RL_COLS = ["invoice", "stock_code", "description", "quantity", "invoice_date", "price",
            "amount", "customer_id", "country"]
@@ -228,6 +231,80 @@ def q_dataset_profile(spark, sf_dir):
                      py_round("mean", 6).alias("mean"), "median")
 
 
+@register("dataset_profile_lines", """
+WITH st AS (SELECT count(*) AS rows, 9 AS columns, count(price) AS count, min(price) AS min, max(price) AS max,
+                   round(avg(price), 6) AS mean, quantile_cont(price, 0.5) AS median FROM retail_lines_dup),
+tx AS (SELECT DISTINCT description AS name FROM retail_lines_dup WHERE description IS NOT NULL)
+SELECT 'stats' AS part, unnest(['rows', 'columns', 'count', 'min', 'max', 'mean', 'median']) AS name,
+       unnest([CAST(rows AS DOUBLE), CAST(columns AS DOUBLE), CAST(count AS DOUBLE), min, max, mean, median]) AS value FROM st
+UNION ALL SELECT 'country', country, CAST(count(*) AS DOUBLE) FROM retail_lines_dup GROUP BY country
+UNION ALL SELECT * FROM (SELECT 'sample', name, CAST(NULL AS DOUBLE) FROM tx ORDER BY md5('42:' || name), name LIMIT 5)
+""", views=("retail_lines_dup",))
+def q_dataset_profile_lines(spark, sf_dir):
+    """A33 + P22: the invoice lines' whole profile - price scalars, lines per country and
+    five sampled descriptions."""
+    lines = VIEWS["retail_lines_dup"](spark, sf_dir)
+    got = PR.dataset_profile(lines, "price", "country", "description")
+    names = ["rows", "columns", "count", "min", "max", "mean", "median"]
+    st = got["stats"].withColumn("mean", py_round("mean", 6)).select(*[F.col(c).cast("double").alias(c) for c in names])
+    stats = st.unpivot([], names, "name", "value").select(F.lit("stats").alias("part"), "name", "value")
+    country = got["countries"].select(F.lit("country"), F.col("country"), F.col("count").cast("double"))
+    sample = got["sample"].select(F.lit("sample"), F.col("description"), F.lit(None).cast("double"))
+    return stats.union(country).union(sample)
+
+
+@register("sampled_lines", """
+WITH k AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_extendedprice FROM lineitem)
+SELECT k, l_extendedprice FROM k ORDER BY md5('42:' || CAST(k AS VARCHAR)), k LIMIT 10000
+""")
+def q_sampled_lines(spark, sf_dir):
+    """The reference's sample of up to 10,000 rows (the limit is the feature)."""
+    k = (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber").cast("long")).alias("k")
+    return C.stable_sample(table(spark, sf_dir, "lineitem").select(k, "l_extendedprice"), "k", 10_000, 42)
+
+
+def _draw_sql(name: str, metric: int) -> str:
+    u1, u2 = [f"((CAST('0x' || substr(md5('42:' || CAST(k AS VARCHAR) || ':{name}:{i}'), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496.0e0)"
+              for i in (1, 2)]
+    z = f"(sqrt(-2.0e0 * ln({u1})) * cos({2 * math.pi!r} * {u2}))"
+    cases = " ".join(f"WHEN {i} THEN least({hi}.0e0, greatest({lo}.0e0, {mean}.0e0 + {sd}.0e0 * {z}))"
+                     for i, (mean, sd, lo, hi) in enumerate(g[2 + metric] for g in SYNTH_GROUPS))
+    return f"round(CASE g {cases} END, 6) AS {name}"
+
+
+def _synth_sql() -> str:
+    sizes = [f"CAST(floor(n * {g[1]!r}e0) AS BIGINT)" for g in SYNTH_GROUPS[:-1]]
+    ends = " ".join(f"WHEN k < {' + '.join(sizes[:i + 1])} THEN {i}" for i in range(len(sizes)))
+    labels = " ".join(f"WHEN {i} THEN '{g[0]}'" for i, g in enumerate(SYNTH_GROUPS))
+    draws = ", ".join(_draw_sql(c, i) for i, c in enumerate(RFM_COLS))
+    return f"""
+WITH t AS (SELECT c_custkey, CAST(c_custkey - 1 AS BIGINT) AS k, (SELECT count(*) FROM customer) AS n FROM customer),
+r AS (SELECT *, CASE {ends} ELSE {len(SYNTH_GROUPS) - 1} END AS g FROM t)
+SELECT c_custkey, {draws}, CASE g {labels} END AS true_group FROM r
+"""
+
+
+@register("synth_rfm_customers", _synth_sql())
+def q_synth(spark, sf_dir):
+    """A synthetic twin of every customer, drawn by a hash of (seed, row, column)."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") - 1).cast("long").alias("k"))
+    drawn = draw_rfm(customers, "k", customers.count(), 42)
+    return drawn.select("c_custkey", *[py_round(c, 6).alias(c) for c in RFM_COLS], "true_group")
+
+
+@register("typed_labelled_lines", """
+SELECT l_orderkey, l_linenumber, TRY_CAST(l_quantity AS INTEGER) AS l_quantity, CAST(l_shipdate AS VARCHAR)[1:7] AS ship_month,
+       CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE 'open' END AS flag_name
+FROM (SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS l_shipdate, l_returnflag FROM lineitem)
+""")
+def q_typed_labelled(spark, sf_dir):
+    """P8 + P18: types of every line normalised, codes mapped to names."""
+    lines = C.cast_columns(table(spark, sf_dir, "lineitem"), {"l_quantity": "int", "l_shipdate": "date"})
+    named = C.map_labels(lines, "l_returnflag", {"R": "returned", "A": "accepted"}, "flag_name", "open")
+    return named.select("l_orderkey", "l_linenumber", "l_quantity",
+                        F.date_format("l_shipdate", "yyyy-MM").alias("ship_month"), "flag_name")
+
+
 @register("iqr_filter_sales", """
 WITH b AS (SELECT quantile_cont(sales, 0.25) AS q1, quantile_cont(sales, 0.75) AS q3 FROM store_sales)
 SELECT x.* FROM store_sales x CROSS JOIN b

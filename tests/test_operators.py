@@ -154,6 +154,31 @@ def test_synth_rfm_groups_and_determinism(spark):
     assert a.select("customer_id").first()[0] == "CUST00001"
 
 
+def test_synth_rfm_depends_on_the_row_alone(spark):
+    from storelens.sources.io import draw_rfm
+
+    whole = {tuple(r) for r in synth_rfm(spark, 2000, 7, 3).collect()}
+    assert whole == {tuple(r) for r in synth_rfm(spark, 2000, 7, 16).collect()}
+    assert whole != {tuple(r) for r in synth_rfm(spark, 2000, 8, 3).collect()}
+    some = draw_rfm(spark.range(100, 110).unionAll(spark.range(105, 106)), "id", 2000, 7)
+    assert {(r.recency, r.monetary) for r in some.collect()} <= {(r[1], r[3]) for r in whole}
+    null = draw_rfm(spark.createDataFrame([(None,)], "id long"), "id", 10).first()
+    assert tuple(null) == (None,) * 5
+    new = np.array([r[3] for r in synth_rfm(spark, 20000, 7).where("true_group = 'new'").collect()])
+    # a normal of mean 80 and deviation 20 cut at 50 and 150
+    assert abs(new.mean() - 80.6) < 1.0 and 17.5 < new.std() < 20.0
+
+
+def test_dataset_profile_samples_different_texts(spark):
+    rows = [(1.0, "FR", "same")] * 50 + [(2.0, "DE", f"text {i}") for i in range(3)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "price double, country string, text string")
+    got = PR.dataset_profile(df, "price", "country", "text")
+    assert sorted(r[0] for r in got["sample"].collect()) == ["same", "text 0", "text 1", "text 2"]
+    assert got["stats"].first()["count"] == 53
+    empty = PR.dataset_profile(df.limit(0), "price", "country", "text")
+    assert empty["sample"].count() == 0 and empty["countries"].count() == 0
+
+
 def test_stable_sample(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     a = [r[0] for r in C.stable_sample(df, "k", 50, 7).collect()]
