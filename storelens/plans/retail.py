@@ -220,18 +220,19 @@ def q_retention(spark, sf_dir):
     return CO.retention_curve(CO.cohorts(clean_lines(spark, sf_dir)))
 
 
-WIDE_MONTHS = 12
+# Fixed value: the orders span seven years, so a cohort has at most 84 months.
+WIDE_MONTHS = range(84)
 
 
 @register("retention_wide", _with_clean(
-    COHORT_SQL + "SELECT cohort_month, " + ", ".join(
-        f'max(CASE WHEN cohort_index = {i} THEN retention_pct END) AS m{i}' for i in range(WIDE_MONTHS + 1))
+    COHORT_SQL + "SELECT cohort_month, "
+    + ", ".join(f"max(CASE WHEN cohort_index = {i} THEN retention_pct END) AS m{i}" for i in WIDE_MONTHS)
     + " FROM ct GROUP BY 1"), views=("retail_lines_dup",))
 def q_retention_wide(spark, sf_dir):
-    """The heat map's matrix, a row for each cohort and a column for each of the first months."""
-    months = list(range(WIDE_MONTHS + 1))
-    wide = CO.to_wide(CO.cohorts(clean_lines(spark, sf_dir)), "cohort_month", "cohort_index", "retention_pct", months)
-    return wide.select("cohort_month", *[F.col(str(i)).alias(f"m{i}") for i in months])
+    """The heat map's matrix, a row for each cohort and a column for each month of its age."""
+    wide = CO.to_wide(CO.cohorts(clean_lines(spark, sf_dir)), "cohort_month", "cohort_index", "retention_pct",
+                      list(WIDE_MONTHS))
+    return wide.select("cohort_month", *[F.col(str(i)).alias(f"m{i}") for i in WIDE_MONTHS])
 
 
 @register("clv_curve", _with_clean(
