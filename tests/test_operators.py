@@ -204,6 +204,22 @@ def test_kmeans_many_recovers_blobs(spark):
     assert best[2].inertia > best[3].inertia
 
 
+def test_kmeans_many_does_not_depend_on_partitions(spark):
+    x = np.random.default_rng(4).normal(0, 1, (400, 2)).round(2)
+    rows = [(float(a), float(b)) for a, b in x] + [(0.25, -0.5)] * 300 + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    fits = [kmeans_many(d, ["a", "b"], [2, 4], 3, 42) for d in (df.repartition(1), df.repartition(6), df.orderBy("b"))]
+    for other in fits[1:]:
+        for one, two in zip(fits[0], other):
+            assert one.inertia == two.inertia and one.n_iter == two.n_iter and (one.centers == two.centers).all()
+    hot = np.array([r for r in rows if r[0] is not None])
+    for fit in fits[0]:
+        near = ((hot[:, None, :] - fit.centers[None]) ** 2).sum(-1)
+        assert math.isclose(near.min(1).sum(), fit.inertia, rel_tol=1e-9)
+        for c in range(fit.k):  # each centre is the mean of its rows, copies counted
+            assert np.allclose(hot[near.argmin(1) == c].mean(0), fit.centers[c], atol=0.05)
+
+
 def test_choose_k_formula(spark):
     sweep = spark.createDataFrame([(2, 100.0, 0.5), (3, 40.0, 0.6), (4, 35.0, 0.55), (5, 33.0, 0.4)],
                                   "k int, inertia double, silhouette double")
