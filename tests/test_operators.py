@@ -632,3 +632,27 @@ def test_bunches_of_cells_hold_about_a_block(spark):
     assert set(got) == set(sizes) and max(rows.values()) <= 2048
     assert len(rows) <= 2 * sum(sizes.values()) / 2048 + 1
     assert bunches(pivots, {}, 2048) == {} and bunches(pivots, {7: 9000, 8: 1}, 2048) == {7: 0, 8: 1}
+
+
+def test_blocks_of_a_pair_plan_grow_with_the_rows(spark):
+    import pyarrow as pa
+
+    rows = spark.range(400).selectExpr("id AS _id", "array(id * 1.0D, 0.0D) AS _v")
+
+    def fn(lp, rp):
+        return pa.table({"_id": lp["_id"], "n": np.full(len(lp), float(len(rp)))})
+
+    few = NB.block_pairs(rows.limit(9), rows.limit(9), fn, NB.sum_schema(["n"]), ["_v"], 2, 9, 9, 2)  # some blocks empty
+    assert {r.n for r in few.groupBy("_id").agg(F.sum("n").alias("n")).collect()} == {9.0}
+    met = NB.block_pairs(rows, rows, fn, NB.sum_schema(["n"]), ["_v"], 4, 400, 400, 2).groupBy("_id").agg(
+        F.count("*").alias("copies"), F.sum("n").alias("n")).collect()
+    assert len(met) == 400 and all(r.n == 400 and r.copies <= NB.SHARES for r in met)  # before: 100 copies
+    assert 615_000 / NB.block_size(615_000, 64) <= NB.SHARES and NB.block_size(10 ** 9, 64) * 64 <= NB.BLOCK_NUMBERS
+
+
+def test_label_sums_match_brute_force():
+    rng = np.random.default_rng(1)
+    a, b, w, g = rng.normal(size=(300, 3)), rng.normal(size=(2500, 3)), rng.integers(1, 4, 2500) * 1.0, rng.integers(0, 5, 2500)
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    want = np.stack([(d * np.where(g == k, w, 0)).sum(1) for k in range(5)], 1)
+    assert np.allclose(NB.label_sums(a, b, w, g, 5), want, rtol=1e-9)
