@@ -656,3 +656,24 @@ def test_label_sums_match_brute_force():
     d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
     want = np.stack([(d * np.where(g == k, w, 0)).sum(1) for k in range(5)], 1)
     assert np.allclose(NB.label_sums(a, b, w, g, 5), want, rtol=1e-9)
+
+
+def test_neighbour_blocks_grow_with_the_rows(spark, monkeypatch):
+    """Copies, repeated ids and many blocks: the nearest as by brute force, from at most SHARES bunches."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(500, 6)), np.repeat(rng.normal(size=(3, 6)), 40, 0)])
+    ids = np.concatenate([np.arange(len(x)), [3, 3, 519, 519, 519]])
+    x = x[ids]
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "id long, features array<double>")
+    sizes = []
+    plain = NB.bunches
+    monkeypatch.setattr(NB, "bunches", lambda p, s, r: sizes.append((sum(s.values()), r)) or plain(p, s, r))
+    got = NB.knn_join(df, df, 4, exclude_self=True, block_rows=8, pivot_rows=10).distinct().collect()
+    assert sizes[0][0] / sizes[0][1] <= NB.SHARES  # before: bunches of block_rows
+    d = _norms(x, x)
+    for q in set(ids.tolist()):
+        order = sorted((v, int(i)) for v, i in zip(d[int(np.flatnonzero(ids == q)[0])], ids) if i != q)
+        mine = sorted((r.rank, r.distance, r.neighbor_id) for r in got if r.query_id == q)
+        assert np.allclose(sorted({r[1] for r in mine}), sorted({m for m in (o[0] for o in order) if m <= mine[-1][1] + 1e-12}), atol=1e-9)
+        if q >= 500 and q not in (519,):
+            assert all(r[1] == 0 for r in mine)
