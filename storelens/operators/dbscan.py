@@ -1,11 +1,13 @@
 """DBSCAN on the spatial hash grid.
 
 1. core vectors: at least ``min_samples`` points (self included) within eps,
-   equal vectors counted by weight (:func:`grid.vector_counts`);
+   equal vectors counted by weight (:func:`grid.vector_counts`); those of a patch (see
+   below) with as many points need no count;
 2. core vectors of one patch - a cell whose diagonal is below eps - are linked
    by themselves, so they are one node; two patches are linked if any of their
    core vectors are within eps.  A patch has a bounded number of patches within
-   reach, so links grow with the patches and not with the pairs;
+   reach, so links grow with the patches and not with the pairs; a block of cells
+   looks for one close pair of two patches that its links don't connect yet;
 3. components of the links (:mod:`components`: logarithmic rounds until nothing
    changes, a reliable checkpoint after each);
 4. border points take the smallest component label among their core
@@ -16,6 +18,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +27,9 @@ from storelens.functions.ordering import numbered
 from storelens.functions.quantile import exact_quantiles
 from storelens.functions.sizing import cut_lineage
 from storelens.operators.components import connected_components
-from storelens.operators.grid import CELL_ROWS, Grid, near_pairs, vector_counts, weighted_vectors
-from storelens.operators.neighbors import kdist
+from storelens.operators.grid import (ALWAYS, CELL_ROWS, NEVER, Boxes, Grid, near_blocks, patches, vector_counts,
+                                      weighted_vectors, within)
+from storelens.operators.neighbors import TILE, kdist, vectors as matrix
 
 
 def suggest_eps(points: DataFrame, id_col: str = "id", vec: str = "features", k: int | None = None,
@@ -36,23 +41,101 @@ def suggest_eps(points: DataFrame, id_col: str = "id", vec: str = "features", k:
     return float(q["q"]) * scale + adjust
 
 
+def _any_within(x: np.ndarray, y: np.ndarray, eps: float) -> bool:
+    """Whether any pair lies within ``eps``; rows nearest to the other side's box first."""
+    a, b = Boxes(x, np.zeros(len(x), int)), Boxes(y, np.zeros(len(y), int))
+    sides = []
+    for v, box in ((x, b), (y, a)):
+        gap = np.sqrt((np.maximum(np.maximum(box.low - v, v - box.high), 0.0) ** 2).sum(1))
+        order = np.argsort(gap, kind="stable")
+        sides.append(v[order[gap[order] <= eps * NEVER]])
+    x, y = sides
+    return any(within(x[i:i + TILE[0]], y[j:j + TILE[1]], eps).any()
+               for i in range(0, len(x), TILE[0]) for j in range(0, len(y), TILE[1]))
+
+
+def _links(core: DataFrame, grid: Grid, eps: float, block_rows: int) -> DataFrame:
+    """a < b: nodes with core vectors within ``eps`` of each other, enough of them to
+    connect all that are."""
+    def link(home: pa.Table, away: pa.Table) -> pa.Table:
+        h = Boxes(matrix(home, "v"), home["node"].to_numpy())
+        a = Boxes(matrix(away, "u"), away["other"].to_numpy())
+        root: dict[int, int] = {}
+
+        def find(n: int) -> int:
+            while root.get(n, n) != n:
+                n = root[n]
+            return n
+
+        near = []
+        for i, n in enumerate(h.names):
+            gap = a.gaps(h.low[i], h.high[i])
+            near += [(gap[j], i, j) for j in np.flatnonzero((gap <= eps * NEVER) & (a.names > n))]
+        found = []
+        for _, i, j in sorted(near):
+            n, m = int(h.names[i]), int(a.names[j])
+            if find(n) != find(m) and _any_within(h.v[h.starts[i]:h.ends[i]], a.v[a.starts[j]:a.ends[j]], eps):
+                root[find(m)] = find(n)
+                found.append((n, m))
+        return pa.table({"a": pa.array([n for n, _ in found], pa.int64()), "b": pa.array([m for _, m in found], pa.int64())})
+
+    other = core.select(F.col("v").alias("u"), F.col("node").alias("other"))
+    return near_blocks(core.select("v", "node"), other, grid, link, "a long, b long", block_rows).distinct()
+
+
+def _borders(rest: DataFrame, core: DataFrame, grid: Grid, eps: float, block_rows: int) -> DataFrame:
+    """key, v and the smallest root within ``eps`` of the vectors of ``rest`` that have one."""
+    side = grid.patch_side(eps)
+
+    def border(home: pa.Table, away: pa.Table) -> pa.Table:
+        x, y, root = matrix(home, "v"), matrix(away, "u"), away["root"].to_numpy()
+        patch = patches(y, side)
+        _, first = np.unique(np.stack([root, patch], 1), axis=0, return_inverse=True)  # by root
+        h, a = Boxes(x, patches(x, side)), Boxes(y, first.ravel())
+        roots = root[a.order][a.starts]
+        label = np.full(len(x), -1, np.int64)
+        has = np.zeros(len(x), bool)
+        for low, high, start, end in zip(h.low, h.high, h.starts, h.ends):
+            spans, gaps = a.spans(low, high), a.gaps(low, high)
+            open_ = np.arange(start, end)
+            for g in np.flatnonzero(gaps <= eps * NEVER):
+                if not len(open_):
+                    break
+                near = np.zeros(len(open_), bool)
+                if spans[g] <= eps * ALWAYS:
+                    near[:] = True
+                for i in range(0, len(open_) if not near.any() else 0, TILE[0]):
+                    for j in range(a.starts[g], a.ends[g], TILE[1]):
+                        near[i:i + TILE[0]] |= within(h.v[open_[i:i + TILE[0]]], a.v[j:min(j + TILE[1], a.ends[g])], eps).any(1)
+                label[open_[near]], has[open_[near]] = roots[g], True
+                open_ = open_[~near]
+        rows = pa.array(h.order[has])
+        return pa.table({"key": home["key"].take(rows), "v": home["v"].take(rows), "root": label[has]})
+
+    found = near_blocks(rest.select("key", "v"), core.select(F.col("v").alias("u"), "root"), grid, border,
+                        "key long, v array<double>, root long", block_rows)
+    return found.groupBy("key", "v").agg(F.min("root").alias("root"))
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id", vec: str = "features",
            block_rows: int = CELL_ROWS, out: str = "dbscan_cluster") -> DataFrame:
     """(id, cluster) with -1 for noise."""
     vectors = weighted_vectors(points, id_col, vec)
+    eps = float(eps)
     grid = Grid.of(vectors, eps)
-    counted = cut_lineage(vector_counts(vectors, grid, eps, block_rows).select(
-        "key", "v", (F.col("n_within") >= min_samples).alias("core")))
     patch = grid.patch(F.col("v"), eps)
-    core = counted.where("core").select("key", "v", (F.col("v") if patch is None else patch).alias("patch"))
+    named = vectors.withColumn("patch", F.col("v") if patch is None else patch)
+    full = named.groupBy("patch").agg((F.sum("w") >= min_samples).alias("full"))
+    named = cut_lineage(named.join(full, "patch").select("key", "v", "w", "patch", "full"))
+    counts = vector_counts(vectors, grid, eps, block_rows, named.where("not full"))
+    counted = cut_lineage(named.where("full").select("key", "v", "patch", F.lit(True).alias("core")).unionByName(
+        counts.select("key", "v", "patch", (F.col("n_within") >= min_samples).alias("core"))))
+    core = counted.where("core").select("key", "v", "patch")
     core = cut_lineage(core.join(core.groupBy("patch").agg(F.min("key").alias("node")), "patch").select("key", "v", "node"))
-    other = core.select(F.col("v").alias("u"), F.col("node").alias("other"))
-    links = near_pairs(core.select("v", "node"), other, grid, eps, cell_rows=block_rows).where("node < other").select(
-        F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    links = _links(core, grid, eps, block_rows)
     roots = connected_components(cut_lineage(links))
     core = cut_lineage(core.join(roots, "node", "left").select("key", "v", F.coalesce("root", "node").alias("root")))
-    border = near_pairs(counted.where("not core").select("key", "v"), core.select(F.col("v").alias("u"), "root"), grid,
-                        eps, cell_rows=block_rows).groupBy("key", "v").agg(F.min("root").alias("root"))
+    border = _borders(counted.where("not core"), core, grid, eps, block_rows)
     order = numbered(core.select("root").distinct(), ["root"], out="_cluster")
     labelled = core.unionByName(border).join(order, "root").select("v", (F.col("_cluster") - 1).alias("_cluster"))
     own = points.select(F.col(id_col), F.col(vec).cast("array<double>").alias("v"))
