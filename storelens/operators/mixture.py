@@ -48,31 +48,62 @@ class Mixture:
 
 def log_densities(x: np.ndarray, m: Mixture) -> np.ndarray:
     """log(weight) + log N(x | mean, covariance) of every row and component."""
-    n, d = x.shape
-    out = np.empty((n, len(m.means)))
+    return _log_densities(np.ascontiguousarray(x.T), m).T
+
+
+def _log_densities(xt: np.ndarray, m: Mixture) -> np.ndarray:
+    """:func:`log_densities` of the rows' columns, a component a row."""
+    d, n = xt.shape
+    out = np.empty((len(m.means), n))
     for j, mean in enumerate(m.means):
-        diff = x - mean
+        diff = xt - mean[:, None]
         if m.covariance in ("full", "tied"):
             sigma = m.spread if m.covariance == "tied" else m.spread[j]
             root = np.linalg.cholesky(sigma)
-            q = (np.linalg.solve(root, diff.T) ** 2).sum(0)
+            for a in range(d):  # forward substitution, column by column
+                for b in range(a):
+                    diff[a] -= root[a, b] * diff[b]
+                diff[a] /= root[a, a]
             logdet = 2.0 * np.log(np.diag(root)).sum()
-        elif m.covariance == "diag":
-            q, logdet = (diff * diff / m.spread[j]).sum(1), np.log(m.spread[j]).sum()
         else:
-            q, logdet = (diff * diff).sum(1) / m.spread[j], d * math.log(m.spread[j])
-        out[:, j] = math.log(m.weights[j]) - 0.5 * (d * math.log(2 * math.pi) + logdet + q)
+            spread = m.spread[j] if m.covariance == "diag" else np.full(d, m.spread[j])
+            diff /= np.sqrt(spread)[:, None]
+            logdet = np.log(spread).sum()
+        diff *= diff
+        out[j] = diff.sum(0)
+        out[j] *= -0.5
+        out[j] += math.log(m.weights[j]) - 0.5 * (d * math.log(2 * math.pi) + logdet)
     return out
 
 
+#: Rows whose columns and shares stay in a core's cache.
+SLICE = 4096
+
+
 def statistics(x: np.ndarray, m: Mixture) -> np.ndarray:
     """Log-likelihood, then per component weight, sums and sums of products."""
-    logs = log_densities(x, m)
-    top = logs.max(1, keepdims=True)
-    total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-    share = np.exp(logs - total[:, None])
-    return np.concatenate([[total.sum()], share.sum(0), (share.T @ x).ravel(),
-                           np.einsum("ij,ia,ib->jab", share, x, x).ravel()])
+    return all_statistics(x, [m])[0]
+
+
+def all_statistics(x: np.ndarray, models: Sequence[Mixture]) -> list[np.ndarray]:
+    """:func:`statistics` of every model; the rows' products are taken once for all."""
+    found = [0.0] * len(models)
+    for at in range(0, len(x), SLICE):
+        part = x[at:at + SLICE]
+        n, d = part.shape
+        xt = np.ascontiguousarray(part.T)
+        moments = np.concatenate([np.ones((n, 1)), part, (part[:, :, None] * part[:, None, :]).reshape(n, d * d)], axis=1)
+        for i, m in enumerate(models):
+            share = _log_densities(xt, m)
+            top = share.max(0)
+            share -= top
+            np.exp(share, out=share)
+            total = share.sum(0)
+            share /= total
+            sums = share @ moments  # weight, sums and products of each component
+            found[i] = found[i] + np.concatenate([[(top + np.log(total)).sum()], sums[:, 0], sums[:, 1:1 + d].ravel(),
+                                                  sums[:, 1 + d:].ravel()])
+    return found
 
 
 def updated(m: Mixture, s: np.ndarray, n: int, tol: float) -> Mixture:
@@ -136,7 +167,7 @@ def _sums(chunks: DataFrame, d: int, models: list[Mixture]) -> list[np.ndarray]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 x = np.frombuffer(raw, float).reshape(-1, d)
-                own = [[int(math.ldexp(v, _SCALE)) for v in statistics(x, m)] for m in shared.value]
+                own = [[int(math.ldexp(v, _SCALE)) for v in s] for s in all_statistics(x, shared.value)]
                 total = own if total is None else [[a + b for a, b in zip(t, o)] for t, o in zip(total, own)]
         if total is not None:
             yield pa.RecordBatch.from_pydict({"sums": pa.array([[str(v) for row in total for v in row]], pa.list_(pa.string()))})
