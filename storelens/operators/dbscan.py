@@ -27,8 +27,8 @@ from storelens.functions.ordering import numbered
 from storelens.functions.quantile import exact_quantiles
 from storelens.functions.sizing import cut_lineage
 from storelens.operators.components import connected_components
-from storelens.operators.grid import (ALWAYS, CELL_ROWS, NEVER, Boxes, Grid, near_blocks, patches, vector_counts,
-                                      weighted_vectors, within)
+from storelens.operators.grid import (ALWAYS, CELL_ROWS, NEVER, Boxes, Grid, complete, near_blocks, patches,
+                                      vector_counts, weighted_vectors, within)
 from storelens.operators.neighbors import TILE, kdist, vectors as matrix
 
 
@@ -124,7 +124,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, id_col: str = "id",
     eps = float(eps)
     grid = Grid.of(vectors, eps)
     patch = grid.patch(F.col("v"), eps)
-    named = vectors.withColumn("patch", F.col("v") if patch is None else patch)
+    named = vectors.where(complete("v")).withColumn("patch", F.col("v") if patch is None else patch)
     full = named.groupBy("patch").agg((F.sum("w") >= min_samples).alias("full"))
     named = cut_lineage(named.join(full, "patch").select("key", "v", "w", "patch", "full"))
     counts = vector_counts(vectors, grid, eps, block_rows, named.where("not full"))

@@ -41,6 +41,11 @@ def weighted_vectors(points: DataFrame, id_col: str = "id", vec: str = "features
         F.min(F.col(id_col).cast("long")).alias("key"), F.count("*").alias("w")).select("key", "v", "w"))
 
 
+def complete(v: str) -> Column:
+    """Whether a vector is there with all its coordinates; others lie near nothing."""
+    return F.col(v).isNotNull() & ~F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(True))
+
+
 @dataclass
 class Grid:
     """Dimension, the grid's coordinates, its side and the largest coordinate."""
@@ -122,6 +127,7 @@ def near_blocks(left: DataFrame, right: DataFrame, grid: Grid, fn: Callable[[pa.
     results are the caller's to add up."""
     from storelens.operators.neighbors import BLOCK_NUMBERS, block_size
 
+    left, right = left.where(complete("v")), right.where(complete("u"))
     home = left.withColumn("_cell", grid.cell(F.col("v")))
     away = right.withColumn("_cell", grid.cell(F.col("u")))
     step = F.explode(F.array(*[F.array(*[F.col("_cell")[i] + x for i, x in enumerate(by)])

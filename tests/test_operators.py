@@ -677,3 +677,26 @@ def test_neighbour_blocks_grow_with_the_rows(spark, monkeypatch):
         assert np.allclose(sorted({r[1] for r in mine}), sorted({m for m in (o[0] for o in order) if m <= mine[-1][1] + 1e-12}), atol=1e-9)
         if q >= 500 and q not in (519,):
             assert all(r[1] == 0 for r in mine)
+
+
+def test_crowded_cells_make_few_blocks_and_no_pairs(spark, monkeypatch):
+    """Counts, links and borders of a crowd come from blocks, not from row pairs; vectors
+    that miss a coordinate lie near nothing."""
+    from storelens.operators import dbscan as D
+    from storelens.operators import grid as G
+
+    def pairs(*_a, **_k):
+        raise AssertionError("row pairs")  # before: near_pairs
+
+    monkeypatch.setattr(G, "near_pairs", pairs)
+    monkeypatch.setattr(D, "near_pairs", pairs, raising=False)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 2)) * 0.4, rng.normal(size=(60, 2)) * 0.4 + [6, 0], rng.uniform(-9, 9, (25, 2))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows + [(1000, [None, 1.0]), (1001, [0.0, None])], "id long, features array<double>")
+    want = (_norms(x, x) <= 0.9).sum(1)
+    assert {r.id: r.n_within for r in G.eps_counts(df, 0.9, block_rows=8).collect()} == dict(enumerate(want.tolist()))
+    for min_samples in (3, 40):
+        exp = _dbscan_brute(x, 0.9, min_samples).tolist()
+        got = {r["id"]: r["dbscan_cluster"] for r in D.dbscan(df, 0.9, min_samples, block_rows=8).collect()}
+        assert [got[i] for i in range(len(x))] == exp and got[1000] == got[1001] == -1
