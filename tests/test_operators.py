@@ -700,3 +700,22 @@ def test_crowded_cells_make_few_blocks_and_no_pairs(spark, monkeypatch):
         exp = _dbscan_brute(x, 0.9, min_samples).tolist()
         got = {r["id"]: r["dbscan_cluster"] for r in D.dbscan(df, 0.9, min_samples, block_rows=8).collect()}
         assert [got[i] for i in range(len(x))] == exp and got[1000] == got[1001] == -1
+
+
+def test_statistics_of_all_models_match_their_formula():
+    from storelens.operators import mixture as M
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5000, 3)) * [1, 2, 0.5] + [3, 0, -1]  # more rows than a slice
+    cov = np.cov(x.T)
+    spread = {"full": np.stack([cov, 2 * cov]), "tied": cov, "diag": np.stack([np.diag(cov)] * 2), "spherical": np.array([1.0, 3.0])}
+    models = [M.Mixture(c, 0, np.array([0.3, 0.7]), x[:2], s) for c, s in spread.items()]
+    for m, got in zip(models, M.all_statistics(x, models)):
+        full = {"full": lambda j: m.spread[j], "tied": lambda j: m.spread, "diag": lambda j: np.diag(m.spread[j]),
+                "spherical": lambda j: m.spread[j] * np.eye(3)}[m.covariance]
+        p = np.stack([m.weights[j] * np.exp(-0.5 * np.einsum("ia,ab,ib->i", x - m.means[j], np.linalg.inv(full(j)), x - m.means[j]))
+                      / np.sqrt((2 * np.pi) ** 3 * np.linalg.det(full(j))) for j in range(2)], 1)
+        share = p / p.sum(1, keepdims=True)
+        want = np.concatenate([[np.log(p.sum(1)).sum()], share.sum(0), (share.T @ x).ravel(),
+                               np.einsum("ij,ia,ib->jab", share, x, x).ravel()])
+        assert np.allclose(got, want, rtol=1e-9) and np.allclose(M.statistics(x, m), got, rtol=1e-12)
