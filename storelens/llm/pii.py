@@ -14,13 +14,12 @@ candidate that meets its base rule by itself, as one of two card numbers that a
 space joins to one match of the pattern, needs no score.
 
 The trees never see what decides the base rules (checksum, octet values, the
-plus sign), and no label is a rule over what they see.  They are fitted on at most
-``sample_rows`` distinct spans of each label's draw, by a hash of their kind and
-text.  Positives are the corpus's own base spans rewritten in the looser forms
-(spelt-out at and dot, other separators, no plus sign, 13 digits) where they stand.
-Negatives are the same forms at a place of the text that a hash draws, away from what
-precedes spans of the kind, and every loose candidate of the corpus beside its
-base spans, whatever its words.  So form and surroundings decide together; without
+plus sign), and no label is a rule over what they see.  They are fitted and calibrated
+on all distinct spans of the corpus.  Positives are its own base spans rewritten in the
+looser forms (spelt-out at and dot, other separators, no plus sign, 13 digits) where
+they stand.  Negatives are the same forms at a place of the text that a hash draws, away
+from what precedes spans of the kind, and every loose candidate of the corpus beside
+its base spans, whatever its words.  So form and surroundings decide together; without
 both classes nothing is added.
 
 Null text: the empty text, no spans.  Repeated rows: a result each.
@@ -35,7 +34,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.llm.base import id_text, slices
@@ -270,70 +269,125 @@ class Trees:
         return 1.0 / (1.0 + np.exp(-2.0 * margin))
 
 
-def _flat(node) -> list[list[float]]:
+def _flat(node, cuts: list[tuple[int, float]]) -> list[list[float]]:
+    """A tree over the yes-or-no columns of ``cuts`` as rows over the features."""
     rows: list[list[float]] = []
 
     def add(n) -> int:
         at = len(rows)
-        rows.append([-1.0, 0.0, 0.0, 0.0, float(n.prediction())])
+        # rounded, so that the order in which partial sums arrived does not show
+        rows.append([-1.0, 0.0, 0.0, 0.0, round(float(n.prediction()), 9)])
         if n.getClass().getSimpleName() == "InternalNode":
             split = n.split()
-            rows[at][:2] = [float(split.featureIndex()), float(split.threshold())]
-            rows[at][2] = float(add(n.leftChild()))
-            rows[at][3] = float(add(n.rightChild()))
+            rows[at][:2] = map(float, cuts[split.featureIndex()])
+            low, high = n.leftChild(), n.rightChild()
+            if list(split.leftCategories()) != [0.0]:  # the left child has the rows above the cut
+                low, high = high, low
+            rows[at][2] = float(add(low))
+            rows[at][3] = float(add(high))
         return at
 
     add(node)
     return rows
 
 
-def fit(df: DataFrame, sample_rows: int = 20_000, rounds: int = 10, depth: int = 3,
-        precision: float = 0.99) -> Trees | None:
-    """Fit and calibrate the trees on candidates of ``df`` (columns text)."""
+def _cuts(train: DataFrame, bins: int) -> list[tuple[int, float]]:
+    """Exact cuts of every feature, by its values in all rows of ``train`` (x, n):
+    between all neighbouring values of a feature with at most ``bins`` of them, else
+    where its rows are divided into ``bins`` parts of about the same size."""
+    feature = Window.partitionBy("feature").orderBy("value")
+    values = (train.select(F.posexplode("x").alias("feature", "value"), "n")
+              .groupBy("feature", "value").agg(F.sum("n").alias("n"))
+              .withColumns({"below": F.sum("n").over(feature) - F.col("n"), "rank": F.row_number().over(feature) - 1,
+                            "next": F.lead("value").over(feature),
+                            "total": F.sum("n").over(Window.partitionBy("feature")),
+                            "different": F.count("*").over(Window.partitionBy("feature"))}))
+    part = F.when(F.col("different") <= bins, F.col("rank")).otherwise(F.floor(F.col("below") * bins / F.col("total")))
+    ends = (values.withColumn("part", part).withColumn("then", F.lead("part").over(feature))
+            .where("part < then").select("feature", ((F.col("value") + F.col("next")) / 2).alias("cut")))
+    # fewer than bins a feature; without any, a cut that no row passes
+    return sorted((r.feature, r.cut) for r in ends.collect()) or [(0, float("inf"))]
+
+
+def _threshold(scored: DataFrame, precision: float) -> float | None:
+    """The lowest score from which on at least ``precision`` of all rows (score, label) are
+    positive: running sums within 1,024 ranges of the score, on top of the ranges above."""
+    scores = (scored.groupBy("score").agg(F.sum("label").alias("right"), F.count("*").alias("n"))
+              .withColumn("range", F.floor(F.col("score") * 1024)))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # at most 1,025 rows
+    ranges = scores.groupBy("range").agg(F.sum("right").alias("r"), F.sum("n").alias("m")).select(
+        "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("r", "m")))
+    within = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    share = (F.col("r") + F.sum("right").over(within)) / (F.col("m") + F.sum("n").over(within))
+    return (scores.join(F.broadcast(ranges), "range").select("score", share.alias("share"))
+            .where(F.col("share") >= precision).agg(F.min("score")).first()[0])
+
+
+#: Folded rows that one task of a fit holds.
+FIT_ROWS = 20_000
+
+
+def fit(df: DataFrame, sample_rows: int | None = None, rounds: int = 10, depth: int = 3,
+        precision: float = 0.99, bins: int = 32) -> Trees | None:
+    """Fit and calibrate the trees on all candidates of ``df`` (columns text); with
+    ``sample_rows``, on that many of their spans.
+
+    A quarter of the distinct spans, by their hash, is held back for the threshold.
+    Equal feature vectors of the others are one row that weighs as much as they do; each cut
+    of a feature is a column of its own to the trees, as Spark would find the cuts
+    of numbers in a sample."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     def propose(batches):
-        # the smallest draws of the partition, one example each: no span counts twice
-        kept: dict[int, tuple] = {}
-
-        def smallest():
-            return dict(sorted(kept.items())[:sample_rows])
-
+        # one example for equal spans of a slice of texts, the least as below
         for batch in batches:
             for part in slices(batch):
+                kept: dict[int, tuple] = {}
                 for t in part.column(0).to_pylist():
                     for k, s, x, label in examples(t):
                         draw = _draw(k, s, label)
                         kept[draw] = min(kept.get(draw, (label, x)), (label, x))
-                if len(kept) > 2 * sample_rows:
-                    kept = smallest()
-        kept = smallest()
-        yield pa.RecordBatch.from_pydict({"x": pa.array([x for _, x in kept.values()], pa.list_(pa.float64())),
-                                          "label": pa.array([label for label, _ in kept.values()], pa.float64()),
-                                          "draw": pa.array(list(kept), pa.int64())})
-
-    drawn = (df.select("text").mapInArrow(propose, "x array<double>, label double, draw long")
-             .groupBy("draw").agg(F.min(F.struct("label", "x")).alias("e")).orderBy("draw").limit(sample_rows)
-             .select("draw", "e.label", "e.x").persist())
+                yield pa.RecordBatch.from_pydict({
+                    "x": pa.array([list(map(int, x)) for _, x in kept.values()], pa.list_(pa.int32())),
+                    "label": pa.array([int(label) for label, _ in kept.values()], pa.int32()),
+                    "draw": pa.array(list(kept), pa.int64())})
+
+    drawn = (df.select("text").mapInArrow(propose, "x array<int>, label int, draw long")
+             .groupBy("draw").agg(F.min(F.struct("label", "x")).alias("e")).select("draw", "e.label", "e.x"))
+    if sample_rows is not None:
+        drawn = drawn.orderBy("draw").limit(sample_rows)
+    drawn = drawn.persist()
+    folded = None
     try:
         fold = F.col("draw") % 4 == 0
-        train = drawn.where(~fold).select(array_to_vector("x").alias("features"), "label")
+        train = drawn.where(~fold)
         if train.select("label").distinct().count() < 2:
             return None
-        model = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, seed=5).fit(train.coalesce(1))
-        trees = Trees([_flat(t._java_obj.rootNode()) for t in model.trees], list(model.treeWeights), 1.1)
-        held = drawn.where(fold).select("x", "label").collect()  # at most sample_rows rows
+        cuts = _cuts(train.groupBy("x").agg(F.count("*").alias("n")), bins)
+        binned = F.array(*(F.when(F.col("x")[i] > cut, 1.0).otherwise(0.0) for i, cut in cuts))
+        folded = train.groupBy(binned.alias("x"), "label").agg(F.count("*").cast("double").alias("n")).persist()
+        attributes = {"attrs": {"binary": [{"idx": i} for i in range(len(cuts))]}, "num_attrs": len(cuts)}
+        rows = (folded.repartition(folded.count() // FIT_ROWS + 1).sortWithinPartitions("x", "label")
+                .select(array_to_vector("x").alias("features", metadata={"ml_attr": attributes}),
+                        F.col("label").cast("double").alias("label"), "n"))
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=bins, seed=5, weightCol="n").fit(rows)
+        trees = Trees([_flat(t._java_obj.rootNode(), cuts) for t in model.trees], list(model.treeWeights), 1.1)
+
+        def score(batches):
+            for batch in batches:
+                x = batch.column(0).combine_chunks() if isinstance(batch.column(0), pa.ChunkedArray) else batch.column(0)
+                if len(x):
+                    score = trees.score(np.array(x.flatten(), float).reshape(len(x), -1))
+                    yield pa.RecordBatch.from_arrays([pa.array(score), batch.column(1)], names=["score", "label"])
+
+        least = _threshold(drawn.where(fold).select("x", "label").mapInArrow(score, "score double, label int"), precision)
     finally:
         drawn.unpersist()
-    if held:
-        score, label = trees.score(np.array([r.x for r in held])), np.array([r.label for r in held])
-        order = np.argsort(-score, kind="stable")
-        right = np.cumsum(label[order]) / np.arange(1, len(order) + 1)
-        last = np.append(np.diff(score[order]) != 0, True)  # cut between different scores only
-        good = np.flatnonzero((right >= precision) & last)
-        if len(good):
-            trees.threshold = max(0.5, float(score[order][good[-1]]))
+        if folded is not None:
+            folded.unpersist()
+    if least is not None:
+        trees.threshold = max(0.5, least)
     return trees
 
 

@@ -169,3 +169,47 @@ def test_many_spans_of_one_text_in_linear_time(spark):
     trees = P.fit(mixed(spark))
     (small, a), (large, b) = cost(2_000), cost(8_000)
     assert (a.n_email, b.n_email) == (2_000, 8_000) and large < 9 * small
+
+
+def test_the_trees_learn_from_all_spans(spark):
+    """Card numbers whose hashes lie above those of 20,000 other spans count too: only
+    they have digits, and no word of their kind, before them."""
+    draw = random.Random(9)
+    rows = [(i, f"mail to user{i}.x@site{i % 97}.org today and then look around for a long while here") for i in range(11_500)]
+    high = 0.9 * 2 ** 56
+    while len(rows) < 11_800:
+        d = f"4{draw.randrange(10 ** 14):014d}"
+        d += next(str(c) for c in range(10) if P.luhn(d + str(c)))
+        text = f"bill 7712 is {d} now and then look around for a long while here"
+        if all(P._draw(k, s, label) > high for k, s, _, label in P.examples(text) if label):
+            rows.append((len(rows), text))
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.find_pii(spark.createDataFrame([(1, "bill 7713 is 4111/1111/1111/1111 now")], every.schema), trees=P.fit(every))
+    assert got.first().n_added == 1
+
+
+def test_cuts_and_threshold_count_every_row(spark):
+    draw = random.Random(10)
+    values = [(draw.randrange(6), draw.randrange(1000) ** 2, 7) for _ in range(5000)]
+    df = spark.createDataFrame([(list(v), 1) for v in values for _ in range(1 + v[0])], "x array<int>, n long")
+    cuts = P._cuts(df, 8)
+    assert [c for f, c in cuts if f == 0] == [0.5, 1.5, 2.5, 3.5, 4.5] and not [c for f, c in cuts if f == 2]
+    second = sorted(v[1] for v in values for _ in range(1 + v[0]))
+    parts = [0] + [sum(v <= c for v in second) for f, c in cuts if f == 1] + [len(second)]
+    assert len(parts) == 9 and all(abs(b - a - len(second) / 8) < len(second) / 80 for a, b in zip(parts, parts[1:]))
+
+    rows = [(round(draw.random(), 3), 0) for _ in range(3000)]
+    rows = [(s, int(draw.random() < s ** 0.1)) for s, _ in rows]
+    for precision in (0.9, 0.95, 0.97, 1.1):
+        want = None
+        for s in {s for s, _ in rows}:
+            of = [label for t, label in rows if t >= s]
+            if sum(of) / len(of) >= precision:
+                want = s if want is None else min(s, want)
+        assert P._threshold(spark.createDataFrame(rows, "score double, label int").repartition(5), precision) == want
+
+
+def test_features_without_cuts(spark):
+    text = "order 1234567890123 total"
+    assert P._cuts(spark.createDataFrame([([1, 2], 3)], "x array<int>, n long"), 32) == [(0, float("inf"))]
+    assert P.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_added == 0
