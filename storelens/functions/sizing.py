@@ -18,6 +18,17 @@ def broadcast_if_bounded(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES
     return F.broadcast(df) if size <= max_bytes else df
 
 
+# Bytes of a table's files that one partition of a join holds.
+PARTITION_BYTES = 2 << 20
+
+
+def partitions_by_size(df: DataFrame, part_bytes: int = PARTITION_BYTES) -> int:
+    """Partitions for a shuffle of ``df``, in proportion to its plan's size statistic
+    (no job): a task's rows and memory stay the same however large the table is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes))
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared ``spark.checkpoint.dir``.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.functions.sizing import spread
+from storelens.functions.sizing import partitions_by_size, spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -26,19 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def retail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"))
+    lines = table(spark, sf_dir, "lineitem")
+    # as many partitions as the lines' size asks for, so that a task of the joins and of
+    # what follows in it (a DISTINCT of wide rows) holds no more rows of a larger table
+    n = partitions_by_size(lines)
+    li = lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                      "l_returnflag").repartition(n, "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     # nation is a fixed 25-row dimension; broadcasting it is always safe.
     nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(n, "p_partkey")
 
     # Resolve the order header first (orders << lineitem), then one join
     # of the line table against it, then the part name.
     head = (orders.join(cust, orders.o_custkey == cust.c_custkey)
                   .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-                  .select("o_orderkey", "o_custkey", "o_orderdate", "n_name"))
+                  .select("o_orderkey", "o_custkey", "o_orderdate", "n_name").repartition(n, "o_orderkey"))
     j = (li.join(head, li.l_orderkey == head.o_orderkey)
            .join(part, li.l_partkey == part.p_partkey))
     return j.select(
