@@ -29,15 +29,23 @@ def partitions_by_size(df: DataFrame, part_bytes: int = PARTITION_BYTES) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes))
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+# Short rows that one file of a checkpoint holds, where their number is known.
+FILE_ROWS = 50_000
+
+
+def cut_lineage(df: DataFrame, eager: bool = True, rows: int | None = None) -> DataFrame:
     """Reliable checkpoint into the shared ``spark.checkpoint.dir``.
 
     Used by iterative operators (label propagation, EM, restarts) so a lost
     executor recomputes from the last checkpoint, not from the first scan.
+    ``rows``: how many short rows there are at most; the files then follow their
+    number (as many as the cluster's cores at least), not the shuffle partitions.
     """
     from storelens.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=eager)
 
 

@@ -65,7 +65,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
 def tilt(cells: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: float = 1e-12, steps: int = 200) -> DataFrame:
     """Newton's method on the dual: source, source_size, target and ``tilt``
     (lambda).  ``cells``: source, prior, tokens."""
-    state = targets.withColumn("tilt", F.lit(0.0))
+    state = cut_lineage(targets.withColumn("tilt", F.lit(0.0)))
+    sources = state.count()
     inside = F.col("prior") * F.exp("tilt") < cap
     rate = F.least(F.lit(cap), F.col("prior") * F.exp("tilt"))
     for _ in range(steps):
@@ -78,7 +79,7 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: floa
             F.coalesce("slope", F.lit(0.0)) > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("slope")))
         ).otherwise(F.when(gap < 0, -0.5).otherwise(0.0))
         state = cut_lineage(moments.withColumn("step", step).select(
-            "source", "source_size", "target", (F.col("tilt") + F.col("step")).alias("tilt"), "step"))
+            "source", "source_size", "target", (F.col("tilt") + F.col("step")).alias("tilt"), "step"), rows=sources)
         if not state.where(F.abs("step") > 1e-14).agg(F.count("*")).first()[0]:
             break
         state = state.drop("step")

@@ -247,8 +247,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands:
     first = cut_lineage(shared.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
     own = docs.select(node_of(F.col("key"), F.col("digest")).alias("key"), "text")
     texts = cut_lineage(own.join(shared.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    links = cut_lineage(similar(first, texts, threshold, size))
-    roots = cut_lineage(connected_components(links))
+    roots = cut_lineage(connected_components(similar(first, texts, threshold, size)))
     # pairs of a bucket that lie in different components and weren't compared
     labelled = shared.select("key", "bucket").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key"))
@@ -261,16 +260,15 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands:
     crossed = few.join(other, "bucket").where("root < other_root").select(
         F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
     # without the pairs that were compared, as (larger, smaller)
-    second = cut_lineage(crossed.distinct().join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"],
-                                                 "left_anti"))
+    second = crossed.distinct().join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = cut_lineage(similar(second, texts, threshold, size).unionByName(
         similar_in_blocks(many, texts, threshold, size)))
     if more.agg(F.count("*")).first()[0]:
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = cut_lineage(connected_components(stars.unionByName(more)))
     classes = folded.select("digest", F.col("key").alias("node")).join(roots, "node", "left")
-    classes = cut_lineage(classes.select("digest", key_of(F.coalesce("root", "node")).alias("class"),
-                                         F.coalesce(F.col("root") == F.col("node"), F.lit(True)).alias("leads")))
+    classes = classes.select("digest", key_of(F.coalesce("root", "node")).alias("class"),
+                             F.coalesce(F.col("root") == F.col("node"), F.lit(True)).alias("leads"))
     return signed.select("key", "digest").join(classes, "digest").select(
         "key", "digest", "class", (F.col("leads") & (F.col("key") == F.col("class"))).alias("kept"))
 

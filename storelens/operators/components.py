@@ -28,14 +28,15 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return hung.select(F.col("b").alias("a"), F.col("root").alias("b")).where("a != b").distinct()
 
 
-def _is_forest(state: DataFrame) -> bool:
+def _forest(state: DataFrame) -> tuple[bool, int]:
     """Whether the edges (node, smaller node) are stars: no node has two of them,
-    and none that has one is another's."""
+    and none that has one is another's.  And the number of edges."""
     ends = state.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
         state.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
     # an aggregate reads all partitions in one job; a limit would try a few more at a time
-    return not each.where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0]
+    crossed, edges = each.agg(F.count_if(F.expr("up > 1 or (up = 1 and down = 1)")), F.sum("up")).first()
+    return not crossed, edges or 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -47,9 +48,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = cut_lineage(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     loops = state.where("a = b")
     state = state.where("a != b")
-    while not _is_forest(state):
+    while not (found := _forest(state))[0]:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        state = cut_lineage(_star(cut_lineage(_star(both, larger=True)), larger=False))
+        # a step never has more edges than there were
+        hung = cut_lineage(_star(both, larger=True), rows=found[1])
+        state = cut_lineage(_star(hung, larger=False), rows=found[1])
     every = state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         state.select(F.col("b").alias("node"), F.col("b").alias("root"))).unionByName(
         loops.select(F.col("a").alias("node"), F.col("b").alias("root")))
