@@ -14,7 +14,10 @@ def broadcast_if_bounded(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES
     job) is within ``max_bytes``.  Above it the DataFrame is returned unchanged
     and the planner, with the runtime statistics, picks the join.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:  # joins of joins multiply their sizes, to more digits than Python reads
+        return df
     return F.broadcast(df) if size <= max_bytes else df
 
 

@@ -33,6 +33,8 @@ from storelens.functions.sizing import broadcast_if_bounded, cut_lineage
 GRID_COLUMNS = 3
 #: Vectors of one side that meet the other side's in one key of the join.
 CELL_ROWS = 1024
+#: Rows of both sides of the cells that share a task's group.
+BUCKET_ROWS = 1 << 18
 
 
 def weighted_vectors(points: DataFrame, id_col: str = "id", vec: str = "features") -> DataFrame:
@@ -120,7 +122,7 @@ def near_pairs(left: DataFrame, right: DataFrame, grid: Grid, eps: float, lv: st
 
 
 def near_blocks(left: DataFrame, right: DataFrame, grid: Grid, fn: Callable[[pa.Table, pa.Table], pa.Table | None],
-                schema: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+                schema: str, cell_rows: int = CELL_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Run ``fn(left rows of a cell, right rows in and around it)``; vectors are the
     columns ``v`` and ``u``, the other columns are disjoint.  Every left row meets every right row within
     the grid's radius once; a crowded cell is met in several blocks of either side, whose
@@ -138,7 +140,7 @@ def near_blocks(left: DataFrame, right: DataFrame, grid: Grid, fn: Callable[[pa.
     total, copies = cells.agg(F.coalesce(F.sum("_h"), F.lit(0)), F.coalesce(F.sum("_a"), F.lit(0))).first()
     dim = max(grid.dim, 1)
     home_rows, away_rows = block_size(total, dim, cell_rows), max(cell_rows, BLOCK_NUMBERS // dim)
-    buckets = max(1, math.ceil((total + copies) / (1 << 18)))
+    buckets = max(1, math.ceil((total + copies) / bucket_rows))
     salts = [F.ceil(F.col("_h") / home_rows).cast("int").alias("_hs"), F.ceil(F.col("_a") / away_rows).cast("int").alias("_as")]
     crowded = (F.col("_h") > home_rows) | (F.col("_a") > away_rows)
     kept = cells.select("_cell", *salts, F.when(crowded, F.xxhash64("_cell")).otherwise(
